@@ -34,11 +34,12 @@ def to_binary(
 ) -> DataFrame:
     """Text and 0/1 label; labels beyond the first two become 0."""
     _need(df, text, label)
-    codes = binary_mapping(df, label, order, row_id)
-    return df.join(F.broadcast(codes), F.col(label) == F.col("value"), "left").select(
+    codes = binary_mapping(df, label, order, row_id).toDF("_value", "_code")
+    # Two rows at most.
+    return df.join(F.broadcast(codes), F.col(label) == F.col("_value"), "left").select(
         row_id,
         F.col(text).cast("string").alias("text"),
-        F.when(F.col(label).isNotNull(), F.coalesce("code", F.lit(0))).cast("int").alias("label"),
+        F.when(F.col(label).isNotNull(), F.coalesce("_code", F.lit(0))).cast("int").alias("label"),
     )
 
 

@@ -33,7 +33,7 @@ def parse_config(replies: DataFrame, response: str = "response") -> DataFrame:
     """Parse and check configuration replies; ``errors`` lists what is wrong, labels come back sorted."""
     body = strip_fence(F.col(response))
     usable = replies.withColumn("_body", body).withColumn("_ok", one_json_value(F.col("_body")))
-    parsed = usable.withColumn("_keys", F.when("_ok", F.json_object_keys("_body"))).withColumn(
+    parsed = usable.withColumn("_keys", F.when(F.col("_ok"), F.json_object_keys("_body"))).withColumn(
         "config", F.when(F.col("_keys").isNotNull(), F.from_json("_body", _CONFIG_SCHEMA))
     )
     labels, prompts = F.col("config.class_labels"), F.map_keys("config.prompts")

@@ -364,8 +364,8 @@ def _(spark, d):
 
 @query(
     "multilabel_log_loss",
-    f"""{_CELLS}, l AS (SELECT label, avg(-(y * ln(q) + (1 - y) * ln(1 - q))) AS loss, min(y) < max(y) AS both FROM e GROUP BY label)
-        SELECT round(CASE WHEN bool_and(both) THEN avg(loss) ELSE 'NaN'::DOUBLE END, 6) AS log_loss, count(*) AS n_labels FROM l""",
+    f"""{_CELLS}, l AS (SELECT label, avg(-(y * ln(q) + (1 - y) * ln(1 - q))) AS loss, min(y) < max(y) AS mixed FROM e GROUP BY label)
+        SELECT round(CASE WHEN bool_and(mixed) THEN avg(loss) ELSE 'NaN'::DOUBLE END, 6) AS log_loss, count(*) AS n_labels FROM l""",
 )
 def _(spark, d):
     cells = mt.label_cells(_scored_tags(spark, d), labels=TAG_LABELS)

@@ -20,7 +20,7 @@ from labelmill.streaming.ingest import stream_samples
 def _json(c):
     """JSON string literal of a text column."""
     whole = F.to_json(F.struct(c.alias("v")))
-    return F.expr(f"substring({{0}}, 6, length({{0}}) - 6)".replace("{0}", "w")) if False else F.substring(whole, F.lit(6), F.length(whole) - 6)
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
 
 
 def responses(spark, d):
@@ -34,7 +34,7 @@ def responses(spark, d):
     pairs = F.concat(F.lit('"1": "'), plain, F.lit('", "2": "", "3": "ends\\", "4": "ok"'))
     broken = F.concat(F.lit('{"1": "'), plain, F.lit('", oops}'))
     return table(spark, d, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
+        (F.col("conv_id") * 1000 + F.col("turn") + 1).alias("seq"),
         role.alias("class_label"),
         F.lit("training_data").alias("prompt_type"),
         F.substring("text", 1, 40).alias("prompt"),
@@ -45,7 +45,7 @@ def responses(spark, d):
 
 
 _PLAIN = """translate(text, '"{}\\', '')"""
-RESPONSES = f"""SELECT conv_id * 1000 + turn AS seq, role AS class_label, 'training_data' AS prompt_type,
+RESPONSES = f"""SELECT conv_id * 1000 + turn + 1 AS seq, role AS class_label, 'training_data' AS prompt_type,
   CASE WHEN turn = 7 THEN '{{"1": "' || {_PLAIN} || '", oops}}'
     WHEN role = 'user' THEN 'Sure: {{"1": ' || CAST(to_json(text) AS VARCHAR) || ', "2": "x", "3": "short", "2": ' || CAST(to_json(' "' || text || '" ') AS VARCHAR) || ', "4": null, "5": 12345678901}} done'
     WHEN role = 'assistant' THEN '"1": "' || {_PLAIN} || '", "2": "", "3": "ends\\", "4": "ok"'
@@ -54,9 +54,9 @@ RESPONSES = f"""SELECT conv_id * 1000 + turn AS seq, role AS class_label, 'train
 
 SAMPLES = rf"""r AS (SELECT * FROM ({RESPONSES}) WHERE status = 'success'),
   o AS (SELECT *, regexp_extract(response, '(?s)\{{.*\}}') AS span FROM r WHERE contains(response, '{{') AND contains(response, '}}')),
-  e AS (SELECT seq, class_label, j.key, j.value ->> '$' AS v, row_number() OVER (PARTITION BY seq ORDER BY j.id) AS at
+  e AS (SELECT seq, class_label, j.key, j.value ->> '$' AS v, row_number() OVER (PARTITION BY seq ORDER BY j.id) AS nth
         FROM (SELECT * FROM o WHERE json_valid(span)) o, json_each(o.span) j),
-  ek AS (SELECT seq, class_label, at, trim({sql_strip('v')}, '"') AS text FROM (SELECT *, max(at) OVER (PARTITION BY seq, key) AS m FROM e) WHERE at = m),
+  ek AS (SELECT seq, class_label, nth, trim({sql_strip('v')}, '"') AS text FROM (SELECT *, max(nth) OVER (PARTITION BY seq, key) AS m FROM e) WHERE nth = m),
   f AS (SELECT *, regexp_extract_all(response, '"(\d+)"\s*:\s*"([^"]*)"', 2) AS pairs FROM r WHERE NOT (contains(response, '{{') AND contains(response, '}}'))),
   p AS (SELECT seq, class_label, unnest(pairs) AS text FROM f WHERE len(pairs) > 0),
   l AS (SELECT seq, class_label, {sql_strip("trim(" + sql_strip("line") + ", '\"')")} AS text FROM
