@@ -13,9 +13,9 @@ DUPLICATE_THRESHOLD = 5.0
 _PREFIX = 64
 
 
-def _groups(df: DataFrame, text: str, *aggs) -> DataFrame:
+def _groups(df: DataFrame, text: str, *aggs, also: tuple = ()) -> DataFrame:
     """One row per distinct key. A 32-byte digest is grouped in place of the text, and copies combine map-side."""
-    return df.groupBy(key_digest(F.col(text)).alias("digest")).agg(F.count("*").alias("n"), *aggs)
+    return df.groupBy(key_digest(F.col(text)).alias("digest"), *also).agg(F.count("*").alias("n"), *aggs)
 
 
 def duplicate_report(df: DataFrame, threshold: float = DUPLICATE_THRESHOLD, text: str = "text") -> DataFrame:
@@ -44,9 +44,11 @@ def duplicate_examples(df: DataFrame, k: int = 3, text: str = "text", row_id: st
     candidates, ties included; only the candidates' first rows are looked up for the full key.
     """
     key = norm_key(F.col(text))
-    copies = _groups(df, text, F.min(row_id).alias("first_id"), F.min(F.substring(key, 1, _PREFIX)).alias("prefix"))
-    copies = copies.filter(F.col("n") > 1)
-    bound = copies.select("prefix").orderBy("prefix").limit(k).agg(F.max("prefix")).scalar()
+    # The prefix follows from the digest; as a grouping column it leaves only numbers to aggregate.
+    prefix = F.substring(key, 1, _PREFIX).alias("prefix")
+    copies = _groups(df, text, F.min(row_id).alias("first_id"), also=(prefix,)).filter(F.col("n") > 1)
+    # Same columns as the main branch, so that both share one shuffle.
+    bound = copies.orderBy("prefix", "first_id").limit(k).agg(F.max("prefix")).scalar()
     candidates = copies.filter(F.col("prefix") <= bound).select("first_id", "n")
     return (
         df.join(candidates, F.col(row_id) == F.col("first_id"))

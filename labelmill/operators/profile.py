@@ -18,20 +18,45 @@ LABEL_NAMES = ("label", "class", "category", "target", "sentiment")
 # Values longer than this are grouped by digest when only their number is wanted.
 _INLINE_LENGTH = 40
 
+# Rows read to rule out columns with many values.
+_HEAD_ROWS = 1000
+
 
 def _columns(df: DataFrame, row_id: str | None) -> list[str]:
     return [c for c in df.columns if c != row_id]
 
 
-def _long_form(df: DataFrame, columns: list[str], value) -> DataFrame:
-    """One row per cell: ``(column_name, value)``."""
-    cells = [F.struct(F.lit(c).alias("column_name"), value(F.col(c).cast("string")).alias("value")) for c in columns]
+def _long_form(df: DataFrame, columns: list[str], shorten: bool) -> DataFrame:
+    """One row per cell: ``(col, value)`` with ``col`` the position in ``columns``."""
+    types = dict(df.dtypes)
+
+    def cell(i: int, c: str) -> Column:
+        v = F.col(c).cast("string")
+        return F.struct(F.lit(i).alias("col"), (_short(v) if shorten and types[c] == "string" else v).alias("value"))
+
+    cells = [cell(i, c) for i, c in enumerate(columns)]
     return df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
 
 
 def _short(v: Column) -> Column:
-    digest = F.concat(F.lit("sha2:"), F.sha2(v, 256))
-    return F.when(F.length(v) <= _INLINE_LENGTH, F.concat(F.lit("text:"), v)).otherwise(digest)
+    """A string itself, marked, or its digest if it is long; equal exactly if the strings are."""
+    digest = F.concat(F.lit("d"), F.sha2(v, 256))
+    return F.when(F.length(v) <= _INLINE_LENGTH, F.concat(F.lit("t"), v)).otherwise(digest)
+
+
+def _named(columns: list[str]) -> Column:
+    return F.array(*map(F.lit, columns))[F.col("col")].alias("column_name")
+
+
+def few_valued(df: DataFrame, columns: list[str], high: int) -> list[str]:
+    """Columns that may have at most ``high`` distinct values.
+
+    A column with more values than that among the first rows certainly has too many, so ids and
+    texts are ruled out by reading one partition; only the rest needs an exact count.
+    """
+    head = df.select(*columns).limit(_HEAD_ROWS)
+    row = head.agg(*[F.count_distinct(F.col(c).cast("string")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return [c for i, c in enumerate(columns) if row[f"c{i}"] <= high]
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
@@ -45,10 +70,14 @@ def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True)
     types = dict(df.dtypes)
     known = F.create_map(*[F.lit(x) for c in columns for x in (c, types[c])])
     if exact:
-        cells = _long_form(df, columns, _short).groupBy("column_name", "value").agg(F.count("*").alias("n"))
-        stats = cells.groupBy("column_name").agg(
-            F.count("value").alias("unique_count"),
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
+        cells = _long_form(df, columns, True).groupBy("col", "value").agg(F.count("*").alias("n"))
+        stats = (
+            cells.groupBy("col")
+            .agg(
+                F.count("value").alias("unique_count"),
+                F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
+            )
+            .select(_named(columns), "unique_count", "null_count")
         )
     else:
         row = df.agg(
@@ -70,23 +99,20 @@ def value_counts(
 ) -> DataFrame:
     """Value counts of the columns that could hold labels (``low``..``high`` distinct values).
 
-    The profile, one row per column, decides which columns take part; the second scan then
-    reads only those. ``is_top`` marks the ``top`` most frequent values.
+    Columns with too many values are ruled out from the first rows; the remaining ones are counted
+    in one scan that reads nothing else. ``is_top`` marks the ``top`` most frequent values.
     """
-    stats = profile(df, columns).filter(F.col("unique_count").between(low, high))
-    chosen = [r["column_name"] for r in stats.select("column_name").collect()]
+    chosen = few_valued(df, columns or df.columns, high)
     if not chosen:
         empty = "column_name string, value string, n bigint, is_top boolean"
         return df.sparkSession.createDataFrame([], empty)
-    counts = (
-        _long_form(df, chosen, lambda v: v)
-        .filter(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
-        .agg(F.count("*").alias("n"))
-    )
+    counts = _long_form(df, chosen, False).groupBy("col", "value").agg(F.count("*").alias("n"))
+    counts = counts.filter(F.col("value").isNotNull())
+    wanted = counts.groupBy("col").agg(F.count("*").alias("values")).filter(F.col("values").between(low, high))
+    kept = counts.join(wanted.select("col"), "col", "left_semi")
     # At most ``high`` rows per column reach this window.
-    order = W.partitionBy("column_name").orderBy(F.desc("n"), "value")
-    return counts.withColumn("is_top", F.row_number().over(order) <= top)
+    order = W.partitionBy("col").orderBy(F.desc("n"), "value")
+    return kept.withColumn("is_top", F.row_number().over(order) <= top).select(_named(chosen), "value", "n", "is_top")
 
 
 def text_stats(df: DataFrame, columns: list[str] | None = None, min_mean: float = 100.0) -> DataFrame:
@@ -216,7 +242,12 @@ def infer_roles(df: DataFrame, row_id: str | None = None) -> DataFrame:
         ],
         "pos int, column_name string, is_string boolean, text_name boolean, label_name boolean",
     )
-    table = listing.join(profile(df, columns).select("column_name", "unique_count"), "column_name", "left")
+    counted = set(few_valued(df, columns, 10)) | {c for c in columns if named(c, LABEL_NAMES)}
+    if counted:
+        counts = profile(df, [c for c in columns if c in counted]).select("column_name", "unique_count")
+        table = listing.join(counts, "column_name", "left")
+    else:
+        table = listing.withColumn("unique_count", F.lit(None).cast("bigint"))
     if head_means:
         table = table.join(reduce(DataFrame.unionByName, head_means), "column_name", "left")
     else:

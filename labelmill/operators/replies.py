@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from labelmill.functions.replies import json_span, last_entries, one_json_value, parse_object, sample_texts, strip_fence
 from labelmill.functions.text import ellipsis, strip
-from labelmill.operators.requests import LABELLING_BATCH_SIZE
+from labelmill.operators.requests import LABELLING_BATCH_SIZE, block
 
 # Keys that a configuration reply and a refinement reply must have.
 CONFIG_KEYS = ("summary", "classification_type", "class_labels", "prompts", "model_prefix", "training_data_volume")
@@ -108,7 +108,7 @@ def refinement_history(refined: DataFrame, cycle: int, key: str = "config_id") -
 
 def labelling_batches(df: DataFrame, size: int = LABELLING_BATCH_SIZE, row_id: str = "row_id") -> DataFrame:
     """Number rows for labelling: ``batch`` and the index within it, from the row id."""
-    return df.withColumn("batch", F.floor(F.col(row_id) / size).cast("bigint")).withColumn(
+    return df.withColumn("batch", block(F.col(row_id), size)).withColumn(
         "idx", F.pmod(F.col(row_id), F.lit(size)).cast("int")
     )
 
@@ -126,22 +126,21 @@ def apply_assignments(
     if isinstance(allowed, DataFrame):
         allowed = [r[0] for r in allowed.collect()]
     permitted = F.array(*map(F.lit, allowed))
-    parsed = replies.select("batch", parse_object(json_span(F.col("response")), "array<string>").alias("m"))
-    usable = parsed.filter(F.col("m").isNotNull())
-    answers = usable.select("batch", F.explode(last_entries(F.col("m"))).alias("e")).select(
-        "batch", F.expr("try_cast(trim(e.key) AS int)").alias("idx"), F.col("e.value").alias("assigned")
+    kept = lambda e: F.filter(e["value"], lambda x: F.array_contains(permitted, x))
+    # Answers stay in one array per batch, so that each row of the data is joined once.
+    entries = last_entries(parse_object(json_span(F.col("response")), "array<string>"))
+    answers = replies.select(
+        "batch",
+        F.transform(
+            entries,
+            lambda e: F.struct(F.trim(e["key"]).try_cast("int").alias("idx"), F.array_join(kept(e), ",").alias("label")),
+        ).alias("answers"),
     )
-    # Within a batch the index is the second key, so a join key matches one row of the data.
-    kept = F.filter("assigned", lambda x: F.array_contains(permitted, x))
-    assigned = df.join(answers.filter(F.col("idx").isNotNull()), ["batch", "idx"]).select(
-        row_id,
-        "text",
-        F.when(F.size(kept) > 0, F.array_join(kept, ",")).otherwise(F.col("label").cast("string")).alias("label"),
+    own = F.col("label").cast("string")
+    found = F.transform(F.filter("answers", lambda a: a["idx"] == F.col("idx")), lambda a: F.coalesce(F.nullif(a["label"], F.lit("")), own))
+    return df.join(answers, "batch", "left").select(
+        row_id, "text", F.explode(F.when(F.col("answers").isNull(), F.array(own)).otherwise(found)).alias("label")
     )
-    original = df.join(usable.select("batch"), "batch", "left_anti").select(
-        row_id, "text", F.col("label").cast("string").alias("label")
-    )
-    return assigned.unionByName(original)
 
 
 def preview_by_class(results: DataFrame, classes: DataFrame, n: int = 3, width: int = 100) -> DataFrame:

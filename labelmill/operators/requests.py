@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,9 +59,14 @@ def classes_without_prompt(classes: DataFrame) -> DataFrame:
     return classes.filter(F.coalesce(F.length("prompt"), F.lit(0)) == 0).select("class_label")
 
 
+def block(number: Column, size: int) -> Column:
+    """Index of the block of ``size`` consecutive numbers, in whole-number arithmetic."""
+    return F.call_function("div", number - F.pmod(number, F.lit(size)), F.lit(size)).cast("bigint")
+
+
 def with_batches(df: DataFrame, size: int = BATCH_SIZE, seq: str = "seq") -> DataFrame:
     """Add ``batch``: consecutive runs of ``size`` by the plan's own number, from 0."""
-    return df.withColumn("batch", F.floor((F.col(seq) - 1) / size).cast("bigint"))
+    return df.withColumn("batch", block(F.col(seq) - 1, size))
 
 
 def teacher_map(

@@ -38,6 +38,9 @@ BOOSTING = {"maxIter": 500, "stepSize": 0.1, "maxDepth": 5}
 LOGREG_ITERATIONS = 1000
 PATIENCE = 10
 
+# Feature rows worth a task of their own in iterative training.
+ROWS_PER_TASK = 20_000
+
 
 @dataclass
 class Student:
@@ -178,6 +181,16 @@ def _prepared(
     return labels, model, model.transform(coded).select(row_id, "features", y)
 
 
+def _compact(data: DataFrame) -> DataFrame:
+    """Merge the partitions of a small, persisted feature table before iterating over it.
+
+    Every iteration is a job over all partitions; below some rows per task its overhead is all that is
+    measured. Tables with that many rows per partition keep their partitioning.
+    """
+    wanted = -(-data.count() // ROWS_PER_TASK)
+    return data.coalesce(max(wanted, 1)) if wanted < data.rdd.getNumPartitions() else data
+
+
 def fit(
     train: DataFrame,
     task: str,
@@ -202,12 +215,13 @@ def fit(
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     size = _vector_size(model)
     try:
+        rows = _compact(data)
         if task == "multilabel":
-            jobs = [data.withColumn("y", F.col("ys")[i].cast("double")) for i in range(len(labels))]
+            jobs = [rows.withColumn("y", F.col("ys")[i].cast("double")) for i in range(len(labels))]
             with ThreadPool(min(parallelism, len(labels))) as pool:
                 fitted = pool.map(lambda d: trainer(d, size, 2, dict(params)), jobs)
         else:
-            fitted = [trainer(data, size, len(labels), dict(params))]
+            fitted = [trainer(rows, size, len(labels), dict(params))]
     finally:
         data.unpersist()
     return Student(task, student, labels, model, [m for m, _ in fitted], [h for _, h in fitted])
@@ -334,9 +348,10 @@ def cross_validate(
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     size, scores = _vector_size(model), []
     try:
+        compact = _compact(data)
         for fold in range(k):
-            fitted, _ = trainer(data.filter(F.col("fold") != fold), size, len(labels), dict(params))
-            scored = fitted.transform(data.filter(F.col("fold") == fold))
+            fitted, _ = trainer(compact.filter(F.col("fold") != fold), size, len(labels), dict(params))
+            scored = fitted.transform(compact.filter(F.col("fold") == fold))
             row = scored.agg(F.avg((F.col("prediction") == F.col("y")).cast("double")), F.count("*")).first()
             scores.append((fold, row[0], row[1]))
     finally:

@@ -32,8 +32,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 # --- inputs shared by several queries -------------------------------------------------------
 
 
+# Tables whose rows are expensive to process: a single small file of them is spread over the cores.
+_TEXT_TABLES = {"documents", "conversations", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return widen(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return widen(df) if name in _TEXT_TABLES else df
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
