@@ -21,7 +21,8 @@ SLUG_STOP_WORDS = ("classification", "classify", "analysis", "analyze", "of", "f
 # A word token is two or more letters, digits or underscores.
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
-_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+_SPACE_CLASS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SPACE_RUN = f"[{_SPACE_CLASS}]+"
 
 
 def strip(c: Column) -> Column:
@@ -65,7 +66,7 @@ def ellipsis(c: Column, n: int, mode: str = "cut") -> Column:
 def slug(c: Column, default: str = "user_dataset") -> Column:
     """Snake-case model name of at most 30 characters from a free-text description."""
     words = F.regexp_replace(F.lower(c), r"(?U)\b(?:" + "|".join(SLUG_STOP_WORDS) + r")\b", "")
-    kept = F.regexp_replace(words, r"[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]", "")
+    kept = F.regexp_replace(words, rf"[^\p{{L}}\p{{N}}_{_SPACE_CLASS}]", "")
     joined = F.regexp_replace(F.regexp_replace(strip(kept), _SPACE_RUN, "_"), "_+", "_")
     name = F.substring(F.trim(joined, F.lit("_")), 1, 30)
     return F.coalesce(F.nullif(name, F.lit("")), F.lit(default))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelmill.functions.text import ellipsis, is_correct
+from labelmill.session import bounded
 
 
 def accuracy(df: DataFrame, label: str = "label", predicted: str = "predicted_label") -> DataFrame:
@@ -113,15 +114,14 @@ def error_sample(
 ) -> DataFrame:
     """First wrong rows (half the limit), filled up with correct rows, each as one line of text.
 
-    Two bounded top-n scans; the number of wrong rows found sets the second quota.
+    The rows are chosen on ids alone; texts and probabilities are read for the chosen ones only.
     """
-    marked = df.withColumn("is_correct", is_correct(F.col("label"), F.col("predicted_label")))
-    wrong = marked.filter(~F.col("is_correct")).orderBy(row_id).limit(limit // 2)
-    found = wrong.agg(F.count("*")).scalar()
-    right = marked.filter("is_correct").orderBy(row_id).limit(limit)
-    # ``limit`` rows at most reach this window.
-    right = right.withColumn("_nth", F.row_number().over(W.orderBy(row_id)))
-    right = right.filter(F.col("_nth") <= F.lit(limit) - found).drop("_nth")
+    narrow = df.select(row_id, is_correct(F.col("label"), F.col("predicted_label")).alias("is_correct"))
+    first = lambda condition, n: narrow.filter(condition).orderBy(row_id).limit(n)
+    found = bounded(first(~F.col("is_correct"), limit // 2).unionByName(first(F.col("is_correct"), limit)))
+    # One and a half times the limit at most.
+    nth = F.row_number().over(W.orderBy("is_correct", row_id))
+    chosen = found.withColumn("_nth", nth).filter(F.col("_nth") <= limit).drop("_nth")
     probs = [l for l in (labels or []) if f"{l}_prob" in df.columns]
     info = F.lit("")
     if probs:
@@ -132,4 +132,4 @@ def error_sample(
         F.lit('", True: '), F.col("label").cast("string"),
         F.lit(", Predicted: "), F.col("predicted_label").cast("string"), info,
     )
-    return wrong.unionByName(right).select(row_id, "is_correct", line.alias("line"))
+    return df.join(chosen, row_id).select(row_id, "is_correct", line.alias("line"))

@@ -48,7 +48,7 @@ def _(spark, d):
     rf"""WITH w AS (SELECT conv_id, turn, array_to_string(list_filter(
              regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+'),
              lambda x: x NOT IN ({", ".join(f"'{s}'" for s in tx.SLUG_STOP_WORDS)})), '') AS t FROM conversations),
-         k AS (SELECT conv_id, turn, regexp_replace(t, '[^\p{{L}}\p{{N}}_\t\n\x0b\f\r\x1c-\x1f\x{{85}}\p{{Z}}]', '', 'g') AS t FROM w),
+         k AS (SELECT conv_id, turn, regexp_replace(t, '[^\p{{L}}\p{{N}}_' || '{WS[1:-1]}' || ']', '', 'g') AS t FROM w),
          j AS (SELECT conv_id, turn, regexp_replace(regexp_replace({sql_strip('t')}, '{WS}+', '_', 'g'), '_+', '_', 'g') AS t FROM k)
        SELECT conv_id, turn, coalesce(nullif(substring(trim(t, '_'), 1, 30), ''), 'user_dataset') AS slug FROM j""",
 )
