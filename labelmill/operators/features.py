@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelmill.functions.text import WORD_PATTERN, sequence_tokens, tokenize
-from labelmill.session import bounded
+from labelmill.session import local_copy
 
 # Vocabulary sizes, sequence length and out-of-vocabulary id.
 MAX_FEATURES = 5000
@@ -66,7 +66,7 @@ def tfidf_fit(df: DataFrame, max_features: int = MAX_FEATURES, text: str = "text
         "cf",
         (F.ln((1 + rows) / (1 + F.col("df"))) + 1).alias("idf"),
     )
-    return bounded(vocab, _VOCABULARY_LIMIT)
+    return local_copy(vocab)
 
 
 def tfidf_model(vocab: DataFrame, text: str = "text", out: str = "features") -> PipelineModel:
@@ -74,7 +74,7 @@ def tfidf_model(vocab: DataFrame, text: str = "text", out: str = "features") ->
 
     Terms outside the vocabulary are ignored; a text without known terms becomes the zero vector.
     """
-    rows = vocab.select("term", "idf").orderBy("idx").collect()
+    rows = sorted(vocab.select("idx", "term", "idf").collect())
     _check_size(len(rows))
     return PipelineModel(
         stages=[
@@ -144,7 +144,7 @@ def sequence_fit(
     top = counts.orderBy(*order).limit(max(num_words - 2, 0))
     # The window sees at most ``num_words`` rows.
     words = top.select("term", (F.row_number().over(W.orderBy(*order)) + 1).cast("int").alias("id"), "n")
-    return bounded(words, _VOCABULARY_LIMIT)
+    return local_copy(words)
 
 
 def _lookup(df: DataFrame, tokens: Column, vocab: DataFrame, row_id: str, out: str) -> DataFrame:

@@ -105,7 +105,8 @@ def label_index(train: DataFrame, label: str = "label") -> DataFrame:
     """``(label, idx)`` over the sorted distinct training labels."""
     distinct = train.filter(F.col(label).isNotNull()).select(F.col(label).alias("label")).distinct()
     # The window sees one row per class.
-    return bounded(distinct).select("label", (F.row_number().over(W.orderBy("label")) - 1).cast("int").alias("idx"))
+    numbered = distinct.select("label", (F.row_number().over(W.orderBy("label")) - 1).cast("int").alias("idx"))
+    return bounded(numbered)[0]
 
 
 def unseen_labels(index: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:

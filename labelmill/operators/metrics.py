@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelmill.functions.text import ellipsis, is_correct
-from labelmill.session import bounded
+from labelmill.session import local_copy
 
 
 def accuracy(df: DataFrame, label: str = "label", predicted: str = "predicted_label") -> DataFrame:
@@ -118,8 +118,8 @@ def error_sample(
     """
     narrow = df.select(row_id, is_correct(F.col("label"), F.col("predicted_label")).alias("is_correct"))
     first = lambda condition, n: narrow.filter(condition).orderBy(row_id).limit(n)
-    found = bounded(first(~F.col("is_correct"), limit // 2).unionByName(first(F.col("is_correct"), limit)))
     # One and a half times the limit at most.
+    found = local_copy(first(~F.col("is_correct"), limit // 2).unionByName(first(F.col("is_correct"), limit)))
     nth = F.row_number().over(W.orderBy("is_correct", row_id))
     chosen = found.withColumn("_nth", nth).filter(F.col("_nth") <= limit).drop("_nth")
     probs = [l for l in (labels or []) if f"{l}_prob" in df.columns]

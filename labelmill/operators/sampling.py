@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelmill.session import bounded
+from labelmill.session import bounded, local_copy
 
 # 16**4 buckets per group: the one bucket that is ranked holds about 1/65536 of its group.
 BUCKET_DIGITS = 4
@@ -49,7 +49,7 @@ def rank_thresholds(
     histogram = keyed.groupBy("grp", "bucket").agg(F.count("*").alias("n"))
     upto = W.partitionBy("grp").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     bounds = histogram.withColumn("hi", F.sum("n").over(upto)).withColumn("lo", F.col("hi") - F.col("n"))
-    wanted = bounded(
+    wanted, is_small = bounded(
         bounds.join(targets, "grp")
         .filter((F.col("lo") < F.col("rank")) & (F.col("rank") <= F.col("hi")))
         .select("grp", "bucket", "k", (F.col("rank") - F.col("lo")).alias("left"))
@@ -57,7 +57,9 @@ def rank_thresholds(
     in_bucket = keyed.join(wanted.select("grp", "bucket").distinct(), ["grp", "bucket"], "left_semi")
     order = W.partitionBy("grp", "bucket").orderBy("cut_hash", "cut_id")
     ranked = in_bucket.withColumn("left", F.row_number().over(order))
-    return bounded(ranked.join(wanted, ["grp", "bucket", "left"]).select("grp", "k", "cut_hash", "cut_id"))
+    cuts = ranked.join(wanted, ["grp", "bucket", "left"]).select("grp", "k", "cut_hash", "cut_id")
+    # At most one row per wanted rank.
+    return local_copy(cuts) if is_small else bounded(cuts)[0]
 
 
 def _at_or_before(row_id: str, seed: int) -> Column:
@@ -124,9 +126,12 @@ def split_validation(df: DataFrame, share: float = 0.2, seed: int = 42, row_id:
     """Mark exactly ``ceil(share * rows)`` rows as validation in the column ``is_validation``."""
     rows = df.agg(F.lit(1).alias("grp"), F.lit(0).alias("k"), F.ceil(F.count("*") * share).alias("rank"))
     cut = rank_thresholds(df.select(F.lit(1).alias("grp"), row_id), rows, row_id, seed)
-    marked = df.select("*", cut.select("cut_hash").scalar().alias("cut_hash"), cut.select("cut_id").scalar().alias("cut_id"))
-    flag = F.coalesce(_at_or_before(row_id, seed), F.lit(False))
-    return marked.withColumn("is_validation", flag).drop("cut_hash", "cut_id")
+    row = cut.first()  # one threshold, or none for an empty table
+    if row is None:
+        return df.withColumn("is_validation", F.lit(False))
+    key = hash_key(row_id, seed)
+    flag = (key < row["cut_hash"]) | ((key == row["cut_hash"]) & (F.col(row_id) <= row["cut_id"]))
+    return df.withColumn("is_validation", flag)
 
 
 def stratified_folds(
@@ -143,7 +148,7 @@ def stratified_folds(
     )
     cuts = rank_thresholds(df.select(F.col(label).alias("grp"), row_id), targets, row_id, seed)
     # k - 1 thresholds per class, in one row per class.
-    per_class = bounded(cuts.groupBy("grp").agg(F.collect_list(F.struct("cut_hash", "cut_id")).alias("cuts")))
+    per_class, _ = bounded(cuts.groupBy("grp").agg(F.collect_list(F.struct("cut_hash", "cut_id")).alias("cuts")))
     key = F.struct(hash_key(row_id, seed).alias("cut_hash"), F.col(row_id).alias("cut_id"))
     return (
         df.join(per_class.withColumnRenamed("grp", "_class"), F.col(label) == F.col("_class"), "left")

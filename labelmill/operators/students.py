@@ -170,7 +170,7 @@ def _prepared(
         if labels is not None:
             train = filter_labels(train, labels)
         index, coded, _ = encode_labels(train)
-        labels = [str(r["label"]) for r in index.orderBy("idx").collect()]
+        labels = [str(r["label"]) for r in sorted(index.collect(), key=lambda r: r["idx"])]
         coded = coded.withColumn("y", F.col("idx").cast("double")).drop("idx")
     if len(labels) < 2:
         raise ValueError(f"at least two labels are needed, found {labels}")

@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelmill.functions.text import ellipsis, unquote
-from labelmill.operators.profile import individual_labels
 from labelmill.operators.sampling import BUCKET_DIGITS, hash_int, hash_key, sample_n
 from labelmill.session import bounded
 
@@ -36,7 +35,7 @@ def class_index(df: DataFrame, label: str = "label", row_id: str = "row_id", see
         .join(offsets.select("label", "bucket", "offset"), ["label", "bucket"])
         .select("label", "src_id", (F.col("offset") + F.col("rank") - 1).alias("idx"))
     )
-    return index, bounded(histogram.groupBy("label").agg(F.sum("n").alias("size")))
+    return index, bounded(histogram.groupBy("label").agg(F.sum("n").alias("size")))[0]
 
 
 def draw_classes(spark, n: int, k: int, labels: list[str], seed: int) -> DataFrame:
@@ -76,9 +75,10 @@ def synthesise_multilabel(
     source = df.select(
         F.col(row_id).alias("row_id"), F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label")
     )
-    n = source.count()
+    per_label = source.groupBy("label").count().collect()
+    n = sum(r["count"] for r in per_label)
     if labels is None:
-        labels = [r["label"] for r in source.select("label").filter("label is not null").distinct().orderBy("label").collect()]
+        labels = sorted(r["label"] for r in per_label if r["label"] is not None)
     kept = sample_n(source, int(n * SINGLE_SHARE), seed).select(
         F.lit(1).alias("kind"), F.col("row_id").cast("bigint").alias("seq"), unquote(F.col("text")).alias("text"), "label"
     )

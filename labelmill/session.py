@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL_ROWS = 100_000
 
 
-def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "16g") -> SparkSession:
+def local_session(
+    cores: str = "8", shuffle_partitions: int = 8, memory: str = "16g", java_options: str = ""
+) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own session."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -21,6 +23,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config("spark.driver.extraJavaOptions", java_options)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -62,8 +65,13 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """A small side whose size Catalyst knows.
+def local_copy(df: DataFrame) -> DataFrame:
+    """A local relation of a table whose size the caller has proven to be small."""
+    return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)
+
+
+def bounded(df: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+    """A small side whose size Catalyst knows, and whether it is within ``limit`` rows.
 
     A table of at most ``limit`` rows (checked, never assumed) becomes a local
     relation, which Spark broadcasts by its actual size. A larger one is written
@@ -72,8 +80,8 @@ def bounded(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """
     table = df.limit(limit + 1).toArrow()
     if table.num_rows > limit:
-        return materialise(df, "bounded")
-    return df.sparkSession.createDataFrame(table, schema=df.schema)
+        return materialise(df, "bounded"), False
+    return df.sparkSession.createDataFrame(table, schema=df.schema), True
 
 
 def widen(df: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from labelmill.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("8", 8, "8g")
+    # Tests run many small plans once: light compilation and few partitions suit them.
+    return local_session("8", 3, "8g", "-XX:TieredStopAtLevel=1 -XX:ReservedCodeCacheSize=256m")
 
 
 @pytest.fixture(scope="session")

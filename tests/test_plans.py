@@ -153,7 +153,8 @@ def test_unseen_test_label_is_an_error(labelled):
 
 
 def test_bounded_sides(spark):
-    small, large = bounded(spark.range(10), 10), bounded(spark.range(11), 10)
+    (small, is_small), (large, is_large_small) = bounded(spark.range(10), 10), bounded(spark.range(11), 10)
+    assert is_small and not is_large_small
     assert small.count() == 10 and large.count() == 11
     assert "LocalTableScan" in small._jdf.queryExecution().executedPlan().toString()
     assert "FileScan" in large._jdf.queryExecution().executedPlan().toString()
