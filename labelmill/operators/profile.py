@@ -84,7 +84,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True)
             *[
                 F.struct(
                     F.lit(c).alias("column_name"),
-                    F.approx_count_distinct(c, 0.01).alias("unique_count"),
+                    F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"))).alias("unique_count"),
                     F.count_if(F.col(c).isNull()).alias("null_count"),
                 ).alias(f"c{i}")
                 for i, c in enumerate(columns)

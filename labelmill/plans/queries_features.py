@@ -9,6 +9,7 @@ from labelmill.operators import features as ft
 from labelmill.operators import labels as lb
 from labelmill.operators import metrics as mt
 from labelmill.operators import students as st
+from labelmill.operators.requests import block
 from labelmill.operators.sampling import split_validation
 from labelmill.plans import prepare as prep
 from labelmill.plans.registry import (
@@ -231,23 +232,25 @@ def _(spark, d):
     return rd.count_invalid_lines(spark, path)
 
 
+def _blocks(spark, d, body):
+    """JSON files of a thousand documents each (ids and labels, not texts): a file holds one value."""
+    path = scratch_path(spark, "table.json")
+    rows = table(spark, d, "documents").groupBy(block(F.col("doc_id"), 1000).alias("block"))
+    body(rows).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return rd.load_data(spark, path)[0].select("doc_id", "lang", "source")
+
+
 @query("json_list_round_trip", "SELECT doc_id, lang, source FROM documents")
 def _(spark, d):
-    # Every document source becomes one JSON file holding one list (its ids and labels, not its texts).
-    path = scratch_path(spark, "table.json")
-    rows = table(spark, d, "documents").groupBy("source").agg(F.collect_list(F.struct("doc_id", "lang", "source")).alias("rows"))
-    rows.select(F.to_json("rows").alias("value")).repartition(20, "value").write.option("maxRecordsPerFile", 1).text(path)
-    loaded, _ = rd.load_data(spark, path)
-    return loaded.select("doc_id", "lang", "source")
+    return _blocks(
+        spark, d, lambda g: g.agg(F.to_json(F.collect_list(F.struct("doc_id", "lang", "source"))).alias("value"))
+    )
 
 
-@query("json_columns_round_trip", "SELECT n_nationkey, n_name FROM nation")
+@query("json_columns_round_trip", "SELECT doc_id, lang, source FROM documents")
 def _(spark, d):
-    path = scratch_path(spark, "table.json")
-    rows = table(spark, d, "nation").agg(F.collect_list("n_nationkey").alias("n_nationkey"), F.collect_list("n_name").alias("n_name"))
-    rows.coalesce(1).write.json(path)
-    loaded, _ = rd.load_data(spark, path)
-    return loaded.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+    columns = [F.collect_list(c).alias(c) for c in ("doc_id", "lang", "source")]
+    return _blocks(spark, d, lambda g: g.agg(F.to_json(F.struct(*columns)).alias("value")))
 
 
 _LINE = """CASE lang WHEN 'de' THEN part || chr(9) || lang || chr(9) || 'x' WHEN 'fr' THEN part || ', ' || lang || '  ' WHEN 'es' THEN '"' || part || ', quoted"' ELSE part END"""

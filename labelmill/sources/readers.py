@@ -21,13 +21,23 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias(name), "*")
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """``UTF-8`` if every line is valid, else ``ISO-8859-1``, which decodes any byte.
+def probe_text(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """Encoding of a CSV file, and whether its records may span lines.
 
-    The text source hands over raw bytes, so the check is a distributed scan that ends at the first bad line.
+    The text source hands over raw bytes, so one distributed scan can check every line: all valid
+    means UTF-8, otherwise ISO-8859-1, which decodes any byte. A quoted field with a line break
+    leaves a line with an odd number of quotes; without such lines the file can be read in splits.
     """
-    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
-    return "ISO-8859-1" if bad else "UTF-8"
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    row = (
+        spark.read.text(path)
+        .agg(
+            F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)),
+            F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)),
+        )
+        .first()
+    )
+    return ("UTF-8" if row[0] else "ISO-8859-1"), row[1]
 
 
 def detect_separator(spark: SparkSession, path: str) -> str:
@@ -38,17 +48,12 @@ def detect_separator(spark: SparkSession, path: str) -> str:
     return "\t" if "\t" in header[0] and "," not in header[0] else ","
 
 
-def read_csv_any(spark: SparkSession, path: str, infer: bool = True, multiline: bool = True) -> DataFrame:
-    """CSV or TSV with a header, in UTF-8 or Latin-1. ``multiline=False`` keeps big single-line files splittable."""
+def read_csv_any(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
+    """CSV or TSV with a header, in UTF-8 or Latin-1; splittable unless records span lines."""
     separator = detect_separator(spark, path)
+    encoding, multiline = probe_text(spark, path)
     return spark.read.csv(
-        path,
-        header=True,
-        inferSchema=infer,
-        encoding=detect_encoding(spark, path),
-        sep=separator,
-        multiLine=multiline,
-        escape='"',
+        path, header=True, inferSchema=infer, encoding=encoding, sep=separator, multiLine=multiline, escape='"'
     )
 
 
@@ -121,17 +126,18 @@ def load_data(spark: SparkSession, path: str, kind: str | None = None) -> tuple[
     return readers[kind](spark, path), "json" if kind == "jsonl" else kind
 
 
-def read_labelled(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """Training or test CSV ``text,label``: malformed lines and rows without text or label are dropped."""
+    _, multiline = probe_text(spark, path)
     df = spark.read.csv(
-        path, schema="text string, label string", header=True, mode="DROPMALFORMED", multiLine=multiline, escape='"',
-        enforceSchema=True,
+        path, schema="text string, label string", header=True, mode="DROPMALFORMED", multiLine=multiline, escape='"'
     )
     return df.na.drop(subset=["text", "label"])
 
 
-def read_predictions(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Prediction CSV; the columns text, label and predicted_label are required."""
+    _, multiline = probe_text(spark, path)
     df = spark.read.csv(path, header=True, multiLine=multiline, escape='"')
     missing = {"text", "label", "predicted_label"} - set(df.columns)
     if missing:

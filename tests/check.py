@@ -6,6 +6,7 @@ import os
 import sys
 import time
 import traceback
+from concurrent.futures import ThreadPoolExecutor
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -22,12 +23,13 @@ def main() -> None:
     spark, con = local_session(), oracle.connect(sf_dir)
     queries, sql = entry.queries(), entry.oracle_sql()
     bad = []
-    for name in names or queries:
+
+    def run(name: str) -> None:
         start = time.time()
         try:
             df = queries[name](spark, sf_dir)
             if name in sql:
-                problem = oracle.compare(df, con, sql[name])
+                problem = oracle.compare(df, con.cursor(), sql[name])
                 note = "ok" if problem is None else f"MISMATCH {problem}"
             else:
                 note = f"rows {len(df.collect())}"
@@ -38,6 +40,9 @@ def main() -> None:
         if note.startswith(("MISMATCH", "ERROR")):
             bad.append(name)
         print(f"{name:28s} {time.time() - start:6.2f}s {note}", flush=True)
+
+    with ThreadPoolExecutor(int(os.environ.get("THREADS", "6"))) as pool:
+        list(pool.map(run, names or queries))
     print("failed:", bad)
 
 

@@ -27,7 +27,8 @@ def test_csv_comma_quotes_and_lines(spark, tmp_path):
 def test_csv_latin1(spark, tmp_path):
     df, _ = rd.load_data(spark, write(tmp_path, "a.csv", "text,label\ncafé,x\n", "latin-1"))
     assert rows(df) == [("café", "x")]
-    assert rd.detect_encoding(spark, write(tmp_path, "b.csv", "text,label\ncafé,x\n")) == "UTF-8"
+    assert rd.probe_text(spark, write(tmp_path, "b.csv", 'text,label\n"café",x\n')) == ("UTF-8", False)
+    assert rd.probe_text(spark, write(tmp_path, "c.csv", 'text,label\n"ca\nfé",x\n')) == ("UTF-8", True)
 
 
 def test_tsv(spark, tmp_path):
