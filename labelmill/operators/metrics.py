@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelmill.functions.text import ellipsis, is_correct
+from labelmill.operators.sampling import rows_by_id
 from labelmill.session import local_copy
 
 
@@ -132,4 +133,5 @@ def error_sample(
         F.lit('", True: '), F.col("label").cast("string"),
         F.lit(", Predicted: "), F.col("predicted_label").cast("string"), info,
     )
-    return df.join(chosen, row_id).select(row_id, "is_correct", line.alias("line"))
+    shown = rows_by_id(df, chosen, row_id)
+    return shown.join(chosen, row_id).select(row_id, "is_correct", line.alias("line"))

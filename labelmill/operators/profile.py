@@ -133,7 +133,10 @@ def text_stats(df: DataFrame, columns: list[str] | None = None, min_mean: float
 
 
 def text_samples(df: DataFrame, columns: list[str], row_id: str, n: int = 3, width: int = 200) -> DataFrame:
-    """First ``n`` non-null values of each column, cut to ``width`` characters (one top-n per column)."""
+    """First ``n`` non-null values of each column, cut to ``width`` characters.
+
+    Cut before the top-n, so that a partition hands on short strings only.
+    """
     parts = [
         df.filter(F.col(c).isNotNull())
         .select(row_id, F.lit(c).alias("column_name"), ellipsis(F.col(c), width, "never").alias("sample"))

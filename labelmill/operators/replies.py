@@ -152,9 +152,10 @@ def preview_by_class(results: DataFrame, classes: DataFrame, n: int = 3, width:
         "class_label", "seq", F.posexplode(F.split("response", "\n")).alias("pos", "line")
     )
     lines = lines.select("class_label", "seq", "pos", strip(F.col("line")).alias("line")).filter(F.col("line") != "")
+    lines = lines.withColumn("line", ellipsis(F.col("line"), width, "always"))
     order = W.partitionBy("class_label").orderBy("seq", "pos")
     first = lines.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n)
-    shown = F.concat(F.lit("  - "), ellipsis(F.col("line"), width, "always"))
+    shown = F.concat(F.lit("  - "), F.col("line"))
     texts = first.groupBy("class_label").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_rn", shown.alias("s")))), lambda x: x["s"]), "\n").alias("body")
     )

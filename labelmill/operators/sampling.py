@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 
 from labelmill.session import bounded, local_copy
 
-# 16**4 buckets per group: the one bucket that is ranked holds about 1/65536 of its group.
-BUCKET_DIGITS = 4
+# Hash digits per histogram step: 4096 buckets, so that counting them shuffles little.
+BUCKET_DIGITS = 3
 
-# Up to this many rows, sorting for the first n is done by Spark's own top-n operator.
-TOP_N_LIMIT = 100_000
+# A bucket with more rows than this is divided once more before it is ranked.
+RANK_ROWS = 1_000_000
+
+# Up to this many ids are picked by one top-n and looked up by value.
+TOP_N_LIMIT = 100
 
 
 def hash_key(row_id: Column | str, seed: int = 42) -> Column:
@@ -43,25 +46,46 @@ def rank_thresholds(
     counted from 1. Returns ``(grp, k, cut_hash, cut_id)``. Targets of rank 0 or beyond
     the group's size have no row.
     """
-    keyed = df.select("grp", F.col(row_id).alias("cut_id"), hash_key(row_id, seed).alias("cut_hash")).withColumn(
-        "bucket", F.substring("cut_hash", 1, digits)
-    )
-    histogram = keyed.groupBy("grp", "bucket").agg(F.count("*").alias("n"))
-    upto = W.partitionBy("grp").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    bounds = histogram.withColumn("hi", F.sum("n").over(upto)).withColumn("lo", F.col("hi") - F.col("n"))
-    wanted, is_small = bounded(
-        bounds.join(targets, "grp")
-        .filter((F.col("lo") < F.col("rank")) & (F.col("rank") <= F.col("hi")))
-        .select("grp", "bucket", "k", (F.col("rank") - F.col("lo")).alias("left"))
+    keyed = df.select("grp", F.col(row_id).alias("cut_id"), hash_key(row_id, seed).alias("cut_hash"))
+    wanted, is_small, width = targets.withColumn("bucket", F.lit("")), True, 0
+    while True:
+        rows = keyed.withColumn("parent", F.substring("cut_hash", 1, width))
+        if width:
+            parents = wanted.select("grp", F.col("bucket").alias("parent")).distinct()
+            rows = rows.join(parents, ["grp", "parent"], "left_semi")
+        width += digits
+        histogram = rows.groupBy("grp", "parent", F.substring("cut_hash", 1, width).alias("bucket")).agg(
+            F.count("*").alias("n")
+        )
+        upto = W.partitionBy("grp", "parent").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+        bounds = histogram.withColumn("hi", F.sum("n").over(upto)).withColumn("lo", F.col("hi") - F.col("n"))
+        held = (
+            bounds.join(wanted.select("grp", "k", "rank", F.col("bucket").alias("parent")), ["grp", "parent"])
+            .filter((F.col("lo") < F.col("rank")) & (F.col("rank") <= F.col("hi")))
+            .select("grp", "bucket", "k", (F.col("rank") - F.col("lo")).alias("rank"), "n")
+        )
+        wanted, is_small = bounded(held)
+        largest = wanted.agg(F.max("n")).first()[0] or 0
+        if largest <= RANK_ROWS or width >= 30:
+            break
+    in_bucket = keyed.withColumn("bucket", F.substring("cut_hash", 1, width)).join(
+        wanted.select("grp", "bucket").distinct(), ["grp", "bucket"], "left_semi"
     )
-    in_bucket = keyed.join(wanted.select("grp", "bucket").distinct(), ["grp", "bucket"], "left_semi")
     order = W.partitionBy("grp", "bucket").orderBy("cut_hash", "cut_id")
-    ranked = in_bucket.withColumn("left", F.row_number().over(order))
-    cuts = ranked.join(wanted, ["grp", "bucket", "left"]).select("grp", "k", "cut_hash", "cut_id")
+    ranked = in_bucket.withColumn("rank", F.row_number().over(order))
+    cuts = ranked.join(wanted, ["grp", "bucket", "rank"]).select("grp", "k", "cut_hash", "cut_id")
     # At most one row per wanted rank.
     return local_copy(cuts) if is_small else bounded(cuts)[0]
 
 
+def rows_by_id(df: DataFrame, ids: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """The rows with the given ids, a list the caller has bounded.
+
+    As literals the ids reach the scan, which skips row groups without them.
+    """
+    return df.filter(F.col(row_id).isin([r[0] for r in ids.select(row_id).collect()]))
+
+
 def _at_or_before(row_id: str, seed: int) -> Column:
     key = hash_key(row_id, seed)
     return (key < F.col("cut_hash")) | ((key == F.col("cut_hash")) & (F.col(row_id) <= F.col("cut_id")))
@@ -86,12 +110,21 @@ def first_by_hash(
     return grouped.join(cuts, "grp").filter(_at_or_before(row_id, seed)).select(*df.columns)
 
 
+def _up_to(cut, row_id: str, seed: int) -> Column:
+    """Rows at or before one threshold; without a threshold there are none."""
+    if cut is None:
+        return F.lit(False)
+    key = hash_key(row_id, seed)
+    return (key < cut["cut_hash"]) | ((key == cut["cut_hash"]) & (F.col(row_id) <= cut["cut_id"]))
+
+
 def sample_n(df: DataFrame, n: int = 20_000, seed: int = 42, row_id: str = "row_id") -> DataFrame:
-    """Seeded sample of exactly ``min(n, rows)`` rows."""
+    """Seeded sample of exactly ``min(n, rows)`` rows, chosen on ids alone."""
     if n <= TOP_N_LIMIT:
-        return df.orderBy(hash_key(row_id, seed), row_id).limit(n)
-    one = df.select(F.lit(1).alias("grp")).limit(1).select("grp", F.lit(n).alias("rank"))
-    return first_by_hash(df, F.lit(1), one, row_id, seed)
+        return rows_by_id(df, df.select(row_id).orderBy(hash_key(row_id, seed), row_id).limit(n), row_id)
+    target = df.agg(F.lit(1).alias("grp"), F.lit(0).alias("k"), F.least(F.lit(n), F.count("*")).alias("rank"))
+    cut = rank_thresholds(df.select(F.lit(1).alias("grp"), row_id), target, row_id, seed).first()
+    return df.filter(_up_to(cut, row_id, seed))
 
 
 def shuffle(df: DataFrame, seed: int = 42, row_id: str = "row_id") -> DataFrame:
@@ -101,7 +134,7 @@ def shuffle(df: DataFrame, seed: int = 42, row_id: str = "row_id") -> DataFrame:
 
 def preview(df: DataFrame, n: int = 3, row_id: str = "row_id") -> DataFrame:
     """First rows in row order."""
-    return df.orderBy(row_id).limit(n)
+    return rows_by_id(df, df.select(row_id).orderBy(row_id).limit(n), row_id).orderBy(row_id)
 
 
 def balance(
@@ -126,12 +159,7 @@ def split_validation(df: DataFrame, share: float = 0.2, seed: int = 42, row_id:
     """Mark exactly ``ceil(share * rows)`` rows as validation in the column ``is_validation``."""
     rows = df.agg(F.lit(1).alias("grp"), F.lit(0).alias("k"), F.ceil(F.count("*") * share).alias("rank"))
     cut = rank_thresholds(df.select(F.lit(1).alias("grp"), row_id), rows, row_id, seed)
-    row = cut.first()  # one threshold, or none for an empty table
-    if row is None:
-        return df.withColumn("is_validation", F.lit(False))
-    key = hash_key(row_id, seed)
-    flag = (key < row["cut_hash"]) | ((key == row["cut_hash"]) & (F.col(row_id) <= row["cut_id"]))
-    return df.withColumn("is_validation", flag)
+    return df.withColumn("is_validation", _up_to(cut.first(), row_id, seed))
 
 
 def stratified_folds(
@@ -165,28 +193,22 @@ def profile_sample(df: DataFrame, label: str, n: int = 10, keep: int = 8, row_id
     """A few rows of each of the first ten labels, in order of first appearance; at most ``keep`` rows.
 
     A single label falls back to the first ``n`` rows. The per-label limit is a constant,
-    so Spark prunes to it inside each partition before it shuffles (window group limit).
+    so Spark prunes ids to it inside each partition before it shuffles (window group limit).
     """
-    labels = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.min(row_id).alias("first_id"))
-    classes = labels.agg(F.count("*").alias("c")).scalar()
-    shown = labels.orderBy("first_id").limit(10)
-    most = max(2, n // 2)
-    per_label = (
-        df.withColumn("_rn", F.row_number().over(W.partitionBy(label).orderBy(row_id)))
-        .filter(F.col("_rn") <= most)
-        .join(shown, label)
-        .withColumn("_classes", classes)
-        .filter(
-            F.when(F.col("_classes") > 1, F.col("_rn") <= F.greatest(F.lit(2), F.expr(f"{n} div least(_classes, 10)")))
-            .otherwise(F.lit(False))
-        )
+    narrow = df.filter(F.col(label).isNotNull()).select(row_id, F.col(label).alias("_label"))
+    labels = narrow.groupBy("_label").agg(F.min(row_id).alias("first_id"))
+    classes = labels.count()
+    if classes <= 1:
+        return preview(df, min(n, keep), row_id)
+    each = max(2, n // min(classes, 10))
+    ranked = narrow.withColumn("_rn", F.row_number().over(W.partitionBy("_label").orderBy(row_id)))
+    ids = (
+        ranked.filter(F.col("_rn") <= each)
+        .join(labels.orderBy("first_id").limit(10), "_label")
         .orderBy("first_id", row_id)
         .limit(keep)
-        .select(*df.columns)
     )
-    head = df.orderBy(row_id).limit(min(n, keep)).withColumn("_classes", classes)
-    head = head.filter(F.col("_classes") <= 1).drop("_classes")
-    return per_label.unionByName(head)
+    return rows_by_id(df, ids, row_id)
 
 
 def union_splits(train: DataFrame, test: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ TASKS = ("binary", "multiclass", "multilabel")
 BINARY_HIDDEN = (512, 256)
 MULTICLASS_HIDDEN = (64,)
 BOOSTING = {"maxIter": 500, "stepSize": 0.1, "maxDepth": 5}
-LOGREG_ITERATIONS = 1000
+LOGREG_ITERATIONS, LOGREG_TOLERANCE = 1000, 1e-4
 PATIENCE = 10
 
 # Feature rows worth a task of their own in iterative training.
@@ -83,7 +83,7 @@ def _trainer(task: str, name: str) -> Trainer:
 def _logreg(family: str) -> Trainer:
     def train(data: DataFrame, size: int, classes: int, params: dict):
         rows = data.count()
-        settings = {"maxIter": LOGREG_ITERATIONS, "regParam": 1.0 / (params.pop("C", 1.0) * rows)} | params
+        settings = {"maxIter": LOGREG_ITERATIONS, "tol": LOGREG_TOLERANCE, "regParam": 1.0 / (params.pop("C", 1.0) * rows)} | params
         model = LogisticRegression(
             featuresCol="features", labelCol="y", family=family, standardization=False, **settings
         ).fit(data)

@@ -9,13 +9,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelmill.functions.text import ellipsis, unquote
-from labelmill.operators.sampling import BUCKET_DIGITS, hash_int, hash_key, sample_n
+from labelmill.operators.sampling import hash_int, hash_key, sample_n
 from labelmill.session import bounded
 
 # Shares of kept, two-label and three-label rows, and the length at which three-label texts are cut.
 SINGLE_SHARE, PAIR_SHARE, TRIPLE_SHARE = 0.5, 0.3, 0.2
 TRIPLE_LENGTH = 400
 
+# Hash digits per bucket when rows are numbered: 65536 buckets per class.
+_INDEX_DIGITS = 4
+
 
 def class_index(df: DataFrame, label: str = "label", row_id: str = "row_id", seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Dense position of every row within its class, and the class sizes.
@@ -25,7 +28,7 @@ def class_index(df: DataFrame, label: str = "label", row_id: str = "row_id", see
     """
     keyed = df.select(
         F.col(label).cast("string").alias("label"), F.col(row_id).alias("src_id"), hash_key(row_id, seed).alias("h")
-    ).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
+    ).withColumn("bucket", F.substring("h", 1, _INDEX_DIGITS))
     histogram = keyed.groupBy("label", "bucket").agg(F.count("*").alias("n"))
     earlier = W.partitionBy("label").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = histogram.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
