@@ -54,9 +54,10 @@ def few_valued(df: DataFrame, columns: list[str], high: int) -> list[str]:
     A column with more values than that among the first rows certainly has too many, so ids and
     texts are ruled out by reading one partition; only the rest needs an exact count.
     """
-    head = df.select(*columns).limit(_HEAD_ROWS)
-    row = head.agg(*[F.count_distinct(F.col(c).cast("string")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    return [c for i, c in enumerate(columns) if row[f"c{i}"] <= high]
+    types = dict(df.dtypes)
+    cells = [_short(F.col(c)) if types[c] == "string" else F.col(c).cast("string") for c in columns]
+    head = df.select(*[v.alias(f"c{i}") for i, v in enumerate(cells)]).take(_HEAD_ROWS)
+    return [c for i, c in enumerate(columns) if len({r[i] for r in head} - {None}) <= high]
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
@@ -231,19 +232,20 @@ def infer_roles(df: DataFrame, row_id: str | None = None) -> DataFrame:
     def named(c: str, parts: tuple[str, ...]) -> bool:
         return any(p in c.lower() for p in parts)
 
-    # Only unnamed string columns need a look at their first ten values; each is one bounded scan.
-    head_means = []
+    # Only unnamed string columns need a look at their first ten values.
+    head_mean = {}
     for c in columns:
         if types[c] == "string" and not named(c, TEXT_NAMES):
             values = df.filter(F.col(c).isNotNull())
-            values = (values.orderBy(row_id) if row_id else values).select(F.length(c).alias("len")).limit(10)
-            head_means.append(values.agg(F.lit(c).alias("column_name"), F.avg("len").alias("head_mean")))
+            values = values.orderBy(row_id) if row_id else values
+            lengths = [r[0] for r in values.select(F.length(c)).take(10)]
+            head_mean[c] = sum(lengths) / len(lengths) if lengths else None
     listing = df.sparkSession.createDataFrame(
         [
-            (i, c, types[c] == "string", named(c, TEXT_NAMES), named(c, LABEL_NAMES))
+            (i, c, types[c] == "string", named(c, TEXT_NAMES), named(c, LABEL_NAMES), head_mean.get(c))
             for i, c in enumerate(columns)
         ],
-        "pos int, column_name string, is_string boolean, text_name boolean, label_name boolean",
+        "pos int, column_name string, is_string boolean, text_name boolean, label_name boolean, head_mean double",
     )
     counted = set(few_valued(df, columns, 10)) | {c for c in columns if named(c, LABEL_NAMES)}
     if counted:
@@ -251,10 +253,6 @@ def infer_roles(df: DataFrame, row_id: str | None = None) -> DataFrame:
         table = listing.join(counts, "column_name", "left")
     else:
         table = listing.withColumn("unique_count", F.lit(None).cast("bigint"))
-    if head_means:
-        table = table.join(reduce(DataFrame.unionByName, head_means), "column_name", "left")
-    else:
-        table = table.withColumn("head_mean", F.lit(None).cast("double"))
     scored = table.select(
         "pos",
         "column_name",

@@ -65,7 +65,8 @@ def rank_thresholds(
             .select("grp", "bucket", "k", (F.col("rank") - F.col("lo")).alias("rank"), "n")
         )
         wanted, is_small = bounded(held)
-        largest = wanted.agg(F.max("n")).first()[0] or 0
+        sizes = wanted.select("n") if is_small else wanted.agg(F.max("n"))
+        largest = max((r[0] or 0 for r in sizes.collect()), default=0)
         if largest <= RANK_ROWS or width >= 30:
             break
     in_bucket = keyed.withColumn("bucket", F.substring("cut_hash", 1, width)).join(
