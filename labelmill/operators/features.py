@@ -8,6 +8,10 @@ vectors, which are never densified.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, RegexTokenizer
 from pyspark.ml.linalg import Vectors
@@ -38,16 +42,21 @@ def _check_size(n: int) -> int:
 def term_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """``(term, cf, df)``: corpus and document frequency of every term.
 
-    Tokens are sorted inside the row, so that a term's first occurrence in its document is
-    known without grouping by document. The outer explode avoids the filter that Spark
-    would otherwise add, which tokenises every text again.
+    Each document contributes its tokens and, behind them, its distinct tokens; counting the two
+    ranges apart gives both frequencies from one explode, without grouping by document. The outer
+    explode avoids the filter that Spark would otherwise add, which tokenises every text again.
     """
-    tokens = df.select(F.sort_array(tokenize(F.col(text))).alias("s"))
-    cells = tokens.select("s", F.posexplode_outer("s").alias("p", "term")).filter(F.col("term").isNotNull())
-    first = (F.col("p") == 0) | (F.get("s", F.col("p") - 1) != F.col("term"))
-    return cells.select("term", first.cast("bigint").alias("first")).groupBy("term").agg(
-        F.count("*").alias("cf"), F.sum("first").alias("df")
-    )
+    cells = _token_cells(df, tokenize(F.col(text)))
+    repeat, distinct = F.col("p") < F.col("m"), F.col("p") >= F.col("m")
+    return cells.groupBy("term").agg(F.count_if(repeat).alias("cf"), F.count_if(distinct).alias("df"))
+
+
+def _token_cells(df: DataFrame, tokens: Column, *also: str) -> DataFrame:
+    """``(…, m, p, term)``: the ``m`` tokens of a row at ``p < m``, its distinct tokens in order of appearance after."""
+    arrays = df.select(*also, tokens.alias("t"))
+    both = F.concat("t", F.array_distinct("t"))
+    cells = arrays.select(*also, F.size("t").alias("m"), F.posexplode_outer(both).alias("p", "term"))
+    return cells.filter(F.col("term").isNotNull())
 
 
 def tfidf_fit(df: DataFrame, max_features: int = MAX_FEATURES, text: str = "text") -> DataFrame:
@@ -113,18 +122,6 @@ def feature_stats(df: DataFrame, vocab: DataFrame, features: str = "features", r
     )
 
 
-def _first_cells(df: DataFrame, tokens: Column, row_id: str) -> DataFrame:
-    numbered = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    ordered = df.select(row_id, F.sort_array(numbered).alias("s"))
-    cells = ordered.select(row_id, "s", F.posexplode_outer("s").alias("p", "c")).filter(F.col("c").isNotNull())
-    first = (F.col("p") == 0) | (F.get("s", F.col("p") - 1)["t"] != F.col("c.t"))
-    return cells.select(
-        F.col("c.t").alias("term"),
-        F.when(first, F.col(row_id)).alias("first_row"),
-        F.when(first, F.col("c.i")).alias("first_pos"),
-    )
-
-
 def sequence_fit(
     df: DataFrame, num_words: int = NUM_WORDS, text: str = "text", row_id: str = "row_id"
 ) -> DataFrame:
@@ -134,11 +131,12 @@ def sequence_fit(
     every other word, so the list ends where ids would reach ``num_words``.
     """
     _check_size(num_words)
-    cells = _first_cells(df, sequence_tokens(F.col(text)), row_id)
+    cells = _token_cells(df, sequence_tokens(F.col(text)), row_id)
+    # One row per document and distinct term carries a position, so the smallest row id has no ties.
+    distinct = F.col("p") >= F.col("m")
+    row, pos = F.when(distinct, F.col(row_id)), F.when(distinct, F.col("p") - F.col("m"))
     counts = cells.groupBy("term").agg(
-        F.count("*").alias("n"),
-        F.min("first_row").alias("first_row"),
-        F.min_by("first_pos", "first_row").alias("first_pos"),
+        F.count_if(~distinct).alias("n"), F.min(row).alias("first_row"), F.min_by(pos, row).alias("first_pos")
     )
     order = [F.desc("n"), F.asc("first_row"), F.asc("first_pos")]
     top = counts.orderBy(*order).limit(max(num_words - 2, 0))
@@ -148,22 +146,28 @@ def sequence_fit(
 
 
 def _lookup(df: DataFrame, tokens: Column, vocab: DataFrame, row_id: str, out: str) -> DataFrame:
-    """Token array to id array.
+    """Token array to id array, batch by batch in Arrow.
 
-    Rows are partitioned by row id before the tokens are exploded, so the regrouping reuses that
-    partitioning: what crosses the network is each token array, once.
+    A join would have to explode every text and shuffle it back together. The vocabulary is small
+    (its size is an argument of the fit), so each task looks whole columns up in it, and no row moves.
     """
-    arrays = df.select(row_id, tokens.alias("t"))
-    arrays = arrays.repartition(row_id)
-    cells = arrays.select(row_id, F.posexplode_outer("t").alias("pos", "term"))
-    ids = cells.join(vocab.select("term", "id"), "term", "left").groupBy(row_id).agg(
-        F.sort_array(
-            F.collect_list(
-                F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(OOV_ID)).alias("id")))
-            )
-        ).alias("cells")
-    )
-    return ids.select(row_id, F.transform("cells", lambda c: c["id"]).alias(out))
+    words = vocab.select("term", "id").collect()
+    _check_size(max(len(words), 1))
+    terms, ids = [w["term"] for w in words], [w["id"] for w in words]
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        id_of = pa.array(ids, pa.int32())
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            at = pc.index_in(flat, value_set=pa.array(terms, pa.string()).cast(flat.type))
+            found = pc.fill_null(pc.take(id_of, at), OOV_ID)
+            ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int32()))
+            offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, found)], names=[row_id, out])
+
+    id_type = dict(df.dtypes)[row_id]
+    return df.select(row_id, tokens.alias(out)).mapInArrow(convert, f"`{row_id}` {id_type}, `{out}` array<int>")
 
 
 def to_sequences(
