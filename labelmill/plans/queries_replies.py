@@ -347,24 +347,18 @@ def _(spark, d):
 # --- teacher runs with a deterministic stand-in: it echoes the prompt, so results follow from the tables --------
 
 
-def _echo(frame):
-    """Five samples per request; every seventh request fails, every eleventh comes back empty."""
-    answers = []
-    for seq, prompt in zip(frame["seq"], frame["prompt"]):
-        if seq % 7 == 0:
-            answers.append(ValueError)
-        elif seq % 11 == 0:
-            answers.append("")
-        else:
-            answers.append("\n".join(f"{prompt}, request {seq}, text {k}" for k in range(5)))
-    return answers
+def stand_in():
+    """Teacher with five samples per request; every seventh request raises, every eleventh comes back empty.
+
+    Made inside a function, so that it travels to the executors by value.
+    """
 
+    def answer(seq, prompt):
+        if seq % 7 == 0:
+            raise ValueError("no answer")
+        return "" if seq % 11 == 0 else "\n".join(f"{prompt}, request {seq}, text {k}" for k in range(5))
 
-def _failing_echo(frame):
-    answers = _echo(frame)
-    if any(a is ValueError for a in answers):
-        raise ValueError("no answer")
-    return answers
+    return lambda frame: [answer(seq, prompt) for seq, prompt in zip(frame["seq"], frame["prompt"])]
 
 
 def _prompts(spark, d):
@@ -381,7 +375,7 @@ def _prompts(spark, d):
          WHEN (doc_id + 1) % 11 = 0 THEN 'failed_empty' ELSE 'success' END AS status FROM documents""",
 )
 def _(spark, d):
-    return rs.teacher_map(_prompts(spark, d), _failing_echo).select("seq", "batch", "class_label", "status")
+    return rs.teacher_map(_prompts(spark, d), stand_in()).select("seq", "batch", "class_label", "status")
 
 
 @query(
@@ -391,7 +385,7 @@ def _(spark, d):
 )
 def _(spark, d):
     path = scratch_path(spark, "responses")
-    log_responses(rs.teacher_map(_prompts(spark, d), _failing_echo), path, "stand-in")
+    log_responses(rs.teacher_map(_prompts(spark, d), stand_in()), path, "stand-in")
     return read_responses(spark, path).select(
         "seq", "class_label", "status", "model_used", F.col("logged_at").isNotNull().alias("has_time")
     )
@@ -412,23 +406,23 @@ def _source_classes(spark, d):
 )
 def _(spark, d):
     rows = table(spark, d, "documents").count()
-    made = gen.generate_training(_source_classes(spark, d), _failing_echo, volume=rows, min_per_class=100)
+    made = gen.generate_training(_source_classes(spark, d), stand_in(), volume=rows, min_per_class=100)
     return made.samples.select("label", "text")
 
 
 @query("generate_multilabel")
 def _(spark, d):
     rows = table(spark, d, "documents").count()
-    return gen.generate_multilabel(_source_classes(spark, d), _failing_echo, volume=rows, min_per_class=100)
+    return gen.generate_multilabel(_source_classes(spark, d), stand_in(), volume=rows, min_per_class=100)
 
 
 @query("generate_edge_cases")
 def _(spark, d):
     out = scratch_path(spark, "edge")
     made = gen.generate_edge_cases(
-        _source_classes(spark, d), _failing_echo, "Tell the source of a text", "multiclass_softmax", 80, out=out
+        _source_classes(spark, d), stand_in(), "Tell the source of a text", "multiclass_softmax", 80, out=out
     )
-    again = gen.generate_edge_cases(_source_classes(spark, d), _failing_echo, "", "", out=out)
+    again = gen.generate_edge_cases(_source_classes(spark, d), stand_in(), "", "", out=out)
     return made.stats.withColumn("skipped_second_time", F.lit(again is None))
 
 
