@@ -45,10 +45,11 @@ def last_entries(m: Column) -> Column:
         F.map_entries(m), lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e["value"].alias("value"))
     )
     ordered = F.sort_array(numbered)
-    return F.filter(
-        ordered,
-        lambda e, i: (i == F.size(ordered) - 1) | (F.get(ordered, i + 1)["key"] != e["key"]),
-    )
+    # Each entry is paired with its successor; a lambda that named the array would evaluate it per element.
+    after = F.slice(ordered, F.lit(2), F.size(ordered))
+    pairs = F.arrays_zip(ordered.alias("e"), after.alias("next"))
+    last = F.filter(pairs, lambda x: x["next"].isNull() | (x["next"]["key"] != x["e"]["key"]))
+    return F.transform(last, lambda x: x["e"])
 
 
 def sample_texts(c: Column, n: int = 10) -> Column:
