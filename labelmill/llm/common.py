@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,3 +48,23 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", size: int = SL
 def columns_of(df: DataFrame, **wanted: Column) -> DataFrame:
     """Exactly the wanted columns, so that extra columns of the input can't clash with an operator's own."""
     return df.select(*(c.alias(name) for name, c in wanted.items()))
+
+
+_shipped: set[str] = set()
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, after this package was added to the session's Python files (once), so that every task can import it."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        root = os.path.dirname(package)
+        path = os.path.join(tempfile.mkdtemp(prefix="labelmill-"), "labelmill.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in sorted(os.walk(package)):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    file = os.path.join(folder, name)
+                    z.write(file, os.path.relpath(file, root))
+        context.addPyFile(path)
+        _shipped.add(context.applicationId)
+    return df

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import fingerprints, mixing, url_reputation
+from labelmill.llm import brown, fingerprints, mixing, near_duplicates, near_vectors, packing, secrets, tokens, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,7 +47,48 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@query("op1_best_fit_packing")
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of 2048 tokens."""
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return tokens.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 @query("op9_mix_sources")
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents by the weights 5, 2, 1 of their sources."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_minhash_dedup")
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op5_metric_join")
+def op5_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all vectors."""
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_brown_lm")
+def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-model scores of all documents."""
+    return brown.score_held_out(table(spark, sf_dir, "documents"))
