@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import brown, fingerprints, mixing, near_duplicates, near_vectors, packing, secrets, tokens, url_reputation
+from labelmill.llm import brown, crf, fingerprints, mixing, near_duplicates, near_vectors, packing, secrets, tokens, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,9 @@ def op5_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class-model scores of all documents."""
     return brown.score_held_out(table(spark, sf_dir, "documents"))
+
+
+@query("op2_language_crf")
+def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    return crf.identify_held_out(table(spark, sf_dir, "documents"))

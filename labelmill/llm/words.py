@@ -27,16 +27,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and length of every word, A-Z lower-cased; long texts in chunks that end between words."""
+# Runs of ASCII letters and of all bytes of other characters: what is left when digits and ASCII punctuation go.
+NOT_LETTERS = np.array([not chr(b).isalpha() if b < 128 else False for b in range(256)])
+
+
+def word_hashes(text: bytes, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and length of every word, A-Z lower-cased; long texts in chunks that end between words.
+
+    ``between`` tells for each byte whether it separates words.
+    """
     hashes, starts, lengths, at, n = [], [], [], 0, len(text)
     while at < n:
         end = min(at + CHUNK_BYTES, n)
-        while end < n and not _SPACE[text[end]]:
+        while end < n and not between[text[end]]:
             end += 1
         raw = np.frombuffer(text, np.uint8, end - at, at)
         space = np.ones(len(raw) + 2, bool)
-        space[1:-1] = _SPACE[raw]
+        space[1:-1] = between[raw]
         first = np.flatnonzero(space[:-2] & ~space[1:-1])
         length = np.flatnonzero(~space[1:-1] & space[2:]) + 1 - first
         if len(first):
@@ -54,9 +61,9 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(starts), np.concatenate(lengths)
 
 
-def words_of(batch: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(batch: list[bytes], between: np.ndarray = _SPACE) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The texts joined, hash, start and length of each word, and where each text's words begin and end."""
     joined = b" ".join(batch)
-    hashes, starts, lengths = word_hashes(joined)
+    hashes, starts, lengths = word_hashes(joined, between)
     ends = np.cumsum([len(t) + 1 for t in batch])
     return joined, hashes, starts, lengths, np.concatenate(([0], np.searchsorted(starts, ends)))
