@@ -320,3 +320,18 @@ def identify_held_out(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFra
     out: Column = fold_crc("doc_id", folds) == held
     model = train(docs.filter(~out))
     return predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+    """The documents whose language is determined and makes up ``least_score`` of their words; columns as they are.
+
+    Learns from the documents' own ``lang``. If none has one, all documents with a letter stay.
+    """
+    model = train(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    judged = materialise(predict(docs, model).filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least_score)), "rejected")
+    # Rejected ids are joined away, so the texts pass as they are. A row without an id is judged by whether it has letters.
+    gone = judged.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
+    lettered = F.col("doc_id").isNotNull() | F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return docs.filter(lettered).join(gone, "doc_id", "left_anti").select(*docs.columns)

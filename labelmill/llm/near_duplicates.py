@@ -240,3 +240,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     component = F.coalesce("component", "node")
     return every.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The documents without all but the one with the smallest id of each near-duplicate group; columns as they are.
+
+    Of rows with the same id one stays (rows without an id all stay).
+    """
+    judged = near_duplicates(docs)
+    gone = materialise(judged.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    left = docs.join(gone, "doc_id", "left_anti")
+    repeated = materialise(
+        judged.filter(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated"
+    )
+    if repeated.isEmpty():
+        return left
+    return left.join(repeated, "doc_id", "left_anti").unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.llm import brown, crf, fingerprints, mixing, near_duplicates, near_vectors, packing, secrets, tokens, url_reputation
+from labelmill.llm.common import LOWER, UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,7 +31,85 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
-@query("op6_url_reputation")
+_HOST = "(?s)^.*?://([^/?#]*)([^?#]*)"
+_SUFFIXES = ", ".join(f"'{x}'" for x in url_reputation.TWO_LABEL_SUFFIXES)
+
+
+def _sql_strength(children: str, parent: str) -> str:
+    low, high = url_reputation.LEAST_RHO, url_reputation.MOST_RHO
+    return f"""(SELECT CASE WHEN room > 0 THEN (1 - rho) / rho ELSE {url_reputation.DEFAULT_STRENGTH} END FROM (
+      SELECT room, greatest({low}, least({high}, (spread - binomial) / nullif(room, 0))) AS rho FROM (
+        SELECT sum(b2n - bad * m) AS spread, sum(m * (1 - m) * (k - 1)) AS binomial, sum(m * (1 - m) * (n - n2 / n - (k - 1))) AS room FROM (
+          SELECT sum(bad) / sum(n) AS m, sum(n) AS n, sum(bad) AS bad, sum(n * n) AS n2, sum(bad * bad / n) AS b2n, count(*) AS k
+          FROM {children} GROUP BY {parent}))))"""
+
+
+def _sql_rule() -> tuple[str, str]:
+    ordered = sorted(URL_RULES, key=lambda r: (-len(r[1]), r[1]))
+    fits = []
+    for said, text in ordered:
+        at = text.find("/")
+        fits.append((f"(host = '{text[:at]}' OR ends_with(host, '.{text[:at]}')) AND starts_with(path, '{text[at:]}')", text, said))
+    case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
+    return case(1), case(2)
+
+
+OP6_SQL = f"""
+WITH parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '{_HOST}', 1), '{UPPER}', '{LOWER}'), '') AS host,
+         coalesce(regexp_extract(url, '{_HOST}', 2), '') AS path FROM pages),
+named AS (
+  SELECT DISTINCT host, CASE WHEN two IN ({_SUFFIXES}) THEN three ELSE two END AS domain, CASE WHEN two IN ({_SUFFIXES}) THEN two ELSE one END AS suffix
+  FROM (SELECT host, string_split(host, '.')[-1] AS one, array_to_string(string_split(host, '.')[-2:], '.') AS two,
+               array_to_string(string_split(host, '.')[-3:], '.') AS three FROM parts)),
+counts AS (
+  SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad::INT)::DOUBLE AS bad
+  FROM (SELECT host, greatest(toxic = 1, quality = 0) AS bad FROM parts JOIN labels ON page_id = doc_id) JOIN named USING (host)
+  WHERE bad IS NOT NULL GROUP BY ALL),
+domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM counts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, 1 AS everything FROM domains GROUP BY ALL),
+priors AS (SELECT (SELECT coalesce(sum(bad) / sum(n), 0.5) FROM suffixes) AS mean0, {_sql_strength("suffixes", "everything")} AS m_s,
+           {_sql_strength("domains", "suffix")} AS m_d, {_sql_strength("counts", "suffix, domain")} AS m_h),
+shrunk_s AS (
+  SELECT named.*, m_d, m_h, (coalesce(s.bad, 0) + m_s * mean0) / (coalesce(s.n, 0) + m_s) AS mean_s
+  FROM named, priors LEFT JOIN suffixes s ON s.suffix = named.suffix),
+shrunk_d AS (
+  SELECT x.*, (coalesce(d.bad, 0) + m_d * mean_s) / (coalesce(d.n, 0) + m_d) AS mean_d
+  FROM shrunk_s x LEFT JOIN domains d ON d.domain = x.domain AND d.suffix = x.suffix),
+shrunk_h AS (
+  SELECT x.host, m_h, coalesce(c.n, 0) AS n, (coalesce(c.bad, 0) + m_h * mean_d) / (coalesce(c.n, 0) + m_h) AS mean
+  FROM shrunk_d x LEFT JOIN counts c ON c.host = x.host)
+SELECT page_id, host, path, {_sql_rule()[0]} AS rule,
+  coalesce({_sql_rule()[1]}, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (n + m_h + 1)) > 0.3 THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts JOIN shrunk_h USING (host)
+"""
+
+OP9_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM sized GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][number % 3 + 1] AS weight, 3 * source_size AS cap FROM sources),
+filled AS (
+  SELECT *, sum(cap) OVER upto - cap AS capped, sum(weight) OVER () - sum(weight) OVER upto + weight AS weights,
+         (sum(source_size) OVER ())::BIGINT AS total, row_number() OVER upto AS nth
+  FROM weighed WINDOW upto AS (ORDER BY cap::DOUBLE / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+share AS (
+  SELECT arg_min((total - capped)::DOUBLE / weights::DOUBLE, nth) AS share FROM filled
+  WHERE weight * ((total - capped)::DOUBLE / weights::DOUBLE) < cap),
+shares AS (SELECT source, source_size, least(cap::DOUBLE, weight * coalesce((SELECT share FROM share), 0.0)) AS target FROM weighed),
+placed AS (
+  SELECT z.*, source_size, target, round(target)::BIGINT AS budget,
+         (sum(size) OVER (PARTITION BY z.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS before
+  FROM sized z JOIN shares s ON z.source IS NOT DISTINCT FROM s.source),
+whole AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM placed)
+SELECT doc_id, size, source_size, target,
+  (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken FROM whole
+"""
+
+
+@query("op6_url_reputation", OP6_SQL)
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts for all pages; a labelled page is bad if it is toxic or of low quality."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
@@ -63,7 +142,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-@query("op9_mix_sources")
+@query("op9_mix_sources", OP9_SQL)
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents by the weights 5, 2, 1 of their sources."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
