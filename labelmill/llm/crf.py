@@ -80,7 +80,7 @@ class Words:
         self.joined, self.starts, self.lengths = joined, starts, lengths
         self.distinct, first, self.at = np.unique(hashes, return_index=True, return_inverse=True)
         size = lengths[first] + 2
-        self.begins = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
+        self.begins = np.cumsum(size) - size
         n = int(size.sum())
         place = np.arange(n) - np.repeat(self.begins, size)
         raw = np.frombuffer(joined, np.uint8)
@@ -101,7 +101,8 @@ class Words:
     def layout(self) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and step of each token: every text begins a new sequence."""
         counts = np.diff(self.bounds)
-        base = np.concatenate(([0], np.cumsum(-(-counts // STEPS))[:-1]))
+        sequences = -(-counts // STEPS)
+        base = np.cumsum(sequences) - sequences
         inside = np.arange(len(self.at)) - np.repeat(self.bounds[:-1], counts)
         return np.repeat(base, counts) + inside // STEPS, inside % STEPS
 

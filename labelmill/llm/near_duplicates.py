@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         parts = components(links.unionByName(more))
     every = (
         signed.select("doc_id", "n_shingles", "digest").join(copies, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("node"))
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("node"))
         .join(parts, "node", "left")
     )
     component = F.coalesce("component", "node")
