@@ -192,12 +192,12 @@ def _(spark, d):
 # --- readers and writers: tables go out to files and come back ----------------------------------------
 
 
-@query("csv_round_trip", "SELECT doc_id, text, lang, n_chars FROM documents")
+@query("csv_round_trip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def _(spark, d):
     path = scratch_path(spark, "table.csv")
-    wr._csv(table(spark, d, "documents").drop("source"), path, "overwrite")
+    wr._csv(table(spark, d, "documents"), path, "overwrite")
     loaded, _ = rd.load_data(spark, path)
-    return loaded.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", F.col("n_chars").cast("bigint").alias("n_chars"))
+    return loaded.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("bigint").alias("n_chars"))
 
 
 @query("tsv_latin1_round_trip", "SELECT o_orderkey, o_orderstatus || chr(233) AS status, o_orderpriority AS priority FROM orders")
@@ -226,30 +226,29 @@ def _(spark, d):
 @query("json_invalid_lines", "SELECT count(*) AS n_lines, count(*) FILTER (source = 'src3') AS n_invalid FROM documents")
 def _(spark, d):
     path = scratch_path(spark, "table.json")
-    line = F.to_json(F.struct("doc_id", "lang"))
+    line = F.to_json(F.struct("doc_id", "text", "lang"))
     broken = F.when(F.col("source") == "src3", F.substring(line, F.lit(1), F.length(line) - 2)).otherwise(line)
     table(spark, d, "documents").select(broken.alias("value")).write.text(path)
     return rd.count_invalid_lines(spark, path)
 
 
 def _blocks(spark, d, body):
-    """JSON files of a thousand documents each (ids and labels, not texts): a file holds one value."""
+    """JSON files of up to fifty documents each: a file holds one value, and every scale has many files."""
     path = scratch_path(spark, "table.json")
-    rows = table(spark, d, "documents").groupBy(block(F.col("doc_id"), 1000).alias("block"))
+    rows = table(spark, d, "documents").groupBy(block(F.col("doc_id"), 50).alias("block"))
     body(rows).select("value").write.option("maxRecordsPerFile", 1).text(path)
-    return rd.load_data(spark, path)[0].select("doc_id", "lang", "source")
+    return rd.load_data(spark, path)[0].select("doc_id", "text", "lang", "source")
 
 
-@query("json_list_round_trip", "SELECT doc_id, lang, source FROM documents")
+@query("json_list_round_trip", "SELECT doc_id, text, lang, source FROM documents")
 def _(spark, d):
-    return _blocks(
-        spark, d, lambda g: g.agg(F.to_json(F.collect_list(F.struct("doc_id", "lang", "source"))).alias("value"))
-    )
+    fields = F.struct("doc_id", "text", "lang", "source")
+    return _blocks(spark, d, lambda g: g.agg(F.to_json(F.collect_list(fields)).alias("value")))
 
 
-@query("json_columns_round_trip", "SELECT doc_id, lang, source FROM documents")
+@query("json_columns_round_trip", "SELECT doc_id, text, lang, source FROM documents")
 def _(spark, d):
-    columns = [F.collect_list(c).alias(c) for c in ("doc_id", "lang", "source")]
+    columns = [F.collect_list(c).alias(c) for c in ("doc_id", "text", "lang", "source")]
     return _blocks(spark, d, lambda g: g.agg(F.to_json(F.struct(*columns)).alias("value")))
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from labelmill.functions.replies import one_json_value
 from labelmill.functions.text import strip
+from labelmill.session import local_copy
 
 _CORRUPT = "_corrupt_record"
 
@@ -26,14 +29,16 @@ def probe_text(spark: SparkSession, path: str) -> tuple[str, bool]:
 
     The text source hands over raw bytes, so one distributed scan can check every line: all valid
     means UTF-8, otherwise ISO-8859-1, which decodes any byte. A quoted field with a line break
-    leaves a line with an odd number of quotes; without such lines the file can be read in splits.
+    begins with a quote at the start of a field that isn't closed on its line; a quote elsewhere in
+    an unquoted field means nothing. Without such lines the file can be read in splits.
     """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    # Closed quoted fields are taken out first; what still opens a field with a quote is not closed.
+    closed = F.regexp_replace("value", r'(^|[,\t])[ ]*"(?:[^"]|"")*"(?=[,\t]|\s*$)', "$1")
     row = (
         spark.read.text(path)
         .agg(
             F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)),
-            F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)),
+            F.coalesce(F.bool_or(closed.rlike(r'(^|[,\t])[ ]*"')), F.lit(False)),
         )
         .first()
     )
@@ -57,14 +62,26 @@ def read_csv_any(spark: SparkSession, path: str, infer: bool = True) -> DataFram
     )
 
 
+_JSON = {"allowSingleQuotes": "false"}
+
+
+def _json_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame | None:
+    """The valid lines of JSON-lines files as rows; None if there are none."""
+    lines = spark.read.text(paths).select(strip(F.col("value")).alias("line"))
+    valid = lines.filter((F.col("line") != "") & F.col("line").rlike(r"^\{") & one_json_value(F.col("line")))
+    schema = spark.read.json(paths, columnNameOfCorruptRecord=_CORRUPT, allowSingleQuotes=False).schema
+    schema = StructType([f for f in schema if f.name != _CORRUPT])
+    if not schema.fields:
+        return None
+    return valid.select(F.from_json("line", schema, _JSON).alias("row")).select("row.*")
+
+
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """One object per line; invalid lines are skipped, and a file without valid lines is an error."""
-    df = spark.read.json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, allowSingleQuotes=False)
-    if df.columns in ([], [_CORRUPT]):
+    df = _json_lines(spark, path)
+    if df is None:
         raise ValueError(f"no valid JSON objects in {path}")
-    if _CORRUPT not in df.columns:
-        return df
-    return df.filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    return df
 
 
 def count_invalid_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -73,26 +90,55 @@ def count_invalid_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.agg(F.count("*").alias("n_lines"), F.count_if(~one_json_value(F.col("line"))).alias("n_invalid"))
 
 
+def _files(df: DataFrame, condition) -> list[str]:
+    return [r["file"] for r in df.filter(condition).select("file").collect()]
+
+
 def read_json_any(spark: SparkSession, path: str) -> DataFrame:
-    """A list of objects, an object of equally long lists, a single object, or JSON lines."""
-    lines = spark.read.text(path).select(strip(F.col("value")).alias("line")).filter(F.col("line") != "")
-    first_two = lines.select("line", one_json_value(F.col("line")).alias("whole")).limit(2).collect()
-    if not first_two:
-        raise ValueError(f"no data in {path}")
-    if len(first_two) == 2 and first_two[0]["whole"]:
-        return read_json_lines(spark, path)
-    df = spark.read.json(
-        path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, allowSingleQuotes=False
+    """Files that each hold a list of objects, an object of equally long lists, a single object, or JSON lines.
+
+    Each file is judged by itself. A file whose first line is a JSON value and that has more lines is JSON lines; any
+    other is one value if it parses as a whole (one task per file, which is the format's limit), and else JSON lines
+    with damaged ones. The driver holds the names of the files, as for any scan.
+    """
+    line = strip(F.col("value"))
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), line.alias("line"), place.alias("place"))
+    kinds = (
+        lines.filter(F.col("line") != "").groupBy("file")
+        .agg(F.count("*").alias("n"), F.min_by(one_json_value(F.col("line")), "place").alias("first_whole"))
     )
-    if _CORRUPT in df.columns:
-        return read_json_lines(spark, path)
-    by_column = first_two[0]["line"].startswith("{") and all(t.startswith("array") for _, t in df.dtypes)
-    if not by_column:
-        return df
-    same = [F.size(df.columns[0]) == F.size(c) for c in df.columns[1:]]
+    seen = local_copy(kinds)  # a row per file
+    by_line = _files(seen, "n > 1 AND first_whole")
+    others = _files(seen, "NOT (n > 1 AND first_whole)")
+    if not by_line and not others:
+        raise ValueError(f"no data in {path}")
+    lists, objects = [], []
+    if others:
+        whole = spark.read.text(others, wholetext=True).select(F.col("_metadata.file_path").alias("file"), line.alias("line"))
+        judged = local_copy(whole.select("file", one_json_value(F.col("line")).alias("ok"), F.substring("line", 1, 1).alias("opens")))
+        lists, objects = _files(judged, "ok AND opens = '['"), _files(judged, "ok AND opens = '{'")
+        by_line += _files(judged, "NOT ok")
+    parts = []
+    if lists:
+        parts.append(spark.read.json(lists, multiLine=True, allowSingleQuotes=False))
+    if objects:
+        df = spark.read.json(objects, multiLine=True, allowSingleQuotes=False)
+        parts.append(_by_column(df) if all(t.startswith("array") for _, t in df.dtypes) else df)
+    if by_line and (rows := _json_lines(spark, by_line)) is not None:
+        parts.append(rows)
+    parts = [p for p in parts if p.columns]
+    if not parts:
+        raise ValueError(f"no valid JSON objects in {path}")
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
+def _by_column(df: DataFrame) -> DataFrame:
+    """Rows of objects that hold a list for each column."""
     zipped = F.arrays_zip(*df.columns)
-    for ok in same:
-        zipped = F.when(ok, zipped).otherwise(F.raise_error(F.lit("columns differ in length")))
+    for c in df.columns[1:]:
+        same = F.size(df.columns[0]) == F.size(c)
+        zipped = F.when(same, zipped).otherwise(F.raise_error(F.lit("columns differ in length")))
     return df.select(F.inline(zipped))
 
 
@@ -128,17 +174,17 @@ def load_data(spark: SparkSession, path: str, kind: str | None = None) -> tuple[
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """Training or test CSV ``text,label``: malformed lines and rows without text or label are dropped."""
-    _, multiline = probe_text(spark, path)
+    encoding, multiline = probe_text(spark, path)
     df = spark.read.csv(
-        path, schema="text string, label string", header=True, mode="DROPMALFORMED", multiLine=multiline, escape='"'
+        path, schema="text string, label string", header=True, mode="DROPMALFORMED", multiLine=multiline, escape='"', encoding=encoding
     )
     return df.na.drop(subset=["text", "label"])
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Prediction CSV; the columns text, label and predicted_label are required."""
-    _, multiline = probe_text(spark, path)
-    df = spark.read.csv(path, header=True, multiLine=multiline, escape='"')
+    encoding, multiline = probe_text(spark, path)
+    df = spark.read.csv(path, header=True, multiLine=multiline, escape='"', encoding=encoding)
     missing = {"text", "label", "predicted_label"} - set(df.columns)
     if missing:
         raise ValueError(f"columns missing: {sorted(missing)}; found {df.columns}")

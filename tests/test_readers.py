@@ -58,6 +58,40 @@ def test_json_shapes(spark, tmp_path, text, expected):
     assert kind == "json" and rows(df.select("l", "t")) == expected
 
 
+def test_json_is_judged_file_by_file(spark, tmp_path):
+    folder = tmp_path / "many.json"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"{i}.json").write_text(json.dumps({"t": [f"a{i}", f"b{i}"], "l": [i, i]}))
+    expected = [(i, f"{c}{i}") for i in range(3) for c in "ab"]
+    assert rows(rd.read_json_any(spark, str(folder)).select("l", "t")) == expected
+    (folder / "list.json").write_text(json.dumps([{"t": "x", "l": 7}], indent=1))
+    (folder / "lines.json").write_text('{"t": "y", "l": 8}\nbroken\n{"t": "z", "l": 9}\n')
+    assert rows(rd.read_json_any(spark, str(folder)).select("l", "t")) == [*expected, (7, "x"), (8, "y"), (9, "z")]
+
+
+def test_json_lines_count_with_a_bad_line(spark, tmp_path):
+    path = write(tmp_path, "a.jsonl", '{"a": 1}\noops\n{"a": 2}\n')
+    assert rd.read_json_lines(spark, path).count() == 2
+
+
+def test_latin1_training_and_predictions(spark, tmp_path):
+    path = tmp_path / "l.csv"
+    path.write_bytes("text,label,predicted_label\ncafé,x,y\n".encode("latin-1"))
+    assert rows(rd.read_predictions(spark, str(path))) == [("café", "x", "y")]
+    path = tmp_path / "t.csv"
+    path.write_bytes("text,label\ncafé,x\n".encode("latin-1"))
+    assert rows(rd.read_labelled(spark, str(path))) == [("café", "x")]
+
+
+@pytest.mark.parametrize(
+    "text, multiline",
+    [('a,b\n5" pipe,x\n', False), ('a,b\n"q, r",x\n', False), ('a,b\n"one\ntwo",x\n', True), ('a,b\n"say ""hi""",x\n', False), ('a,b\nx,"one\n\ntwo"\n', True)],
+)
+def test_quotes_that_span_lines(spark, tmp_path, text, multiline):
+    assert rd.probe_text(spark, write(tmp_path, "q.csv", text)) == ("UTF-8", multiline)
+
+
 def test_json_errors(spark, tmp_path):
     with pytest.raises(ValueError):
         rd.load_data(spark, write(tmp_path, "a.json", "nothing\nvalid\n"))
