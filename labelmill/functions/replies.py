@@ -63,6 +63,7 @@ def sample_texts(c: Column, n: int = 10) -> Column:
     in_order = F.sort_array(F.transform(entries, lambda e: F.struct(e["at"], e["value"])))
     values = F.transform(in_order, lambda e: unquote(e["value"]))
     from_json = F.filter(values, lambda v: long_enough(v, n))
+    # Fixed value: the pattern of a numbered pair.
     pairs = F.regexp_extract_all(c, F.lit(r'"(\d+)"\s*:\s*"([^"]*)"'), 2)
     from_pairs = F.filter(pairs, lambda v: (v != "") & ~v.endswith("\\"))
     lines = F.transform(F.split(strip(c), "\n"), lambda v: strip(unquote(v)))

@@ -115,9 +115,12 @@ def error_sample(
 ) -> DataFrame:
     """First wrong rows (half the limit), filled up with correct rows, each as one line of text.
 
+    A row without a label or prediction is wrong; what is null is shown as such.
+
     The rows are chosen on ids alone; texts and probabilities are read for the chosen ones only.
     """
-    narrow = df.select(row_id, is_correct(F.col("label"), F.col("predicted_label")).alias("is_correct"))
+    same = F.coalesce(is_correct(F.col("label"), F.col("predicted_label")), F.lit(False))
+    narrow = df.select(row_id, same.alias("is_correct"))
     first = lambda condition, n: narrow.filter(condition).orderBy(row_id).limit(n)
     # One and a half times the limit at most.
     found = local_copy(first(~F.col("is_correct"), limit // 2).unionByName(first(F.col("is_correct"), limit)))
@@ -126,12 +129,15 @@ def error_sample(
     probs = [l for l in (labels or []) if f"{l}_prob" in df.columns]
     info = F.lit("")
     if probs:
-        shown = [F.format_string("%s: %.3f", F.lit(l), F.col(f"{l}_prob").cast("double")) for l in probs]
+        said = lambda l: F.coalesce(F.format_string("%.3f", F.col(f"{l}_prob").cast("double")), F.lit("null"))
+        shown = [F.concat(F.lit(f"{l}: "), F.when(F.col(f"{l}_prob").isNull(), "null").otherwise(said(l))) for l in probs]
         info = F.concat(F.lit(" (Probs: "), F.concat_ws(", ", *shown), F.lit(")"))
+    named = lambda c: F.coalesce(c, F.lit("null"))
+    # Fixed value: the layout of a line.
     line = F.concat(
-        F.lit('- Text: "'), ellipsis(F.col("text"), 150, "always"),
-        F.lit('", True: '), F.col("label").cast("string"),
-        F.lit(", Predicted: "), F.col("predicted_label").cast("string"), info,
+        F.lit('- Text: "'), named(ellipsis(F.col("text"), 150, "always")),
+        F.lit('", True: '), named(F.col("label").cast("string")),
+        F.lit(", Predicted: "), named(F.col("predicted_label").cast("string")), info,
     )
     shown = rows_by_id(df, chosen, row_id)
     return shown.join(chosen, row_id).select(row_id, "is_correct", line.alias("line"))

@@ -17,7 +17,8 @@ BATCH_SIZE = 10
 LABELLING_BATCH_SIZE = 15
 
 RESULT_SCHEMA = (
-    "seq bigint, batch bigint, class_label string, prompt_type string, prompt string, response string, status string"
+    "seq bigint, batch bigint, class_label string, prompt_type string, prompt string, response string, status string, "
+    "error string"
 )
 
 
@@ -69,39 +70,52 @@ def with_batches(df: DataFrame, size: int = BATCH_SIZE, seq: str = "seq") -> Dat
     return df.withColumn("batch", block(F.col(seq) - 1, size))
 
 
+def one_by_one(answer: Callable) -> Callable[[pd.DataFrame], list]:
+    """A teacher for ``teacher_map`` from a function of one request ``(seq, prompt)``; what it raises stays with its request."""
+
+    def answers(frame: pd.DataFrame) -> list:
+        found = []
+        for seq, prompt in zip(frame["seq"], frame["prompt"], strict=True):
+            try:
+                found.append(answer(seq, prompt))
+            except Exception as error:  # any failure of the teacher belongs to its request
+                found.append(error)
+        return found
+
+    return answers
+
+
 def teacher_map(
     requests: DataFrame, fn: Callable[[pd.DataFrame], list], parallelism: int | None = None
 ) -> DataFrame:
-    """Apply a teacher to every request, in parallel over partitions.
+    """Apply a teacher to every request, in parallel over partitions; each request is asked once.
 
-    ``fn`` gets a pandas frame of requests and returns one response per row. If it raises, the
-    rows are retried one by one, so an exception marks its own row as ``failed``; empty
-    responses are ``failed_empty``. ``parallelism`` bounds the number of concurrent calls.
+    ``fn`` gets a pandas frame of requests and returns for each row a response or an exception, which marks its
+    own row as ``failed`` (see ``one_by_one``). If ``fn`` itself raises, nothing is known of its rows: all of that
+    call's are ``failed``, and none is asked again. Empty responses are ``failed_empty``. ``error`` says why a
+    row failed. ``parallelism`` bounds the number of concurrent calls. Write the result before using it in several
+    jobs or sorting it: each job over an unwritten plan would ask anew.
     """
     if "batch" not in requests.columns:
         requests = with_batches(requests)
     if parallelism:
         requests = requests.repartition(parallelism, "seq")
 
-    def one(row: pd.DataFrame) -> tuple[str, str]:
-        try:
-            return outcome(list(fn(row))[0])
-        except Exception as error:  # any failure of the teacher belongs to its row
-            return f"TEACHER_ERROR: {type(error).__name__} - {error}", "failed"
-
-    def outcome(answer) -> tuple[str, str]:
-        return (str(answer), "success") if answer else ("TEACHER_EMPTY_RESPONSE", "failed_empty")
+    def outcome(answer) -> tuple[str | None, str, str | None]:
+        if isinstance(answer, Exception):
+            return None, "failed", f"{type(answer).__name__}: {answer}"
+        return (str(answer), "success", None) if answer else (None, "failed_empty", "empty response")
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             try:
                 answers = list(fn(frame))
                 if len(answers) != len(frame):
-                    raise ValueError("one response per request expected")
-                results = [outcome(a) for a in answers]
-            except Exception:
-                results = [one(frame.iloc[i : i + 1]) for i in range(len(frame))]
-            yield frame.assign(response=[r for r, _ in results], status=[s for _, s in results])
+                    raise ValueError(f"{len(answers)} responses to {len(frame)} requests")
+            except Exception as error:
+                answers = [error] * len(frame)
+            response, status, why = zip(*map(outcome, answers), strict=True) if answers else ((), (), ())
+            yield frame.assign(response=list(response), status=list(status), error=list(why))
 
     return requests.select("seq", "batch", "class_label", "prompt_type", "prompt").mapInPandas(call, RESULT_SCHEMA)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,10 @@ from labelmill.operators.duplicates import duplicate_report
 from labelmill.operators.replies import parse_samples
 from labelmill.operators.synthesis import synthesise_multilabel
 from labelmill.session import scratch_path
-from labelmill.sources.writers import append_samples, log_responses, read_responses
+from labelmill.sources.writers import append_samples, log_responses
+
+# Batches that are sent before the counts are looked at again.
+WAVE = 10
 
 
 @dataclass
@@ -38,26 +42,30 @@ def _collect(
     parallelism: int | None,
     wave: int | None,
 ) -> Generated:
-    """Run a request plan.
+    """Run a request plan, ``wave`` batches at a time; no further wave starts once every class has its target.
 
-    Responses are written to the log before anything else, so a teacher is asked once per request.
-    With ``wave`` set, that many batches are sent at a time and no further wave starts once every
-    class has its target; without it all requests go out and the quota is applied afterwards.
+    Each wave's responses are written before anything else, so a teacher is asked once per request, and are parsed
+    once; the running counts read the parsed samples' labels only. ``wave=None`` sends all requests at once.
     """
     spark = plan.sparkSession
     log = log or scratch_path(spark, "responses")
+    answered, parsed = scratch_path(spark, "answered"), scratch_path(spark, "parsed")
     plan = req.with_batches(plan, batch_size)
     n_batches = plan.agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]
-    for start in range(0, n_batches, wave or max(n_batches, 1)):
+    for start in range(0, max(n_batches, 1), wave or max(n_batches, 1)):
         part = plan.filter(F.col("batch").between(start, start + (wave or n_batches) - 1))
-        log_responses(req.teacher_map(part, fn, parallelism), log)
+        this = f"{answered}/wave={start}"
+        req.teacher_map(part, fn, parallelism).write.parquet(this)
+        replies = spark.read.parquet(this)
+        log_responses(replies, log)
+        parse_samples(replies).write.mode("append").parquet(parsed)
         if wave:
-            counts = parse_samples(read_responses(spark, log)).groupBy("class_label").agg(F.count("*").alias("n"))
+            counts = spark.read.parquet(parsed).groupBy("class_label").agg(F.count("*").alias("n"))
             open_classes = classes.join(counts.filter(F.col("n") >= target), "class_label", "left_anti")
             if open_classes.isEmpty():
                 break
-    results = read_responses(spark, log)
-    samples = req.apply_quota(parse_samples(results), classes, target)
+    results = spark.read.parquet(answered).drop("wave")
+    samples = req.apply_quota(spark.read.parquet(parsed), classes, target)
     samples = samples.select("seq", "pos", "batch", "class_label", "text", F.col("class_label").alias("label"))
     if out:
         append_samples(samples, out)
@@ -73,7 +81,7 @@ def generate_training(
     out: str | None = None,
     log: str | None = None,
     parallelism: int | None = None,
-    wave: int | None = None,
+    wave: int | None = WAVE,
 ) -> Generated:
     """Single-label training data for ``(class_label, prompt)`` classes."""
     usable = classes.filter(F.coalesce(F.length("prompt"), F.lit(0)) > 0)
@@ -108,8 +116,13 @@ def edge_prompts(classes: DataFrame, problem: str, classification_type: str, lan
 
 
 def _exists(spark, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    try:
+        spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def generate_edge_cases(
@@ -128,5 +141,5 @@ def generate_edge_cases(
         return None
     prompts = edge_prompts(classes, problem, classification_type, language)
     plan = req.plan_requests(prompts, per_class, req.ROWS_PER_EDGE_REQUEST, "edge_case")
-    settings = {"log": None, "parallelism": None, "wave": None} | options
+    settings = {"log": None, "parallelism": None, "wave": WAVE} | options
     return _collect(plan, prompts, fn, per_class, max(1, batch_size // 2), out, **settings)

@@ -384,22 +384,21 @@ def _(spark, d):
     return row.select(*[F.round(c, 6).alias(c) for c in row.columns])
 
 
-_LINE = """'- Text: "' || substring(text, 1, 150) || '..."' || ', True: ' || label || ', Predicted: ' || predicted_label
+_LINE = """'- Text: "' || substring(text, 1, 150) || '..."' || ', True: ' || label || ', Predicted: ' || coalesce(predicted_label, 'null')
  || ' (Probs: de: ' || printf('%.3f', de_prob) || ', en: ' || printf('%.3f', en_prob) || ')'"""
-_SHOWN = f"SELECT *, {sql_unit('de')} AS de_prob, {sql_unit('en')} AS en_prob FROM ({PREDICTIONS}) WHERE predicted_label IS NOT NULL"
+_SHOWN = f"SELECT *, {sql_unit('de')} AS de_prob, {sql_unit('en')} AS en_prob FROM ({PREDICTIONS})"
 
 
 @query(
     "error_sample",
-    f"""WITH p AS ({_SHOWN}), w AS (SELECT * FROM p WHERE label <> predicted_label ORDER BY row_id LIMIT 10),
+    f"""WITH p AS ({_SHOWN}), w AS (SELECT * FROM p WHERE label IS DISTINCT FROM predicted_label ORDER BY row_id LIMIT 10),
           r AS (SELECT *, row_number() OVER (ORDER BY row_id) AS rn FROM p WHERE label = predicted_label),
           k AS (SELECT row_id, text, label, predicted_label, de_prob, en_prob, false AS is_correct FROM w UNION ALL
             SELECT row_id, text, label, predicted_label, de_prob, en_prob, true FROM r WHERE rn <= 20 - (SELECT count(*) FROM w))
         SELECT row_id, is_correct, {_LINE} AS line FROM k""",
 )
 def _(spark, d):
-    shown = predictions(spark, d).filter("predicted_label is not null")
-    shown = shown.withColumn("de_prob", unit("de")).withColumn("en_prob", unit("en"))
+    shown = predictions(spark, d).withColumn("de_prob", unit("de")).withColumn("en_prob", unit("en"))
     return mt.error_sample(shown, LANGS)
 
 

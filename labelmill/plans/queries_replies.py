@@ -358,24 +358,27 @@ def stand_in():
             raise ValueError("no answer")
         return "" if seq % 11 == 0 else "\n".join(f"{prompt}, request {seq}, text {k}" for k in range(5))
 
-    return lambda frame: [answer(seq, prompt) for seq, prompt in zip(frame["seq"], frame["prompt"])]
+    return rs.one_by_one(answer)
 
 
 def _prompts(spark, d):
-    """A request per document: the prompt is the first line of the text, the class the language."""
+    """A request per document: the prompt is the text, the class the language."""
     return table(spark, d, "documents").select(
         (F.col("doc_id") + 1).alias("seq"), F.col("lang").alias("class_label"), F.lit("training_data").alias("prompt_type"),
-        F.substring_index("text", "\n", 1).alias("prompt"),
+        F.col("text").alias("prompt"),
     )
 
 
 @query(
     "teacher_map",
     """SELECT doc_id + 1 AS seq, doc_id // 10 AS batch, lang AS class_label, CASE WHEN (doc_id + 1) % 7 = 0 THEN 'failed'
-         WHEN (doc_id + 1) % 11 = 0 THEN 'failed_empty' ELSE 'success' END AS status FROM documents""",
+         WHEN (doc_id + 1) % 11 = 0 THEN 'failed_empty' ELSE 'success' END AS status,
+         CASE WHEN (doc_id + 1) % 7 <> 0 AND (doc_id + 1) % 11 <> 0 THEN list_reduce(list_transform(range(0, 5),
+           lambda k: text || ', request ' || (doc_id + 1) || ', text ' || k), lambda a, b: a || chr(10) || b) END AS response,
+         CASE WHEN (doc_id + 1) % 7 = 0 THEN 'ValueError: no answer' WHEN (doc_id + 1) % 11 = 0 THEN 'empty response' END AS error FROM documents""",
 )
 def _(spark, d):
-    return rs.teacher_map(_prompts(spark, d), stand_in()).select("seq", "batch", "class_label", "status")
+    return rs.teacher_map(_prompts(spark, d), stand_in()).select("seq", "batch", "class_label", "status", "response", "error")
 
 
 @query(
@@ -410,13 +413,14 @@ def _(spark, d):
     return made.samples.select("label", "text")
 
 
-@query("generate_multilabel")
-def _(spark, d):
-    rows = table(spark, d, "documents").count()
-    return gen.generate_multilabel(_source_classes(spark, d), stand_in(), volume=rows, min_per_class=100)
-
-
-@query("generate_edge_cases")
+@query(
+    "generate_edge_cases",
+    """WITH c AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS ord FROM documents GROUP BY source),
+         r AS (SELECT source, ord * 2 + i AS seq, (ord * 2 + i - 1) // 5 AS batch FROM (SELECT *, unnest([1, 2]) AS i FROM c)),
+         k AS (SELECT source AS class_label, batch, seq % 7 <> 0 AND seq % 11 <> 0 AS ok FROM r)
+       SELECT class_label, batch, count(*) AS requests, count(*) FILTER (NOT ok) AS failed, CAST(sum(CASE WHEN ok THEN 5 ELSE 0 END) AS BIGINT) AS samples,
+         true AS skipped_second_time FROM k GROUP BY ROLLUP (class_label, batch)""",
+)
 def _(spark, d):
     out = scratch_path(spark, "edge")
     made = gen.generate_edge_cases(
@@ -426,6 +430,12 @@ def _(spark, d):
     return made.stats.withColumn("skipped_second_time", F.lit(again is None))
 
 
+@query("generate_multilabel")
+def _(spark, d):
+    rows = table(spark, d, "documents").count()
+    return gen.generate_multilabel(_source_classes(spark, d), stand_in(), volume=rows, min_per_class=100)
+
+
 @query("stream_samples", f"WITH {SAMPLES} SELECT seq, class_label AS label, text FROM samples")
 def _(spark, d):
     arriving, out = scratch_path(spark, "arriving"), scratch_path(spark, "samples")

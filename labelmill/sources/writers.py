@@ -50,7 +50,7 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Read a response log."""
     schema = (
         "seq bigint, batch bigint, class_label string, prompt string, response string, logged_at timestamp, "
-        "model_used string, prompt_type string, status string"
+        "model_used string, error string, prompt_type string, status string"
     )
     return spark.read.schema(schema).json(path)
 

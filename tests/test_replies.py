@@ -6,45 +6,29 @@ from pyspark.sql import functions as F
 from labelmill.functions import replies as rp
 from labelmill.operators import replies as rq
 
-REPLIES = [
-    '{"1": "a good long sample", "2": "short", "3": "  \\"quoted long text\\"  "}',
-    'Sure!\n```json\n{"1": "fenced sample text"}\n```\nbye {x}',
-    '{"1": "first version here", "1": "second version here"}',
-    '{"1": "broken json here", }',
-    '{"1": "one object here"} and {"2": "another object"}',
-    '"1": "pair one", "2": "", "3": "ends\\", "10" : "x"',
-    "first plain line of text\n\n  \"second plain line\"  \nshort\n} odd line with brace",
-    '} reversed {',
-    "{'1': 'single quotes are not json'}",
-    '{"1": null, "2": true, "3": 12345678901, "4": "plain value text"}',
-    "",
-    '{"a": "tab\\tand newline\\nkept inside"}',
-]
-
-
-def expected(reply):
-    """The rules in plain Python."""
-    import re
-
-    if "{" not in reply or "}" not in reply:
-        pairs = re.findall(r'"(\d+)"\s*:\s*"([^"]*)"', reply.strip())
-        if pairs:
-            return [t for _, t in pairs if t and not t.endswith("\\")]
-        lines = [l.strip().strip('"').strip() for l in reply.strip().split("\n")]
-        return [l for l in lines if len(l) >= 10 and not l.startswith("{") and not l.endswith("}")]
-    span = reply[reply.find("{") : reply.rfind("}") + 1]
-    try:
-        values = json.loads(span).values()
-    except json.JSONDecodeError:
-        return []
-    return [v for v in (str(x).strip().strip('"') for x in values) if len(v) >= 10]
+# Replies and the samples in them.
+REPLIES = {
+    '{"1": "a good long sample", "2": "short", "3": "  \\"quoted long text\\"  "}': ["a good long sample", "quoted long text"],
+    'Sure!\n```json\n{"1": "fenced sample text"}\n```\nbye {x}': [],
+    'Sure!\n```json\n{"1": "fenced sample text"}\n```\nbye': ["fenced sample text"],
+    '{"1": "first version here", "1": "second version here"}': ["second version here"],
+    '{"1": "broken json here", }': [],
+    '{"1": "one object here"} and {"2": "another object"}': [],
+    '"1": "pair one", "2": "", "3": "ends\\", "10" : "x"': ["pair one", "x"],
+    'first plain line of text\n\n  "second plain line"  \nshort\n} odd line with brace': ["first plain line of text", "second plain line", "} odd line with brace"],
+    "} reversed {": [],
+    "{'1': 'single quotes are not json'}": [],
+    '{"1": null, "2": true, "3": 12345678901, "4": "plain value text"}': ["12345678901", "plain value text"],
+    "": [],
+    '{"a": "tab\\tand newline\\nkept inside"}': ["tab\tand newline\nkept inside"],
+}
 
 
 def test_sample_texts_follow_the_rules(spark):
-    df = spark.createDataFrame(list(enumerate(REPLIES)), "i int, r string")
-    got = {r["i"]: r["s"] for r in df.select("i", rp.sample_texts(F.col("r")).alias("s")).collect()}
-    for i, reply in enumerate(REPLIES):
-        assert (got[i] or []) == expected(reply), reply
+    df = spark.createDataFrame([(r,) for r in REPLIES], "r string")
+    got = {r["r"]: r["s"] or [] for r in df.select("r", rp.sample_texts(F.col("r")).alias("s")).collect()}
+    for reply, samples in REPLIES.items():
+        assert got[reply] == samples, reply
 
 
 def test_long_reply_with_repeated_keys(spark):

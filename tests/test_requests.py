@@ -27,15 +27,31 @@ def test_block_is_exact_for_large_numbers(spark):
     assert tuple(row) == (big // 15, -1, 0)
 
 
-def test_teacher_failures_belong_to_their_row(spark, classes):
-    def teacher(frame):
-        if (frame["seq"] == 3).any():
+def test_teacher_is_asked_once_and_failures_belong_to_their_row(spark, classes):
+    calls = spark.sparkContext.accumulator(0)
+
+    def answer(seq, prompt):
+        calls.add(1)
+        if seq == 3:
             raise RuntimeError("down")
-        return ["" if s == 4 else f"{p} {s}" for s, p in zip(frame["seq"], frame["prompt"])]
+        return "" if seq == 4 else f"{prompt} {seq}"
 
-    rows = rs.teacher_map(rs.plan_requests(classes, 150), teacher, 2).orderBy("seq").collect()
+    rows = rs.teacher_map(rs.plan_requests(classes, 150), rs.one_by_one(answer), 2).collect()
+    assert calls.value == len(rows) == 6
+    rows = sorted(rows, key=lambda r: r["seq"])
     assert [r["status"] for r in rows] == ["success", "success", "failed", "failed_empty", "success", "success"]
-    assert rows[2]["response"] == "TEACHER_ERROR: RuntimeError - down" and rows[4]["response"] == "make b 5"
+    assert (rows[2]["response"], rows[2]["error"]) == (None, "RuntimeError: down") and rows[4]["response"] == "make b 5"
+
+
+def test_teacher_that_breaks_is_not_asked_again(spark, classes):
+    calls = spark.sparkContext.accumulator(0)
+
+    def teacher(frame):
+        calls.add(len(frame))
+        raise RuntimeError("gone")
+
+    rows = rs.teacher_map(rs.plan_requests(classes, 150), teacher, 2).collect()
+    assert calls.value == len(rows) == 6 and {(r["status"], r["error"]) for r in rows} == {("failed", "RuntimeError: gone")}
 
 
 def brute_quota(samples, names, target):

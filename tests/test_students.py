@@ -121,6 +121,17 @@ def test_log_loss_is_nan_with_one_truth_value(spark):
     assert mt.multilabel_log_loss(cells).first()["log_loss"] != mt.multilabel_log_loss(cells).first()["log_loss"]
 
 
+def test_error_sample_shows_what_is_missing(spark):
+    rows = [(1, "x" * 20, "a", None, 0.5), (2, None, None, "b", None), (3, "y", "a", "a", 1.0)]
+    df = spark.createDataFrame(rows, "row_id int, text string, label string, predicted_label string, a_prob double")
+    got = {r["row_id"]: (r["is_correct"], r["line"]) for r in mt.error_sample(df, ["a"]).collect()}
+    assert got == {
+        1: (False, '- Text: "' + "x" * 20 + '...", True: a, Predicted: null (Probs: a: 0.500)'),
+        2: (False, '- Text: "null", True: null, Predicted: b (Probs: a: null)'),
+        3: (True, '- Text: "y...", True: a, Predicted: a (Probs: a: 1.000)'),
+    }
+
+
 def test_error_sample_fills_up(spark):
     rows = [(i, "t" * 200, "a", "a" if i % 10 else "b", 0.5) for i in range(40)]
     df = spark.createDataFrame(rows, "row_id int, text string, label string, predicted_label string, a_prob double")
