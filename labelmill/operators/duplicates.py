@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.functions.text import ellipsis, key_digest, norm_key
+from labelmill.session import materialise
 
 # Fixed value: duplicate rate in percent above which a table is flagged.
 DUPLICATE_THRESHOLD = 5.0
@@ -46,8 +47,8 @@ def duplicate_examples(df: DataFrame, k: int = 3, text: str = "text", row_id: st
     key = norm_key(F.col(text))
     # The prefix follows from the digest; as a grouping column it leaves only numbers to aggregate.
     prefix = F.substring(key, 1, _PREFIX).alias("prefix")
-    copies = _groups(df, text, F.min(row_id).alias("first_id"), also=(prefix,)).filter(F.col("n") > 1)
-    # Same columns as the main branch, so that both share one shuffle.
+    # Written once: the groups are aggregated over all texts, and both branches below read the few that repeat.
+    copies = materialise(_groups(df, text, F.min(row_id).alias("first_id"), also=(prefix,)).filter(F.col("n") > 1), "copies")
     bound = copies.orderBy("prefix", "first_id").limit(k).agg(F.max("prefix")).scalar()
     candidates = copies.filter(F.col("prefix") <= bound).select("first_id", "n")
     return (

@@ -10,7 +10,7 @@ from labelmill.functions.text import first_label as first_label_of
 from labelmill.functions.text import multi_hot as multi_hot_of
 from labelmill.functions.text import split_labels
 from labelmill.operators.profile import individual_labels
-from labelmill.session import bounded
+from labelmill.session import bounded, listed, materialise
 
 
 def _need(df: DataFrame, *columns: str) -> None:
@@ -58,12 +58,12 @@ def to_multilabel(
 ) -> DataFrame:
     """Text, one 0/1 column ``label_<x>`` per distinct label, and the original label string.
 
-    The label list shapes the schema, so it is read first unless given. For label sets too
-    wide for columns use :func:`long_labels`.
+    The label list shapes the schema, so it is read first unless given. More than ``MOST_LABELS`` raise: for
+    them use :func:`to_label_array` or :func:`long_labels`.
     """
     _need(df, text, label)
     if labels is None:
-        labels = [r["label"] for r in individual_labels(df, label).collect()]
+        labels = listed(individual_labels(df, label))
     parts = split_labels(F.col(label).cast("string"))
     return df.select(
         row_id,
@@ -73,6 +73,20 @@ def to_multilabel(
     )
 
 
+def to_label_array(df: DataFrame, text: str = "text", label: str = "label", row_id: str = "row_id") -> DataFrame:
+    """Text, the array of distinct labels, and the original label string: for any number of labels."""
+    _need(df, text, label)
+    value = F.col(label).cast("string")
+    return df.select(row_id, F.col(text).cast("string").alias("text"), F.array_distinct(split_labels(value)).alias("labels"), value.alias("label"))
+
+
+def folded_labels(df: DataFrame, label: str = "label") -> DataFrame:
+    """What a binary mapping folds: one row with the number of labels, and rows that are in neither of the first two by count."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(F.col(label)).agg(F.count("*").alias("n"))
+    two = counts.orderBy(F.desc("n")).limit(2).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    return counts.agg(F.count("*").alias("n_labels"), (F.coalesce(F.sum("n"), F.lit(0)) - two).alias("n_beyond_two"))
+
+
 def long_labels(df: DataFrame, label: str = "label", row_id: str = "row_id") -> DataFrame:
     """One row per row and distinct label."""
     return df.select(row_id, F.explode(F.array_distinct(split_labels(F.col(label).cast("string")))).alias("label"))
@@ -102,11 +116,17 @@ def filter_labels(df: DataFrame, labels: list[str] | DataFrame, label: str = "la
 
 
 def label_index(train: DataFrame, label: str = "label") -> DataFrame:
-    """``(label, idx)`` over the sorted distinct training labels."""
+    """``(label, idx)`` over the sorted distinct training labels.
+
+    Labels are dealt to ranges, written, and numbered within their range after the ranges' sizes are known.
+    """
     distinct = train.filter(F.col(label).isNotNull()).select(F.col(label).alias("label")).distinct()
-    # The window sees one row per class.
-    numbered = distinct.select("label", (F.row_number().over(W.orderBy("label")) - 1).cast("int").alias("idx"))
-    return bounded(numbered)[0]
+    ranged = materialise(distinct.repartitionByRange("label").select("label", F.spark_partition_id().alias("part")), "labels")
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row per range
+    place = F.row_number().over(W.partitionBy("part").orderBy("label")) - 1
+    numbered = ranged.withColumn("place", place).join(before, "part")
+    return bounded(numbered.select("label", (F.col("place") + F.col("before")).cast("int").alias("idx")))[0]
 
 
 def unseen_labels(index: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -133,19 +131,20 @@ def text_stats(df: DataFrame, columns: list[str] | None = None, min_mean: float
     return stats.withColumn("is_text", F.coalesce(F.col("mean_length") > min_mean, F.lit(False)))
 
 
-def text_samples(df: DataFrame, columns: list[str], row_id: str, n: int = 3, width: int = 200) -> DataFrame:
-    """First ``n`` non-null values of each column, cut to ``width`` characters.
+def _first_values(df: DataFrame, columns: list[str], order: str, n: int, value) -> DataFrame:
+    """``(order, column_name, value)`` of the first ``n`` non-null values of each column, in one scan.
 
-    Cut before the top-n, so that a partition hands on short strings only.
+    The constant limit per column is applied inside each partition before anything is shuffled.
     """
-    parts = [
-        df.filter(F.col(c).isNotNull())
-        .select(row_id, F.lit(c).alias("column_name"), ellipsis(F.col(c), width, "never").alias("sample"))
-        .orderBy(row_id)
-        .limit(n)
-        for c in columns
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), value(c).alias("value")) for c in columns])
+    long = df.select(order, F.inline(cells)).filter(F.col("value").isNotNull())
+    return long.withColumn("_nth", F.row_number().over(W.partitionBy("column_name").orderBy(order))).filter(F.col("_nth") <= n).drop("_nth")
+
+
+def text_samples(df: DataFrame, columns: list[str], row_id: str, n: int = 3, width: int = 200) -> DataFrame:
+    """First ``n`` non-null values of each column, cut to ``width`` characters, so that only short strings move."""
+    cut = lambda c: F.when(F.col(c).isNotNull(), ellipsis(F.col(c), width, "never"))
+    return _first_values(df, columns, row_id, n, cut).select(row_id, "column_name", F.col("value").alias("sample"))
 
 
 def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
@@ -233,13 +232,14 @@ def infer_roles(df: DataFrame, row_id: str | None = None) -> DataFrame:
         return any(p in c.lower() for p in parts)
 
     # Only unnamed string columns need a look at their first ten values.
+    looked_at = [c for c in columns if types[c] == "string" and not named(c, TEXT_NAMES)]
     head_mean = {}
-    for c in columns:
-        if types[c] == "string" and not named(c, TEXT_NAMES):
-            values = df.filter(F.col(c).isNotNull())
-            values = values.orderBy(row_id) if row_id else values
-            lengths = [r[0] for r in values.select(F.length(c)).take(10)]
-            head_mean[c] = sum(lengths) / len(lengths) if lengths else None
+    if looked_at:
+        order = row_id or "_order"
+        rows = df if row_id else df.withColumn(order, F.monotonically_increasing_id())
+        heads = _first_values(rows, looked_at, order, 10, F.length)
+        # One row per column.
+        head_mean = dict(heads.groupBy("column_name").agg(F.avg("value")).collect())
     listing = df.sparkSession.createDataFrame(
         [
             (i, c, types[c] == "string", named(c, TEXT_NAMES), named(c, LABEL_NAMES), head_mean.get(c))

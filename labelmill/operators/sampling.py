@@ -22,9 +22,6 @@ BUCKET_DIGITS = 3
 # A bucket with more rows than this is divided once more before it is ranked.
 RANK_ROWS = 1_000_000
 
-# Up to this many ids are picked by one top-n and looked up by value.
-TOP_N_LIMIT = 100
-
 
 def hash_key(row_id: Column | str, seed: int = 42) -> Column:
     """Pseudo-random sort key of a row."""
@@ -80,11 +77,8 @@ def rank_thresholds(
 
 
 def rows_by_id(df: DataFrame, ids: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """The rows with the given ids, a list the caller has bounded.
-
-    As literals the ids reach the scan, which skips row groups without them.
-    """
-    return df.filter(F.col(row_id).isin([r[0] for r in ids.select(row_id).collect()]))
+    """The rows with the given ids; Spark broadcasts the ids if they are few."""
+    return df.join(ids.select(row_id), row_id, "left_semi").select(*df.columns)
 
 
 def _at_or_before(row_id: str, seed: int) -> Column:
@@ -121,8 +115,6 @@ def _up_to(cut, row_id: str, seed: int) -> Column:
 
 def sample_n(df: DataFrame, n: int = 20_000, seed: int = 42, row_id: str = "row_id") -> DataFrame:
     """Seeded sample of exactly ``min(n, rows)`` rows, chosen on ids alone."""
-    if n <= TOP_N_LIMIT:
-        return rows_by_id(df, df.select(row_id).orderBy(hash_key(row_id, seed), row_id).limit(n), row_id)
     target = df.agg(F.lit(1).alias("grp"), F.lit(0).alias("k"), F.least(F.lit(n), F.count("*")).alias("rank"))
     cut = rank_thresholds(df.select(F.lit(1).alias("grp"), row_id), target, row_id, seed).first()
     return df.filter(_up_to(cut, row_id, seed))

@@ -26,6 +26,7 @@ from labelmill.operators.labels import encode_labels, filter_labels
 from labelmill.operators.metrics import cell_log_loss, classification_report
 from labelmill.operators.profile import individual_labels
 from labelmill.operators.sampling import split_validation, stratified_folds
+from labelmill.session import listed
 
 SEED = 42
 THRESHOLD = 0.5
@@ -38,8 +39,6 @@ BOOSTING = {"maxIter": 500, "stepSize": 0.1, "maxDepth": 5}
 LOGREG_ITERATIONS, LOGREG_TOLERANCE = 1000, 1e-4
 PATIENCE = 10
 
-# Feature rows worth a task of their own in iterative training.
-ROWS_PER_TASK = 20_000
 
 
 @dataclass
@@ -82,7 +81,7 @@ def _trainer(task: str, name: str) -> Trainer:
 
 def _logreg(family: str) -> Trainer:
     def train(data: DataFrame, size: int, classes: int, params: dict):
-        rows = data.count()
+        rows = params.pop("rows", None) or data.count()
         settings = {"maxIter": LOGREG_ITERATIONS, "tol": LOGREG_TOLERANCE, "regParam": 1.0 / (params.pop("C", 1.0) * rows)} | params
         model = LogisticRegression(
             featuresCol="features", labelCol="y", family=family, standardization=False, **settings
@@ -164,13 +163,13 @@ def _prepared(
 ) -> tuple[list[str], PipelineModel, DataFrame]:
     """Label list, feature transformer and the feature table ``(row_id, features, y…, is_validation)``."""
     if task == "multilabel":
-        labels = labels or [r["label"] for r in individual_labels(train).collect()]
+        labels = labels or listed(individual_labels(train))
         coded = train.withColumn("ys", multi_hot(F.col("label").cast("string"), labels))
     else:
         if labels is not None:
             train = filter_labels(train, labels)
         index, coded, _ = encode_labels(train)
-        labels = [str(r["label"]) for r in sorted(index.collect(), key=lambda r: r["idx"])]
+        labels = [str(x) for x in listed(index.orderBy("idx"))]
         coded = coded.withColumn("y", F.col("idx").cast("double")).drop("idx")
     if len(labels) < 2:
         raise ValueError(f"at least two labels are needed, found {labels}")
@@ -181,16 +180,6 @@ def _prepared(
     return labels, model, model.transform(coded).select(row_id, "features", y)
 
 
-def _compact(data: DataFrame) -> DataFrame:
-    """Merge the partitions of a small, persisted feature table before iterating over it.
-
-    Every iteration is a job over all partitions; below some rows per task its overhead is all that is
-    measured. Tables with that many rows per partition keep their partitioning.
-    """
-    wanted = -(-data.count() // ROWS_PER_TASK)
-    return data.coalesce(max(wanted, 1)) if wanted < data.rdd.getNumPartitions() else data
-
-
 def fit(
     train: DataFrame,
     task: str,
@@ -199,10 +188,13 @@ def fit(
     max_features: int | None = None,
     parallelism: int = 4,
     row_id: str = "row_id",
+    partitions: int | None = None,
     **params,
 ) -> Student:
     """Train a student on ``(row_id, text, label)``.
 
+    ``partitions`` coalesces the feature table before the iterations: each is a job over all of its partitions.
+
     Features are computed once and persisted for the iterations (spilling to disk; lost blocks are
     recomputed). Multi-label students fit one model per label; the driver only submits those jobs.
     """
@@ -215,8 +207,10 @@ def fit(
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     size = _vector_size(model)
     try:
-        rows = _compact(data)
+        rows = data.coalesce(partitions) if partitions else data
         if task == "multilabel":
+            if student == "logreg":
+                params["rows"] = rows.count()  # once for all labels
             jobs = [rows.withColumn("y", F.col("ys")[i].cast("double")) for i in range(len(labels))]
             with ThreadPool(min(parallelism, len(labels))) as pool:
                 fitted = pool.map(lambda d: trainer(d, size, 2, dict(params)), jobs)
@@ -330,6 +324,7 @@ def cross_validate(
     k: int = 5,
     max_features: int | None = None,
     row_id: str = "row_id",
+    partitions: int | None = None,
     **params,
 ) -> DataFrame:
     """Accuracy per stratified fold of train and test together: ``(fold, accuracy, n_rows)``, and the mean as fold null.
@@ -348,7 +343,7 @@ def cross_validate(
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     size, scores = _vector_size(model), []
     try:
-        compact = _compact(data)
+        compact = data.coalesce(partitions) if partitions else data
         for fold in range(k):
             fitted, _ = trainer(compact.filter(F.col("fold") != fold), size, len(labels), dict(params))
             scored = fitted.transform(compact.filter(F.col("fold") == fold))

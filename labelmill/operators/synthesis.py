@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from labelmill.functions.text import ellipsis, unquote
 from labelmill.operators.sampling import hash_int, hash_key, sample_n
-from labelmill.session import bounded
+from labelmill.session import bounded, listed
 
 # Shares of kept, two-label and three-label rows, and the length at which three-label texts are cut.
 SINGLE_SHARE, PAIR_SHARE, TRIPLE_SHARE = 0.5, 0.3, 0.2
@@ -71,17 +71,17 @@ def synthesise_multilabel(
     """Half the rows as they are, then 30 % two-class and 20 % three-class combinations.
 
     Returns ``(kind, seq, text, label)`` with ``kind`` the number of labels. Classes are drawn
-    without replacement, texts with replacement. Draws that name a class without texts are skipped.
+    without replacement, texts with replacement. Draws that name a class without texts are skipped. The classes
+    are a setting of the draws; more than ``MOST_LABELS`` raise.
     The look-up of a drawn text runs on ids; the texts are joined once, by row id.
     """
     spark = df.sparkSession
     source = df.select(
         F.col(row_id).alias("row_id"), F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label")
     )
-    per_label = source.groupBy("label").count().collect()
-    n = sum(r["count"] for r in per_label)
+    n = source.count()
     if labels is None:
-        labels = sorted(r["label"] for r in per_label if r["label"] is not None)
+        labels = sorted(listed(source.select("label").filter("label IS NOT NULL").distinct()))
     kept = sample_n(source, int(n * SINGLE_SHARE), seed).select(
         F.lit(1).alias("kind"), F.col("row_id").cast("bigint").alias("seq"), unquote(F.col("text")).alias("text"), "label"
     )

@@ -14,7 +14,7 @@ from labelmill.operators import requests as req
 from labelmill.operators.duplicates import duplicate_report
 from labelmill.operators.replies import parse_samples
 from labelmill.operators.synthesis import synthesise_multilabel
-from labelmill.session import scratch_path
+from labelmill.session import listed, scratch_path
 from labelmill.sources.writers import append_samples, log_responses
 
 # Batches that are sent before the counts are looked at again.
@@ -95,13 +95,13 @@ def generate_multilabel(classes: DataFrame, fn: Callable, seed: int = 42, **opti
     made = generate_training(classes, fn, **options)
     # A sample is known by its request and position; a response holds far fewer than 2**20 samples.
     rows = made.samples.select((F.col("seq") * (1 << 20) + F.col("pos")).alias("row_id"), "text", "label")
-    labels = [r["class_label"] for r in classes.select("class_label").distinct().orderBy("class_label").collect()]
+    labels = sorted(listed(classes.select("class_label").distinct(), "class_label"))
     return synthesise_multilabel(rows, labels, seed)
 
 
 def edge_prompts(classes: DataFrame, problem: str, classification_type: str, language: str = "english") -> DataFrame:
     """Edge-case prompt of every class."""
-    names = [r["class_label"] for r in classes.select("class_label").distinct().orderBy("class_label").collect()]
+    names = sorted(listed(classes.select("class_label").distinct(), "class_label"))
     return classes.select(
         "class_label",
         render(

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.functions.text import clean_text
-from labelmill.operators.labels import drop_empty, to_binary, to_multiclass, to_multilabel, to_single_label
+from labelmill.operators.labels import drop_empty, to_binary, to_label_array, to_multiclass, to_multilabel, to_single_label
 from labelmill.operators.profile import detect_activation, individual_labels, infer_roles, infer_task, label_structure
 from labelmill.operators.sampling import balance, sample_n
 from labelmill.operators.synthesis import synthesise_multilabel
-from labelmill.session import materialise
+from labelmill.session import MOST_LABELS, materialise
 from labelmill.sources.readers import load_data, with_row_id
 from labelmill.sources.writers import save_dataset
 
@@ -71,6 +71,11 @@ def standardise(
         if not column or column not in df.columns:
             raise ValueError(f"{name} column {column!r} not found in {df.columns}")
     convert = {"binary": to_binary, "multiclass": to_multiclass, "multilabel": to_multilabel}[task]
+    if task == "multilabel":
+        # One column per label up to a stated width; beyond it the labels stay an array, and the decision says so.
+        wide = individual_labels(df, label).limit(MOST_LABELS + 1).count() > MOST_LABELS
+        decision["label_form"] = "array" if wide else "columns"
+        convert = to_label_array if wide else to_multilabel
     out = convert(df, text, label, row_id=row_id)
     if clean:
         # The expression is null-preserving here, so that rows without text can still be dropped.

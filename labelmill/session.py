@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# Rows up to which a lookup table may be held by the driver and broadcast.
+# Rows and bytes up to which a lookup table may be held by the driver and broadcast.
 SMALL_ROWS = 100_000
+SMALL_BYTES = 64 << 20
+
+# Labels that may shape a schema, a model or a prompt.
+MOST_LABELS = 1000
 
 
 def local_session(
@@ -71,25 +77,26 @@ def local_copy(df: DataFrame) -> DataFrame:
 
 
 def bounded(df: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
-    """A small side whose size Catalyst knows, and whether it is within ``limit`` rows.
+    """A small side whose size Catalyst knows, and whether it is within ``limit`` rows and ``SMALL_BYTES``.
 
-    A table of at most ``limit`` rows (checked, never assumed) becomes a local
-    relation, which Spark broadcasts by its actual size. A larger one is written
-    to the shared folder and joined by shuffle, where adaptive execution splits
-    skewed partitions.
+    The table is computed once, into the shared folder, where its rows are counted and its bytes bounded by
+    the widths of its values. A small one becomes a local relation, which Spark broadcasts by its actual size.
+    A larger one stays where it is and is joined by shuffle, where adaptive execution splits skewed partitions.
     """
-    table = df.limit(limit + 1).toArrow()
-    if table.num_rows > limit:
-        return materialise(df, "bounded"), False
-    return df.sparkSession.createDataFrame(table, schema=df.schema), True
+    stored = materialise(df, "bounded")
+    width = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns]
+    rows, size = stored.agg(F.count("*"), F.coalesce(F.sum(reduce(lambda a, b: a + b, width)), F.lit(0))).first()
+    if rows > limit or size > SMALL_BYTES:
+        return stored, False
+    return local_copy(stored), True
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread an input that has fewer splits than the session has cores.
+def listed(df: DataFrame, column: str = "label", limit: int = MOST_LABELS) -> list:
+    """The values of a one-row-per-value table as a Python list, for settings that hold one entry per value.
 
-    A table of one small file would leave CPU-heavy text work to one task.
-    Inputs with enough splits, which is every large one, are left untouched,
-    so no shuffle is added at scale.
+    More than ``limit`` values raise: the caller needs a form that keeps them in a table.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    values = [r[0] for r in df.select(column).limit(limit + 1).collect()]
+    if len(values) > limit:
+        raise ValueError(f"more than {limit} values in {column!r}; use a table of them or the long form")
+    return values

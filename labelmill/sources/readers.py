@@ -32,8 +32,9 @@ def probe_text(spark: SparkSession, path: str) -> tuple[str, bool]:
     begins with a quote at the start of a field that isn't closed on its line; a quote elsewhere in
     an unquoted field means nothing. Without such lines the file can be read in splits.
     """
-    # Closed quoted fields are taken out first; what still opens a field with a quote is not closed.
-    closed = F.regexp_replace("value", r'(^|[,\t])[ ]*"(?:[^"]|"")*"(?=[,\t]|\s*$)', "$1")
+    # Closed quoted fields are taken out first; what still opens a field with a quote is not closed. Possessive
+    # quantifiers keep the matcher from recursing over long fields.
+    closed = F.regexp_replace("value", r'(^|[,\t])[ ]*+"[^"]*+(?:""[^"]*+)*+"(?=[,\t]|\s*$)', "$1")
     row = (
         spark.read.text(path)
         .agg(

@@ -179,3 +179,30 @@ def test_stream_restarts_where_it_stopped(spark, tmp_path):
         stream_samples(spark, src, out, checkpoint).awaitTermination()
         seen.append(sorted(r["seq"] for r in spark.read.parquet(out).collect()))
     assert seen == [[i for i in range(10) if i % 5], [i for i in range(25) if i % 5]]
+
+
+def test_very_many_labels(spark):
+    df = spark.range(200_000).select(
+        F.col("id").alias("row_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), (F.col("id") % 100_000).cast("string").alias("label")
+    )
+    with pytest.raises(ValueError, match="more than"):
+        lb.to_multilabel(df)
+    assert lb.to_label_array(df).columns == ["row_id", "text", "labels", "label"]
+    index = lb.label_index(df)
+    assert index.count() == 100_000
+    assert [r["label"] for r in index.orderBy("idx").limit(3).collect()] == ["0", "1", "10"]
+    assert index.agg(F.max("idx")).first()[0] == 99_999
+    decision = {"text_column": "text", "label_column": "label", "final_task": "multilabel"}
+    assert prep.standardise(df, decision).columns == ["row_id", "text", "labels", "label"] and decision["label_form"] == "array"
+
+
+def test_folded_labels(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",), ("b",), ("c",), (None,)], "label string")
+    assert tuple(lb.folded_labels(df).first()) == (3, 1)
+
+
+def test_no_round_robin_between_scan_and_plan(spark, sf_dir):
+    from labelmill.plans.registry import QUERIES
+
+    for name in ("clean_text", "text_stats", "sample_n", "term_counts"):
+        assert "RoundRobin" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()

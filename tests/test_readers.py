@@ -86,7 +86,7 @@ def test_latin1_training_and_predictions(spark, tmp_path):
 
 @pytest.mark.parametrize(
     "text, multiline",
-    [('a,b\n5" pipe,x\n', False), ('a,b\n"q, r",x\n', False), ('a,b\n"one\ntwo",x\n', True), ('a,b\n"say ""hi""",x\n', False), ('a,b\nx,"one\n\ntwo"\n', True)],
+    [('a,b\n5" pipe,x\n', False), ('a,b\n"q, r",x\n', False), ('a,b\n"one\ntwo",x\n', True), ('a,b\n"say ""hi""",x\n', False), ('a,b\nx,"one\n\ntwo"\n', True), ('a,b\n"' + 'word ""x"" ' * 20000 + '",y\n', False)],
 )
 def test_quotes_that_span_lines(spark, tmp_path, text, multiline):
     assert rd.probe_text(spark, write(tmp_path, "q.csv", text)) == ("UTF-8", multiline)

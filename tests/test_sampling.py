@@ -45,12 +45,11 @@ def test_rank_thresholds_do_not_depend_on_buckets(skewed, spark, monkeypatch, di
     assert {r["k"]: r["cut_id"] for r in cuts} == {k: ids[r - 1] for k, r in enumerate(ranks) if r <= len(ids)}
 
 
-def test_sample_is_the_same_for_both_methods(skewed, monkeypatch):
+@pytest.mark.parametrize("n", [1, 7, 500])
+def test_sample_is_the_first_by_hash(skewed, n):
     df, pairs = skewed
-    want = set(sorted(range(len(pairs)), key=order)[:500])
-    assert {r["row_id"] for r in sm.sample_n(df, 500).collect()} == want
-    monkeypatch.setattr(sm, "TOP_N_LIMIT", 10)
-    assert {r["row_id"] for r in sm.sample_n(df, 500).collect()} == want
+    want = set(sorted(range(len(pairs)), key=order)[:n])
+    assert {r["row_id"] for r in sm.sample_n(df, n).collect()} == want
     assert sm.sample_n(df, 10**9).count() == len(pairs)
 
 
