@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from labelmill.functions.text import clean_text, sequence_tokens, tokenize
@@ -13,7 +15,7 @@ from labelmill.operators.requests import block
 from labelmill.operators.sampling import split_validation
 from labelmill.plans import prepare as prep
 from labelmill.plans.registry import (
-    DOCS, PREDICTIONS, SEQUENCE, TOKENS, docs, predictions, quality, query, sql_key, table, tags,
+    DOCS, PREDICTIONS, QUALITY, SEQUENCE, TAG_LABELS, TAGS, TOKENS, docs, predictions, quality, query, sql_key, table, tags,
 )
 from labelmill.session import scratch_path
 from labelmill.sources import readers as rd
@@ -113,58 +115,103 @@ def _labelled(df):
     return df.withColumn("label", F.col("label").cast("string"))
 
 
+def _held_out(base: str) -> str:
+    """SQL of the rows that ``_split`` holds out of a table."""
+    return f"""SELECT row_id, label FROM (SELECT row_id, label, row_number() OVER (ORDER BY {sql_key()}, row_id) AS rn, count(*) OVER () AS n
+        FROM ({base})) WHERE rn <= ceil(n * 0.2)"""
+
+
+def _judged(base: str) -> str:
+    return f"SELECT row_id, true AS scored, true AS known FROM ({_held_out(base)})"
+
+
 def _scored(spark, d, rows, task, student, **params):
+    """Every held-out row, whether its probabilities are probabilities, and whether it is given known labels only."""
     train, test = _split(_labelled(rows))
-    return st.score(st.fit(train, task, student, partitions=4, **params), test).drop("text")
+    fitted = st.fit(train, task, student, partitions=4, **params)
+    out = st.score(fitted, test)
+    probable = [F.col(f"`{c}`").between(0.0, 1.0) for c in out.columns if c == "probability" or c.endswith("_prob")]
+    said = F.filter(F.split("predicted_label", ","), lambda x: x != "")
+    known = F.size(F.array_except(said, F.array(*map(F.lit, fitted.labels)))) == 0
+    return out.select("row_id", reduce(lambda x, y: x & y, probable, F.lit(True)).alias("scored"), known.alias("known"))
 
 
-@query("student_binary_mlp")
+@query("student_binary_mlp", _judged(QUALITY))
 def _(spark, d):
     return _scored(spark, d, quality(spark, d), "binary", "mlp", maxIter=ROUNDS)
 
 
-@query("student_binary_gbt")
+@query("student_binary_gbt", _judged(QUALITY))
 def _(spark, d):
     return _scored(spark, d, quality(spark, d), "binary", "gbt", maxIter=ROUNDS)
 
 
-@query("student_multiclass_logreg")
+@query("student_multiclass_logreg", _judged(DOCS))
 def _(spark, d):
     return _scored(spark, d, docs(spark, d), "multiclass", "logreg")
 
 
-@query("student_multiclass_mlp")
+@query("student_multiclass_mlp", _judged(DOCS))
 def _(spark, d):
     return _scored(spark, d, docs(spark, d), "multiclass", "mlp", maxIter=ROUNDS)
 
 
-@query("student_multilabel_logreg")
+@query("student_multilabel_logreg", _judged(TAGS))
 def _(spark, d):
     return _scored(spark, d, tags(spark, d), "multilabel", "logreg")
 
 
-@query("student_multilabel_mlp")
+@query("student_multilabel_mlp", _judged(TAGS))
 def _(spark, d):
     return _scored(spark, d, tags(spark, d), "multilabel", "mlp", step=ROUNDS, max_runs=1)
 
 
-@query("cross_validate")
+@query(
+    "cross_validate",
+    f"""WITH r AS (SELECT CAST((row_number() OVER (PARTITION BY label ORDER BY {sql_key()}, row_id) - 1) * 5 // count(*) OVER (PARTITION BY label) AS INTEGER) AS fold
+          FROM ({QUALITY}))
+        SELECT fold, true AS possible, count(*) AS n_rows FROM r GROUP BY fold UNION ALL SELECT NULL, true, count(*) FROM r""",
+)
 def _(spark, d):
     train, test = _split(_labelled(quality(spark, d)))
-    return st.cross_validate(train, test, "gbt", k=5, partitions=4, maxIter=ROUNDS)
+    folds = st.cross_validate(train, test, "gbt", k=5, partitions=4, maxIter=ROUNDS)
+    return folds.select("fold", F.col("accuracy").between(0.0, 1.0).alias("possible"), "n_rows")
 
 
-@query("train_report")
+# Rows of a report on held-out documents: classes and averages with their supports, and an accuracy above the largest class's share.
+_REPORT = f"""SELECT label AS name, count(*) AS support, true AS possible, NULL AS above_majority FROM h GROUP BY label
+    UNION ALL SELECT unnest(['macro avg', 'weighted avg']), (SELECT count(*) FROM h), true, NULL
+    UNION ALL SELECT 'accuracy', count(*), true, true FROM h"""
+
+
+def _checked_report(report, name: str, test):
+    largest = test.groupBy("label").count().agg(F.max("count") / F.sum("count")).scalar()
+    measures = [F.col(c).between(0.0, 1.0) for c in ("precision", "recall", "f1")]
+    return report.select(
+        *[c for c in report.columns if c == "section"], F.col(name).alias("name"), F.col("support").cast("bigint").alias("support"),
+        reduce(lambda x, y: x & y, measures).alias("possible"), F.when(F.col(name) == "accuracy", F.col("f1") > largest).alias("above_majority"),
+    )
+
+
+@query(
+    "train_report",
+    f"""WITH h AS ({_held_out(DOCS)}) SELECT 'report' AS section, * FROM ({_REPORT})
+        UNION ALL SELECT 'test', 'accuracy', count(*), true, true FROM h
+        UNION ALL SELECT 'train', 'accuracy', (SELECT count(*) FROM documents) - count(*), true, true FROM h""",
+)
 def _(spark, d):
     train, test = _split(docs(spark, d))
-    return st.run(train, test, "multiclass", "logreg", partitions=4)[1]
+    report = st.run(train, test, "multiclass", "logreg", partitions=4)[1].filter("section <> 'objective'")
+    return _checked_report(report, "name", test)
 
 
-@query("predict_struct")
+@query("predict_struct", f"SELECT row_id, CAST({len(TAG_LABELS)} AS INTEGER) AS n_scores, true AS scored FROM ({_held_out(TAGS)})")
 def _(spark, d):
     train, test = _split(tags(spark, d))
     predict = st.inference(st.fit(train, "multilabel", "logreg", partitions=4))
-    return predict(test).select("row_id", "predictions", "predicted_labels")
+    scores = F.map_values("predictions")
+    possible = F.forall(scores, lambda p: p.between(0.0, 1.0))
+    return predict(test).select("row_id", F.size(scores).alias("n_scores"), possible.alias("scored"))
 
 
 @query("model_round_trip", f"WITH r AS (SELECT row_id, row_number() OVER (ORDER BY {sql_key()}, row_id) AS rn FROM ({DOCS})) SELECT row_id, true AS same FROM r WHERE rn <= (SELECT ceil(count(*) * 0.2) FROM documents)")
@@ -179,13 +226,13 @@ def _(spark, d):
     return before.join(after, "row_id").select("row_id", (F.col("a") == F.col("b")).alias("same"))
 
 
-@query("language_report")
+@query("language_report", f"WITH h AS ({_held_out(DOCS)}) {_REPORT}")
 def _(spark, d):
     """Flagship: clean, featurise, train on 80 %, classify 20 %, report."""
     rows = docs(spark, d).withColumn("text", clean_text(F.col("text")))
     train, test = _split(rows)
     student = st.fit(train, "multiclass", "logreg", partitions=4)
-    return mt.classification_report(st.score(student, test))
+    return _checked_report(mt.classification_report(st.score(student, test)), "class", test)
 
 
 # --- readers and writers: tables go out to files and come back ----------------------------------------

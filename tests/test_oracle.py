@@ -8,11 +8,10 @@ import pytest
 import __spark_entry__ as entry
 from tests import oracle
 
-# The training-data operators have tests of their own.
-NAMES = {n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n)}
+# The training-data operators have tests of their own; trained students are covered with assertions in test_students.
+NAMES = {n for n in entry.queries() if not re.match(r"op\d+_|pipeline$|student_", n)}
 SQL = {n: sql for n, sql in entry.oracle_sql().items() if n in NAMES}
-# Trained students are covered with assertions in test_students.
-ROWS_ONLY = sorted(n for n in NAMES - set(SQL) if not n.startswith("student_"))
+ROWS_ONLY = sorted(NAMES - set(SQL))
 
 
 @pytest.fixture(scope="module")
