@@ -370,7 +370,17 @@ def _(spark, d):
     return ready.df.select("text", "label")
 
 
-@query("prepare_balanced")
+_PLAIN = "trim(replace(regexp_replace(text, '[\\t\\n\\x0b\\f\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{3000}]+', ' ', 'g'), '\"\"', '\"'))"
+
+
+@query(
+    "prepare_balanced",
+    f"""WITH f AS (SELECT label, CAST(row_number() OVER (ORDER BY min(row_id)) - 1 AS INTEGER) AS code FROM ({QUALITY}) GROUP BY label),
+          o AS (SELECT row_id, {_PLAIN} AS text, code AS label FROM ({QUALITY}) JOIN f USING (label)), e AS (SELECT * FROM o WHERE text <> ''),
+          c AS (SELECT min(n) AS least, sum(n) AS total FROM (SELECT count(*) AS n FROM e GROUP BY label)),
+          r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {sql_key()}, row_id) AS rn FROM e)
+        SELECT row_id, text, label FROM r, c WHERE rn <= least(least, total // 2)""",
+)
 def _(spark, d):
     flagged = quality(spark, d).withColumnRenamed("label", "quality_label")
     return prep.prepare_table(flagged, clean=True, balance_classes=True).df
