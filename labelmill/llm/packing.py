@@ -96,10 +96,6 @@ def best_fit(lengths: np.ndarray, capacity: Capacity, rule: str = "norm") -> tup
     return sequence, offset
 
 
-def _bytes(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
-
-
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: Capacity = Capacity(), end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Tokenise documents, add ``end_id`` and cut those longer than a sequence.
 
@@ -109,7 +105,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: Capacity = Capacity()
     longest = capacity.longest
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, end = Units(load(tokenizer_file), _bytes), _bytes([end_id])
+        units, end = Units(load(tokenizer_file)), np.array([end_id], "<u4").tobytes()
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches):
             decoded = [(t or b"").decode() for t in texts(batch)]

@@ -19,8 +19,9 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -38,6 +39,10 @@ MARGIN_CHARS = 32
 # Characters that the table of units may hold; each unit counts as 100 more.
 TABLE_CHARS = 60_000_000
 
+# New units that are encoded together, and how a byte-level vocabulary writes a space.
+JOINED_UNITS = 1_000
+_SPACE_BYTE = "\u0120"
+
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACE = re.compile(r"(?<!\S) | (?!\S)")
 
@@ -56,22 +61,39 @@ def load(path: str):
 
 
 class Units:
-    """Encodes texts unit by unit; ``value`` turns a unit's ids into what is kept of it."""
+    """Encodes texts unit by unit and keeps each unit's ids (little-endian, four bytes each) or only their number."""
 
-    def __init__(self, tokenizer, value: Callable[[list[int]], object]):
-        self.tokenizer, self.value = tokenizer, value
-        self.first: dict[str, object] = {}
-        self.later: dict[str, object] = {}
+    def __init__(self, tokenizer, counts_only: bool = False):
+        self.tokenizer, self.counts_only = tokenizer, counts_only
+        self.first: dict[str, bytes | int] = {}
+        self.later: dict[str, bytes | int] = {}
         self.held = 0
+        # Ids whose token begins with a space: in units joined by spaces, the first id of each.
+        vocabulary = tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(_SPACE_BYTE)]] = True
 
-    def _learn(self, table: dict[str, object], wanted: set[str], prefix: str) -> None:
+    def _learn(self, table: dict[str, bytes | int], wanted: set[str], prefix: str) -> None:
         new = list(wanted.difference(table))
-        if new:
-            encoded = self.tokenizer.encode_batch_fast([prefix + u for u in new], add_special_tokens=False)
-            table.update(zip(new, (self.value(e.ids) for e in encoded), strict=True))
-            self.held += sum(map(len, new)) + 100 * len(new)
-
-    def encode(self, batch: list[str]) -> Iterator[Iterator[object]]:
+        self.held += sum(map(len, new)) + 100 * len(new)
+        plain = [u for u in new if u and " " not in u and not u[0].isspace() and not u[-1].isspace()] if prefix == " " else []
+        # Units of this kind are independent of each other in one text, and one text costs less than many.
+        groups = [plain[i : i + JOINED_UNITS] for i in range(0, len(plain), JOINED_UNITS)]
+        for group, encoding in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(encoding.ids, "<u4")
+            bounds = np.append(np.flatnonzero(self.opens[ids]), len(ids))
+            if len(bounds) != len(group) + 1 or bounds[0]:
+                raise ValueError("the tokenizer doesn't begin a token at each space")
+            if self.counts_only:
+                table.update(zip(group, np.diff(bounds).tolist(), strict=True))
+            else:
+                raw, places = ids.tobytes(), (4 * bounds).tolist()
+                table.update(zip(group, (raw[a:b] for a, b in pairwise(places)), strict=True))
+        odd = [u for u in new if u not in table]
+        for unit, encoding in zip(odd, self.tokenizer.encode_batch_fast([prefix + u for u in odd], add_special_tokens=False), strict=True):
+            table[unit] = len(encoding) if self.counts_only else np.array(encoding.ids, "<u4").tobytes()
+
+    def encode(self, batch: list[str]) -> Iterator[Iterator[bytes | int]]:
         """For each text, the values of its units in order."""
         if self.held > TABLE_CHARS:
             self.first.clear()
@@ -122,14 +144,10 @@ def spliced_ids(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = O
     yield left.ids[done:]
 
 
-def _count(ids: list[int]) -> int:
-    return len(ids)
-
-
 def count_texts(tokenizer_file: str, huge: int = HUGE_CHARS) -> Callable[[list[str]], list[int]]:
     """A function that counts the tokens of a list of texts."""
     tokenizer = load(tokenizer_file)
-    units = Units(tokenizer, _count)
+    units = Units(tokenizer, counts_only=True)
 
     def counts(batch: list[str]) -> list[int]:
         short = units.encode([t for t in batch if len(t) <= huge])
