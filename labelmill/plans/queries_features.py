@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from labelmill.functions.text import clean_text, sequence_tokens, tokenize
+from labelmill.functions.text import clean_text, tokenize
 from labelmill.operators import features as ft
 from labelmill.operators import labels as lb
 from labelmill.operators import metrics as mt

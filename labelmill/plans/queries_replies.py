@@ -9,7 +9,7 @@ from labelmill.operators import replies as rq
 from labelmill.operators import requests as rs
 from labelmill.operators.synthesis import synthesise_multilabel
 from labelmill.plans import generate as gen
-from labelmill.plans.registry import DOCS, WS, docs, query, sql_int, sql_key, sql_strip, table
+from labelmill.plans.registry import DOCS, docs, query, sql_int, sql_key, sql_strip, table
 from labelmill.session import scratch_path
 from labelmill.sources.writers import log_responses, read_responses
 from labelmill.streaming.ingest import stream_samples

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from labelmill.functions import prompts, text as tx
 from labelmill.operators import labels as lb
 from labelmill.plans.registry import (
-    DOCS, LANGS, PREDICTIONS, TAG_LABELS, TAGS, WS, docs, predictions, query, sql_strip, table, tags,
+    DOCS, PREDICTIONS, TAG_LABELS, TAGS, WS, docs, predictions, query, sql_strip, table, tags,
 )
 
 _CLEAN = f"""trim(replace(regexp_replace(coalesce(text, ''), '{WS}+', ' ', 'g'), '""', '"'))"""

@@ -2,7 +2,6 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from labelmill.operators import features as ft
 from labelmill.sources.writers import load_features, save_features

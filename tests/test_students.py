@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from labelmill.operators import metrics as mt
 from labelmill.operators import students as st
