@@ -14,6 +14,7 @@ from labelmill.operators import students as st
 from labelmill.operators.requests import block
 from labelmill.operators.sampling import split_validation
 from labelmill.plans import prepare as prep
+from labelmill.plans.queries_replies import synthesis_sql
 from labelmill.plans.registry import (
     DOCS, PREDICTIONS, QUALITY, SEQUENCE, TAG_LABELS, TAGS, TOKENS, docs, predictions, quality, query, sql_key, table, tags,
 )
@@ -386,7 +387,14 @@ def _(spark, d):
     return prep.prepare_table(flagged, clean=True, balance_classes=True).df
 
 
-@query("prepare_multilabel")
+_FLAGGED = synthesis_sql(f"SELECT row_id, text, CAST(label AS VARCHAR) AS label FROM ({QUALITY})", most=2)
+
+
+@query(
+    "prepare_multilabel",
+    f"""WITH {_FLAGGED} SELECT seq * 4 + kind AS row_id, text, CAST(list_contains(string_split(label, ','), '0') AS INTEGER) AS label_0,
+          CAST(list_contains(string_split(label, ','), '1') AS INTEGER) AS label_1, label FROM made""",
+)
 def _(spark, d):
     base = quality(spark, d).withColumnRenamed("label", "quality_label")
     return prep.prepare_table(base, activation="sigmoid").df

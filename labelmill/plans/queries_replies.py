@@ -326,20 +326,23 @@ def _draws_sql(k: int, share: str) -> str:
         FROM (SELECT unnest(range(0, CAST(floor(n * {share}) AS BIGINT))) AS i, ls FROM n, names)),
       e{k} AS (SELECT i, pos, substring(picked[pos], 33) AS label FROM (SELECT i, picked, unnest(range(1, {k + 1})) AS pos FROM d{k})),
       w{k} AS (SELECT e.i, e.pos, e.label, {sql_int(f"'42:text:{k}:' || i || ':' || (pos - 1)")} % size AS idx FROM e{k} e JOIN sizes USING (label)),
-      m{k} AS (SELECT i, string_agg(text, ' ' ORDER BY pos) AS text, string_agg(label, ',' ORDER BY pos) AS label FROM w{k} JOIN src USING (label, idx) GROUP BY i)"""
+      m{k} AS (SELECT i, string_agg(text, ' ' ORDER BY pos) AS text, string_agg(label, ',' ORDER BY pos) AS label FROM w{k} JOIN src USING (label, idx) GROUP BY i
+        HAVING count(*) = {k})"""
 
 
-@query(
-    "synthesise_multilabel",
-    f"""WITH base AS ({DOCS}), n AS (SELECT count(*) AS n FROM base), names AS (SELECT list(DISTINCT label ORDER BY label) AS ls FROM base),
+def synthesis_sql(base: str, names: str = "SELECT label FROM base", most: int = 3) -> str:
+    """CTEs up to ``made``: the synthetic rows ``(kind, seq, text, label)`` of a table ``(row_id, text, label)``."""
+    shares = {2: "0.3", 3: "0.2"}
+    parts = ["SELECT 1 AS kind, row_id AS seq, text, label FROM src WHERE rn <= (SELECT floor(n * 0.5) FROM n)", "SELECT 2, i, text, label FROM m2"]
+    parts += ["SELECT 3, i, CASE WHEN length(text) > 400 THEN substring(text, 1, 400) || '...' ELSE text END, label FROM m3"]
+    return f"""base AS ({base}), n AS (SELECT count(*) AS n FROM base), names AS (SELECT list(DISTINCT label ORDER BY label) AS ls FROM ({names})),
       sizes AS (SELECT label, count(*) AS size FROM base GROUP BY label),
       src AS (SELECT row_id, trim({sql_strip('text')}, '"') AS text, label, row_number() OVER (PARTITION BY label ORDER BY {sql_key()}, row_id) - 1 AS idx,
               row_number() OVER (ORDER BY {sql_key()}, row_id) AS rn FROM base),
-      {_draws_sql(2, '0.3')}, {_draws_sql(3, '0.2')}
-      SELECT 1 AS kind, row_id AS seq, text, label FROM src WHERE rn <= (SELECT floor(n * 0.5) FROM n)
-      UNION ALL SELECT 2, i, text, label FROM m2
-      UNION ALL SELECT 3, i, CASE WHEN length(text) > 400 THEN substring(text, 1, 400) || '...' ELSE text END, label FROM m3""",
-)
+      {", ".join(_draws_sql(k, shares[k]) for k in range(2, most + 1))}, made AS ({" UNION ALL ".join(parts[:most])})"""
+
+
+@query("synthesise_multilabel", f"WITH {synthesis_sql(DOCS)} SELECT * FROM made")
 def _(spark, d):
     return synthesise_multilabel(docs(spark, d))
 
@@ -400,13 +403,14 @@ def _source_classes(spark, d):
     )
 
 
-@query(
-    "generate_training",
-    """WITH c AS (SELECT source, 'Write like ' || source || ' about ' || max(n_chars) AS prompt, row_number() OVER (ORDER BY source) - 1 AS ord FROM documents GROUP BY source),
+# The requests of twenty classes and the samples of those that are answered: (label, text, seq, k).
+_ANSWERED = """WITH c AS (SELECT source, 'Write like ' || source || ' about ' || max(n_chars) AS prompt, row_number() OVER (ORDER BY source) - 1 AS ord FROM documents GROUP BY source),
          t AS (SELECT greatest(100, count(*) // (SELECT count(*) FROM c)) AS target FROM documents),
          r AS (SELECT source, prompt, ord * n + i AS seq FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM c, (SELECT CAST(greatest(1, round_even(target / 50, 0)) AS BIGINT) AS n FROM t)))
-       SELECT source AS label, prompt || ', request ' || seq || ', text ' || k AS text FROM (SELECT *, unnest(range(0, 5)) AS k FROM r WHERE seq % 7 <> 0 AND seq % 11 <> 0)""",
-)
+       SELECT source AS label, prompt || ', request ' || seq || ', text ' || k AS text, seq, k FROM (SELECT *, unnest(range(0, 5)) AS k FROM r WHERE seq % 7 <> 0 AND seq % 11 <> 0)"""
+
+
+@query("generate_training", f"SELECT label, text FROM ({_ANSWERED})")
 def _(spark, d):
     rows = table(spark, d, "documents").count()
     made = gen.generate_training(_source_classes(spark, d), stand_in(), volume=rows, min_per_class=100)
@@ -430,7 +434,10 @@ def _(spark, d):
     return made.stats.withColumn("skipped_second_time", F.lit(again is None))
 
 
-@query("generate_multilabel")
+@query(
+    "generate_multilabel",
+    f"""WITH {synthesis_sql(f"SELECT seq * 1048576 + k AS row_id, text, label FROM ({_ANSWERED})", "SELECT source AS label FROM documents")} SELECT * FROM made""",
+)
 def _(spark, d):
     rows = table(spark, d, "documents").count()
     return gen.generate_multilabel(_source_classes(spark, d), stand_in(), volume=rows, min_per_class=100)
