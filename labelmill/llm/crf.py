@@ -323,10 +323,10 @@ def identify_held_out(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFra
     return predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least_score: float = 0.25) -> DataFrame:
     """The documents whose language is determined and makes up ``least_score`` of their words; columns as they are.
 
-    Learns from the documents' own ``lang``. If none has one, all documents with a letter stay.
+    The limit is low, so that text that switches between languages stays. Learns from the documents' own ``lang``. If none has one, all documents with a letter stay.
     """
     model = train(docs)
     if model is None:
