@@ -132,7 +132,8 @@ def judge_urls(
     """
     url = F.col("url")
     parts = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
-    judged = reputation(outcomes, parts.select("host").distinct(), z)
+    # Written, so that both sides of the join on the host are dealt by it and a hot host's pages can be split.
+    judged = materialise(reputation(outcomes, parts.select("host").distinct(), z), "reputation")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), list(rules))
     own = F.when(F.col("bound") > most_bad, "block").otherwise("allow")
     return parts.join(judged, "host", "left").select(
