@@ -17,7 +17,7 @@ from labelmill.llm.common import WORD
 from labelmill.session import materialise
 
 # Rows of a source that are ordered in one task, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 # First characters of a source's name that make the ranges in which names are numbered.
 PREFIX_CHARS = 6
