@@ -9,7 +9,6 @@ names times how much the literal looks like a secret; literals above a limit bec
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
