@@ -36,6 +36,12 @@ PLACES = BANDS * ROWS
 # Pairs whose signatures agree in fewer places are not confirmed: five deviations below 0.75.
 LEAST_AGREEING = 0.6
 
+# Finer signatures for classes of one band key in different components, of which there can be many that are nearly
+# similar enough; 0.69 of 1000 places is more than four deviations below 0.75.
+FINE_PLACES = 1000
+FINE_AGREEING = 0.69
+FINE_ELEMENTS = 30_000
+
 LINK_PERCENT = 75
 def shingle_sets(batch: list[bytes], words: int = SHINGLE_WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text (fewer words: one hash of them all; none: empty)."""
@@ -103,7 +109,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             for k in range(ROWS):
                 keys += bits.reshape(-1, BANDS, ROWS)[:, :, k] * FACTOR[k]
             keys = mixed(keys + np.arange(BANDS, dtype=np.uint64) * BASE).view(np.int64)
-            low = (mixed(bits) & np.uint64(255)).astype(np.uint8)
+            low = _low_bytes(bits)
             filled = [len(s) > 0 for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -130,8 +136,12 @@ def _alike(n1: np.ndarray, low1: np.ndarray, n2: np.ndarray, low2: np.ndarray) -
     return sizes & ((low1 == low2).mean(axis=-1) >= LEAST_AGREEING)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PLACES)
+def _matrix(column: pa.ChunkedArray | pa.Array, places: int = PLACES) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, places)
+
+
+def _low_bytes(signature: np.ndarray) -> np.ndarray:
+    return (mixed(signature.view(np.uint64)) & np.uint64(255)).astype(np.uint8)
 
 
 def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -148,14 +158,22 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return shipped(pairs.join(one, "a").join(two, "b")).mapInArrow(keep, pairs.schema)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs ``(a, b)`` of ids those whose full sets are similar enough."""
+def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, set)`` of the given documents, written once for all that follows."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=CHUNK_BYTES):
             found = [s.tobytes() for s in shingle_sets([t or b"" for t in texts(batch)])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["node", "set"])
 
+    wanted = nodes.select(F.col("node").alias("doc_id")).hint("shuffle_hash")
+    rows = shipped(docs.select("doc_id", "text")).join(wanted, "doc_id", "left_semi")
+    return materialise(rows.mapInArrow(sets, "node bigint, set binary"), "sets")
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """Of pairs ``(a, b)`` of ids those whose full sets are similar enough."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -165,25 +183,29 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok.append(100 * both >= LINK_PERCENT * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = materialise(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    kind = pairs.schema["a"].dataType
-    full = materialise(
-        shipped(docs.select("doc_id", "text")).join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-        .mapInArrow(sets, T.StructType([T.StructField("node", kind), T.StructField("set", T.BinaryType())])),
-        "sets",
-    )
     one, two = (full.select(F.col("node").alias(c), F.col("set").alias(s)) for c, s in (("a", "set1"), ("b", "set2")))
     return shipped(pairs.join(one, "a").join(two, "b")).mapInArrow(compare, pairs.schema)
 
 
-def _across(members: DataFrame, kind: T.DataType) -> DataFrame:
+def _fine(full: DataFrame) -> DataFrame:
+    """``(node, fine)``: low bytes of longer signatures."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "set", 8 * FINE_ELEMENTS):
+            sets = [np.frombuffer(s, np.uint64) for s in batch.column("set").to_pylist()]
+            fine = [x.tobytes() for x in _low_bytes(super_minhash(sets, FINE_PLACES))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(fine, pa.binary())], ["node", "fine"])
+
+    return shipped(full).mapInArrow(sign, "node bigint, fine binary")
+
+
+def _across(members: DataFrame) -> DataFrame:
     """Promising pairs of classes of one band key that are in different components so far."""
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         node, part, n = (table[c].to_numpy() for c in ("node", "part", "n"))
-        low, block = _matrix(table["low"]), table["block"].to_numpy()
-        i, j = key[1].as_py(), key[2].as_py()
+        low, fine, block = _matrix(table["low"]), _matrix(table["fine"], FINE_PLACES), table["block"].to_numpy()
+        i, j, band = key[1].as_py(), key[2].as_py(), table["band"][0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found = []
         for x in left:
@@ -191,12 +213,15 @@ def _across(members: DataFrame, kind: T.DataType) -> DataFrame:
             ys = ys[node[ys] > node[x]] if i == j else ys
             if len(ys):
                 ys = ys[_alike(n[x], low[x], n[ys], low[ys])]
+                # Classes that share several bands are compared in the first of them.
+                common = (low[x] == low[ys]).reshape(-1, BANDS, ROWS).all(axis=2)
+                ys = ys[common.argmax(axis=1) == band]
+                ys = ys[(fine[x] == fine[ys]).mean(axis=1) >= FINE_AGREEING]
                 found += [(node[x], node[y]) for y in ys]
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    return shipped(in_blocks(members, "key", "node")).groupBy("key", "i", "j").applyInArrow(compare, schema).distinct()
+    return shipped(in_blocks(members, "key", "node")).groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -208,7 +233,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Rows with equal ids are one document. Extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    kind = T.LongType()
     signed = materialise(signatures(docs), "signatures")
     filled = signed.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     copies = materialise(
@@ -219,18 +243,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "low"),
         "classes",
     )
-    keys = classes.select("node", F.explode("bands").alias("key"))
+    keys = classes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = materialise(keys.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b < last").drop("last"), "shared")
     members = materialise(keys.join(shared, "key"), "members")
     star = members.filter("node > b").select(F.col("node").alias("a"), "b").distinct()
-    links = materialise(_confirmed(_promising(star, classes), docs), "links")
+    full = _full_sets(docs, members.select("node").distinct())
+    links = materialise(_confirmed(_promising(star, classes), full), "links")
     parts = components(links)
     # Classes of one key that are still apart.
-    split = members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    split = members.join(parts, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("part"))
     split = materialise(split, "split")
     mixed_keys = split.groupBy("key").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).filter("p1 < p2").select("key")
-    apart = split.join(mixed_keys, "key").join(classes.select("node", "n", "low"), "node")
-    more = materialise(_confirmed(_across(apart, kind), docs), "links")
+    apart = materialise(split.join(mixed_keys, "key"), "apart")
+    fine = materialise(_fine(full.join(apart.select("node").distinct(), "node", "left_semi")), "fine")
+    apart = apart.join(classes.select("node", "n", "low"), "node").join(fine, "node")
+    more = materialise(_confirmed(_across(apart), full), "links")
     if not more.isEmpty():
         parts = components(links.unionByName(more))
     every = (
