@@ -202,7 +202,8 @@ def test_folded_labels(spark):
 
 
 def test_no_round_robin_between_scan_and_plan(spark, sf_dir):
-    from labelmill.plans.registry import QUERIES
+    import __spark_entry__
 
+    queries = __spark_entry__.queries()
     for name in ("clean_text", "text_stats", "sample_n", "term_counts"):
-        assert "RoundRobin" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
+        assert "RoundRobin" not in queries[name](spark, sf_dir)._jdf.queryExecution().toString()
