@@ -15,7 +15,7 @@ from labelmill.session import materialise
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determined language, or in it for less than a quarter of their words, go; code-switched ones stay."""
+    """Documents with less than a quarter of their letters in words of learnt languages go; code-switched ones stay."""
     return crf.keep_identified(docs)
 
 

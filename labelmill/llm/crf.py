@@ -40,6 +40,11 @@ CLARITY = np.array([0.3, 0.5, 0.7, 0.9, 0.99])
 # for fitting only; the lexicon and all predictions use all documents).
 FIT_DOCS = 150
 FIT_BYTES = 65_536
+# Share of a language's longest n-grams from which one is known: at most 500,000 for each language. A word that isn't in
+# the lexicon is placed in a language that knows so much of its n-grams.
+KNOWN_SHARE = 2e-6
+PLACED = 0.75
+
 ROUNDS = 40
 PENALTY = 1e-6
 MOST_LANGUAGES = 1000
@@ -80,7 +85,7 @@ class Words:
         self.joined, self.starts, self.lengths = joined, starts, lengths
         self.distinct, first, self.at = np.unique(hashes, return_index=True, return_inverse=True)
         size = lengths[first] + 2
-        self.begins = np.cumsum(size) - size
+        self.sizes, self.begins = size, np.cumsum(size) - size
         n = int(size.sum())
         place = np.arange(n) - np.repeat(self.begins, size)
         raw = np.frombuffer(joined, np.uint8)
@@ -97,6 +102,8 @@ class Words:
             bucket = (mixed(key + GRAM_SALT[length]) & np.uint64(BUCKETS - 1)).astype(np.int64)
             fits = (left >= length) & (inner if length == 1 else True)
             self.grams.append(np.where(fits, bucket, BUCKETS))
+        # The longest n-grams as they are; no letter is 0, so 0 is none.
+        self.longest = np.where(fits, key, 0).astype(np.uint32)
 
     def layout(self) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and step of each token: every text begins a new sequence."""
@@ -316,6 +323,71 @@ def label_words(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return shipped(docs.select("doc_id", "text")).mapInArrow(label, T.StructType([docs.schema["doc_id"], T.StructField("words", kind)]))
 
 
+def known_grams(docs: DataFrame, languages: list[str], share: float = KNOWN_SHARE) -> np.ndarray:
+    """The longest n-grams with ``share`` of a language's, over all its documents: sorted keys of language and bytes."""
+    number = F.create_map(*(F.lit(x) for i, name in enumerate(languages) for x in (name, i)))
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", number[F.col("lang")].alias("language"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, size=2 * CHUNK_BYTES):
+            words = Words([t or b"" for t in texts(batch)])
+            language = np.repeat(batch.column("language").to_numpy(), np.diff(words.bounds))
+            gram, at = np.unique(words.longest, return_inverse=True)
+            for k in np.unique(language):
+                times = np.bincount(words.at[language == k], minlength=len(words.begins))
+                n = np.bincount(at, np.repeat(times, words.sizes)).astype(np.int64)
+                some = np.flatnonzero((n > 0) & (gram > 0))
+                yield pa.RecordBatch.from_arrays([pa.array((np.uint64(k) << np.uint64(32) | gram[some].astype(np.uint64)).view(np.int64)), pa.array(n[some])], ["key", "n"])
+
+    partial = shipped(known).mapInArrow(count, "key bigint, n bigint")
+    counts = materialise(partial.groupBy("key").agg(F.sum("n").alias("n")).withColumn("language", F.shiftright("key", 32)), "grams")
+    totals = counts.groupBy("language").agg((F.sum("n") * share).alias("least"))
+    return np.sort(counts.join(totals, "language").filter("n >= least").select("key").toArrow()["key"].to_numpy().view(np.uint64))
+
+
+def _placed(model: LanguageModel, known: np.ndarray, words: Words) -> np.ndarray:
+    """Whether each token is a word of a learnt language: in the lexicon, or made of n-grams known in the field's label of it."""
+    labels = len(model.languages)
+    pair, at = np.unique(words.at * labels + _marginals(model, words).argmax(axis=1), return_inverse=True)
+    word, language = pair // labels, pair % labels
+    size = words.sizes[word]
+    begins = np.cumsum(size) - size
+    gram = words.longest[np.arange(size.sum()) + np.repeat(words.begins[word] - begins, size)]
+    key = np.repeat(language, size).astype(np.uint64) << np.uint64(32) | gram
+    place = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+    found = (known[place] == key) & (gram > 0) if len(known) else np.zeros(len(key), bool)
+    covered = np.add.reduceat(found.astype(np.int64), begins)
+    in_lexicon = model.entry_of(words.distinct[word]) < len(model.entries) - 1
+    return (in_lexicon | (covered >= PLACED * np.maximum(size - LONGEST_GRAM + 1, 1)))[at]
+
+
+def placed_share(docs: DataFrame, model: LanguageModel, known: np.ndarray) -> DataFrame:
+    """``(doc_id, placed)``: the share of each whole text's letters in words placed in a learnt language, 0 without words.
+
+    Letters are counted as bytes, so that scraps of codes and short words that languages share by chance weigh little. Unlike the score of ``predict``, it has no least value that follows from the number of languages.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model, known))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, grams = shared.value
+        for batch in slices(batches, size=CHUNK_BYTES):
+            raw = [t or b"" for t in texts(batch)]
+            words = Words(raw)
+            share = np.zeros(len(raw))
+            if len(words.at):
+                of = np.repeat(np.arange(len(raw)), np.diff(words.bounds))
+                letters = np.bincount(of, words.lengths, minlength=len(raw))
+                share = np.bincount(of, words.lengths * _placed(m, grams, words), minlength=len(raw)) / np.maximum(letters, 1)
+            for i in np.flatnonzero(share):
+                # Bytes of other characters than ASCII need not be letters.
+                if not raw[i].isascii() and not any(c.isalpha() for c in raw[i].decode()):
+                    share[i] = 0.0
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(share)], ["doc_id", "placed"])
+
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("placed", T.DoubleType())])
+    return shipped(docs.select("doc_id", "text")).mapInArrow(judge, schema)
+
+
 def identify_held_out(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """Learn from all folds but one (crc32 of the id as text) and predict every document, with ``held_out``."""
     out: Column = fold_crc("doc_id", folds) == held
@@ -324,14 +396,16 @@ def identify_held_out(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFra
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.25) -> DataFrame:
-    """The documents whose language is determined and makes up ``least_score`` of their words; columns as they are.
+    """The documents with ``least_score`` of their letters in words placed in learnt languages; columns as they are.
 
-    The limit is low, so that text that switches between languages stays. Learns from the documents' own ``lang``. If none has one, all documents with a letter stay.
+    Words count in whichever learnt language they are, so text that switches between these stays, and text in none of
+    them goes. Learns from the documents' own ``lang``. If none has one, all documents with a letter stay.
     """
     model = train(docs)
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    judged = materialise(predict(docs, model).filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least_score)), "rejected")
+    shares = placed_share(docs, model, known_grams(docs, model.languages))
+    judged = materialise(shares.filter((F.col("placed") == 0) | (F.col("placed") < least_score)), "rejected")
     # Rejected ids are joined away, so the texts pass as they are. A row without an id is judged by whether it has letters.
     gone = judged.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
     lettered = F.col("doc_id").isNotNull() | F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

@@ -76,6 +76,19 @@ def test_rejected_documents(spark):
     assert crf.keep_identified(empty(spark)).count() == 0
 
 
+def test_junk_and_foreign_texts_go_in_any_number_of_languages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").filter("length(text) > 200")
+    of = {k: docs.filter(F.col("lang") == k).orderBy("doc_id").first()["text"][:400] for k in ("en", "fr", "de", "es")}
+    junk = " ".join(f"{chr(97 + i * i % 26)}{chr(97 + i * 7 % 26)}qx{chr(97 + i * 11 % 26)}z{chr(97 + i % 26)}" for i in range(60))
+    foreign = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."
+    planted = {-1: junk, -2: foreign, -3: "Все люди рождаются свободными и равными в своем достоинстве и правах.", -4: " ".join(of.values()), -5: of["fr"] + " " + of["en"]}
+    two = docs.filter(F.col("lang").isin("en", "fr"))
+    for known in (docs, two):
+        left = {r["doc_id"] for r in crf.keep_identified(known.unionByName(spark.createDataFrame([(k, t, None) for k, t in planted.items()], docs.schema))).collect()}
+        assert {k for k in left if k < 0} == {-4, -5}
+        assert left - {-4, -5} == {r["doc_id"] for r in known.collect()}
+
+
 def test_exchange_raises_likelihood_and_finds_blocks():
     rng = np.random.default_rng(4)
     types, classes = 24, 3
