@@ -205,6 +205,7 @@ def _across(members: DataFrame) -> DataFrame:
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         node, part, n = (table[c].to_numpy() for c in ("node", "part", "n"))
         low, fine, block = _matrix(table["low"]), _matrix(table["fine"], FINE_PLACES), table["block"].to_numpy()
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         i, j, band = key[1].as_py(), key[2].as_py(), table["band"][0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found = []
@@ -213,9 +214,8 @@ def _across(members: DataFrame) -> DataFrame:
             ys = ys[node[ys] > node[x]] if i == j else ys
             if len(ys):
                 ys = ys[_alike(n[x], low[x], n[ys], low[ys])]
-                # Classes that share several bands are compared in the first of them.
-                common = (low[x] == low[ys]).reshape(-1, BANDS, ROWS).all(axis=2)
-                ys = ys[common.argmax(axis=1) == band]
+                # Classes that share several bands' keys are compared in the first of them.
+                ys = ys[(bands[x] == bands[ys]).argmax(axis=1) == band]
                 ys = ys[(fine[x] == fine[ys]).mean(axis=1) >= FINE_AGREEING]
                 found += [(node[x], node[y]) for y in ys]
         a, b = zip(*found, strict=True) if found else ((), ())
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed_keys = split.groupBy("key").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).filter("p1 < p2").select("key")
     apart = materialise(split.join(mixed_keys, "key"), "apart")
     fine = materialise(_fine(full.join(apart.select("node").distinct(), "node", "left_semi")), "fine")
-    apart = apart.join(classes.select("node", "n", "low"), "node").join(fine, "node")
+    apart = apart.join(classes.select("node", "n", "low", "bands"), "node").join(fine, "node")
     more = materialise(_confirmed(_across(apart), full), "links")
     if not more.isEmpty():
         parts = components(links.unionByName(more))

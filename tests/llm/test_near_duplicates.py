@@ -72,6 +72,16 @@ def test_groups_equal_brute_force(spark):
     assert all(r["kept"] == (d == want[d]) and r["n_shingles"] == len(shingles(dict(rows)[d])) for d, r in got.items())
 
 
+def test_pairs_meet_although_low_bytes_of_an_earlier_band_agree_by_chance(spark):
+    low, fine = bytes(nd.PLACES), bytes(nd.FINE_PLACES)
+    keys = {node: [1000 * node + band for band in range(nd.BANDS)] for node in (1, 2)}
+    for band, key in ((3, 7), (5, 8)):
+        keys[1][band] = keys[2][band] = key
+    rows = [(key, band, node, node, 100, low, fine, keys[node]) for node in (1, 2) for band, key in ((3, 7), (5, 8))]
+    members = spark.createDataFrame(rows, "key bigint, band int, node bigint, part bigint, n bigint, low binary, fine binary, bands array<bigint>")
+    assert [tuple(r) for r in nd._across(members).collect()] == [(1, 2)]
+
+
 def test_messy_rows(spark):
     df = messy(spark)
     rows = nd.near_duplicates(df).collect()
