@@ -45,9 +45,20 @@ PLACEHOLDER = re.compile(
 )
 LIMIT = 0.5
 
+# Words before a credential in headers; private keys in their armour; words that sentences have and passphrases don't.
+_SCHEME = re.compile(r"(?:bearer|basic|token|digest|apikey|negotiate)[ \t]+", re.IGNORECASE)
+_ARMOUR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_PLAIN = frozenset(
+    "a an and are at be been by can cannot do does enter for from has have if in incorrect invalid is it its may must my new not of on or please required "
+    "reset should that the their there this to type use was when which will with wrong you your".split()
+) | SENSITIVE.keys()
+LEAST_PART = 12
+PASSPHRASE_SCORE, PASSPHRASE_WORDS = 0.55, 4
+
 _SIGN = re.compile(r":=|=>|[:=]")
 _NAME = re.compile(r"""([A-Za-z_$][\w$.\-]*)(?:["'`]|["']\])?[ \t]*$""")
-_QUOTED = re.compile(r"""[ \t]*(?:[bruf]{0,2})(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`)""")
+_AFTER_SIGN = re.compile(r"[ \t]*" + _SCHEME.pattern, re.IGNORECASE)
+_QUOTED = re.compile(r"""[ \t]*(?:[bruf]{0,2})(?:\"{3}((?s:.*?))\"{3}|'{3}((?s:.*?))'{3}|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`)""")
 _BARE = re.compile(r"""[ \t]*([^\s,;#"'`()\[\]{}<>]+)""")
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.|\\)[ \t]*\n?")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*$")
@@ -76,20 +87,48 @@ def name_score(name: str) -> float:
 
 
 def literal_score(value: str) -> float:
-    """How much a literal looks like a secret, from 0 to 1: length, mixture and entropy; placeholders have 0."""
+    """How much a literal looks like a secret, from 0 to 1: length, mixture and entropy; placeholders have 0.
+
+    A literal of several words has the score of the one that looks like a secret most, without a scheme like ``Bearer``;
+    a private key in its armour has 1, and a passphrase a score that only the most sensitive names lift to the limit.
+    """
+    value = value.strip()
     n = len(value)
-    if n < LEAST_ASSIGNED or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    if n < LEAST_ASSIGNED or PLACEHOLDER.match(value):
         return 0.0
+    if any(c.isspace() for c in value):
+        return _score_of_words(value)
     entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
     kinds = sum(map(bool, (re.search("[a-z]", value), re.search("[A-Z]", value), re.search("[0-9]", value), re.search(r"[^\w]", value))))
     return min(1.0, 0.25 + 0.1 * kinds + 0.12 * entropy)
 
 
+def _coded(value: str) -> bool:
+    """Whether a word has letters and digits, or capitals after small letters, as codes have and words of prose don't."""
+    return bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value) or re.search("[a-z].*[A-Z]", value))
+
+
+def _score_of_words(value: str) -> float:
+    if _ARMOUR.search(value):
+        return 1.0
+    scheme = _SCHEME.match(value)
+    words = value[scheme.end() if scheme else 0 :].split()
+    least = LEAST_ASSIGNED if scheme and len(words) == 1 else LEAST_PART
+    score = max((literal_score(w) for w in words if len(w) >= least and _coded(w)), default=0.0)
+    phrase = len(words) >= PASSPHRASE_WORDS and all(w.isalnum() and w.lower() not in _PLAIN for w in words)
+    return max(score, PASSPHRASE_SCORE) if phrase else score
+
+
+def _path(value: str) -> bool:
+    """Whether a bare value that starts with a slash is a path: keys in base64 have capitals, small letters and digits."""
+    return not all(re.search(kind, value) for kind in ("[a-z]", "[A-Z]", "[0-9]"))
+
+
 def assignments(text: str) -> Iterator[tuple[str, str | None, int, int, str | None]]:
     """The name-value pairs of a text: ``(name, literal, start, end, reference)``; a value is a literal or a reference."""
     for sign in _SIGN.finditer(text):
         name = _NAME.search(text, max(0, sign.start() - _NAME_CHARS), sign.start())
-        if not name or text[sign.end() : sign.end() + 1] in ("=", ":", "/", ">"):
+        if not name or text[sign.end() : sign.end() + 1] in ("=", ":", ">") or (sign[0] == ":" and text.startswith("//", sign.end())):
             continue
         quoted = _QUOTED.match(text, sign.end())
         if quoted:
@@ -99,7 +138,12 @@ def assignments(text: str) -> Iterator[tuple[str, str | None, int, int, str | No
                 value += more[more.lastindex]
                 end, after = more.end(more.lastindex), more.end()
             yield name[1], value, start, end, None
+        elif (scheme := _AFTER_SIGN.match(text, sign.end())) and (bare := _BARE.match(text, scheme.end())):
+            if _coded(bare[1]):
+                yield name[1], bare[1], *bare.span(1), None
         elif bare := _BARE.match(text, sign.end()):
+            if bare[1].startswith("/") and bare.start(1) == sign.end() and _path(bare[1]):
+                continue
             called = text[bare.end() : bare.end() + 1] == "("
             if _IDENTIFIER.match(bare[1]):
                 yield name[1], None if called else bare[1], *bare.span(1), None if called else bare[1]
