@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import brown, crf, fingerprints, mixing, near_duplicates, near_vectors, packing, secrets, tokens, url_reputation
+from labelmill.llm import bpe_codec, brown, crf, fingerprints, mixing, near_duplicates, near_vectors, packing, secrets, tokens, url_reputation
 from labelmill.llm.common import LOWER, UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,11 @@ def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents."""
     return crf.identify_held_out(table(spark, sf_dir, "documents"))
+
+
+@query("op13_bpe_codec")
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and the texts that they decode to, as digests."""
+    coded = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), TOKENIZER), TOKENIZER)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
