@@ -51,15 +51,24 @@ def _library(tokenizer, df):
     return sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("frequent", [bpe_codec.FREQUENT, 0.002, 2.0])
-def test_ids_and_texts_are_the_library_s(spark, tokenizer, frequent):
+@pytest.mark.parametrize("frequent, sample", [(bpe_codec.FREQUENT, bpe_codec.SAMPLE), (0.002, 1.0), (2.0, 0.5)])
+def test_ids_and_texts_are_the_library_s(spark, tokenizer, frequent, sample, monkeypatch):
+    monkeypatch.setattr(bpe_codec, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(bpe_codec, "DECODED_IDS", 500)
     rows = [(i, t) for i, t in enumerate(_texts(300))]
     rows += [(1000 + i, "the same text, many times over") for i in range(100)] + [(5, rows[5][1])] * 3
     for df in (spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), messy(spark)):
-        got = bpe_codec.decode(bpe_codec.encode(df, FILE, frequent), FILE).collect()
+        got = bpe_codec.decode(bpe_codec.encode(df, FILE, frequent, sample), FILE).collect()
         assert sorted([(r["doc_id"], r["ids"], r["text"]) for r in got], key=repr) == _library(tokenizer, df)
 
 
+def test_frequent_words_are_bounded(spark, tokenizer):
+    rows = [(i, f"common words {i} " + "x" * 400) for i in range(400)]
+    table = bpe_codec.frequent_words(spark.createDataFrame(rows, "doc_id bigint, text string"), FILE, 0.1, 1.0)
+    assert set(table["word"].to_pylist()) == {b"common", b" words"} and sum(len(w) + 8 for w in table["word"].to_pylist()) <= 16 / 0.1
+    assert [tokenizer.decode(x) for x in table["ids"].to_pylist()] == [w.decode() for w in table["word"].to_pylist()]
+
+
 def test_nothing_gives_nothing(spark):
     assert bpe_codec.encode(empty(spark), FILE).collect() == []
     nothing = spark.createDataFrame([("a", None), ("b", [])], "doc_id string, ids array<int>")
