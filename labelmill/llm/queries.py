@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import bpe_codec, brown, crf, fingerprints, mixing, near_duplicates, near_vectors, packing, secrets, tokens, url_reputation
+from labelmill.llm import bpe_codec, brown, crf, fingerprints, mixing, near_duplicates, near_vectors, packing, secrets, spelling, tokens, url_reputation
 from labelmill.llm.common import LOWER, UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,9 @@ def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), TOKENIZER), TOKENIZER)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their forms and roots."""
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
