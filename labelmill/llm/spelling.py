@@ -30,6 +30,9 @@ LEAST_LENGTH, LEAST_N, MORE = 7, 2, 10
 ALPHABETS = (4, 6, 8, 12, 16, 24, 32, 64)
 SHARED = 2.0
 
+# Words whose neighbourhoods are generated in one task.
+TASK_WORDS = 40_000
+
 _ALL = LOWER + "".join(map(chr, range(0xC0, 0x100)))
 
 
@@ -86,7 +89,9 @@ def near_words(vocabulary: DataFrame, symbols: int | None = None) -> DataFrame:
     """
     symbols = symbols or alphabet(vocabulary)
     own = reduced(F.col("word"), symbols)
-    asks = vocabulary.withColumn("r", own).select(
+    # A word makes some fifty rows, so a file of words would be a long task.
+    dealt = vocabulary.repartition(max(1, -(-vocabulary.count() // TASK_WORDS)), "word")
+    asks = dealt.withColumn("r", own).select(
         F.explode(F.array_distinct(F.transform(_neighbourhood(F.col("r"), symbols), lambda x: F.xxhash64(x)))).alias("key"), F.col("word").alias("a"), F.col("n").alias("a_n")
     )
     holds = vocabulary.select(F.xxhash64(own).alias("key"), F.col("word").alias("b"), F.col("n").alias("b_n"))
