@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import bpe_codec, brown, crf, fingerprints, mixing, near_duplicates, near_vectors, packing, secrets, spelling, tokens, url_reputation
+from labelmill.llm import alignment, bpe_codec, brown, crf, fingerprints, mixing, near_duplicates, near_vectors, packing, secrets, spelling, tokens, url_reputation
 from labelmill.llm.common import LOWER, UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +127,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 @query("op1_best_fit_packing")
@@ -191,3 +192,12 @@ def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with their forms and roots."""
     return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by two tokenizers, aligned, with the corpus-wide counts of linked ids."""
+    aligned = alignment.align(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    scored = alignment.score_links(aligned.withColumn("groups_sha256", digest).drop("groups"), TOKENIZER, PIECES)
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
