@@ -6,10 +6,10 @@ ends at the next one's start, it is a cut. Inside a cell between two such cuts,
 several bytes, or bytes that stand for a character the model doesn't know); there the bytes that the tokens decode to
 say where each ends. Decoded bytes are also held against the text as a whole.
 
-**Units.** Neither tokenizer ever joins a space to a character before it: the byte-level pre-tokenizer begins a word at
-the space, and the model has no piece with a space after another character (checked when it is loaded). A text cut
-before spaces that follow a character other than white space is a list of units that both encode independently of each
-other. The alignment of each distinct unit is kept in a table, bounded in size, that the tasks of a worker share.
+**Units.** The words of :mod:`labelmill.llm.bpe_words` are encoded independently by the byte-level tokenizer. The model
+encodes them independently, too, where it has no piece with such neighbours; its vocabulary tells for which kinds of
+neighbours that is so, and only there a text is cut into units. The alignment of each distinct unit is kept in a table,
+bounded in size, that the tasks of a worker share.
 
 **Counts.** Pairs of ids that are linked in a document are counted over all documents. The most frequent pairs, as
 many as a share of all allows, are held by every task; the others are joined.
@@ -18,7 +18,6 @@ many as a share of all allows, are held by every task; the others are joined.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, pairwise
@@ -30,17 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelmill.llm.bpe_codec import pieces
-from labelmill.llm.bpe_words import special_strings
+from labelmill.llm.bpe_codec import _gather, pieces
+from labelmill.llm.bpe_words import KIND, special_strings, words
 from labelmill.llm.common import shipped, slices, texts
 from labelmill.llm.tokens import load
 from labelmill.session import materialise
 
-# Bytes of text in a slice, new units that are encoded together, and units (each counted with its characters / 100)
-# that a worker's table may hold.
+# Bytes of text in a slice, new units that are joined to one text, such texts that are aligned together, and units (each
+# counted with its bytes / 100) that a worker's table may hold.
 SLICE_BYTES = 1 << 20
-JOINED_UNITS = 2_000
-TABLE_UNITS = 400_000
+JOINED_UNITS = 100
+JOINED_TEXTS = 20
+TABLE_UNITS = 500_000
 
 # Pairs of documents that are unpacked together.
 TOGETHER = 500_000
@@ -48,9 +48,8 @@ TOGETHER = 500_000
 # A pair is frequent if it has this share of all (document, pair) rows; so there are at most a million.
 FREQUENT = 1e-6
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"(?<!\S) | (?!\S)")
-_META = "▁"
+# How the model writes a space, and what units are joined by: neither tokenizer joins it to anything.
+_META, _BETWEEN = "▁", "\n"
 
 
 def _byte_ends(starts: np.ndarray, stops: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -79,85 +78,126 @@ class Aligner:
         self.b = load_pieces(b_file)
         self.a_bytes = pieces(a_file).to_pylist()
         self.b_bytes = [_piece_bytes(self.b, i) for i in range(self.b.get_piece_size())]
+        self.a_lengths, self.b_lengths = (np.array([len(p) for p in x]) for x in (self.a_bytes, self.b_bytes))
         self.width = len(self.b_bytes)
+        self.never = np.zeros(64, bool)
+        for i, piece in enumerate(self.b_bytes):
+            if not self.b.is_byte(i) and not self.b.is_control(i) and not self.b.is_unknown(i):
+                if _BETWEEN.encode() in piece:
+                    raise ValueError("the model has pieces with line breaks")
+                kind = KIND[np.frombuffer(piece, np.uint8)]
+                self.never[kind[:-1] * 8 + kind[1:]] = True
         self.clear()
 
     def clear(self) -> None:
         self.held = 0.0
-        self.index: dict[str, int] = {}
+        self.index: dict[bytes, int] = {}
         self.groups: list[str] = []
         self.counts = np.zeros((4, 0), np.int32)  # of each unit: A tokens, B tokens, groups, and 1 if the bytes differ
         self.link_ends = np.zeros(1, np.int64)
         self.links = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int32)  # slices in which each unit was met
 
-    def _tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        """Ids and byte ends of the tokens of space and text by both; None if the bytes of either aren't the text's."""
+    def _tokens(self, text: str) -> tuple[list[int], np.ndarray, list[int], np.ndarray, int] | None:
+        """Ids and byte ends of the tokens of space and text by both, and the bytes; None if the bytes of either aren't the text's."""
         whole = " " + text
         raw = whole.encode()
         encoding = self.a.encode(whole, add_special_tokens=False)
-        a = np.array(encoding.ids, np.int64)
-        proto = self.b.encode(text, return_type="proto").pieces
-        b = np.array([p.id for p in proto], np.int64)
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
+        a, proto = encoding.ids, self.b.encode(text, return_type="proto").pieces
+        b = [p.id for p in proto]
+        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
             return None
-        spans = np.array(encoding.offsets, np.int64)
+        spans = np.fromiter(chain.from_iterable(encoding.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
         if len(raw) != len(whole):
             code = np.frombuffer(whole.encode("utf-32-le"), "<u4")
             at = np.concatenate(([0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))))
             spans = at[spans]
-        a_ends = _byte_ends(spans[:, 0], spans[:, 1], np.array([len(p) for p in a_parts]))
-        # The model adds the space itself: its spans are those of the text without it.
-        starts, stops = np.array([p.begin for p in proto]) + 1, np.array([p.end for p in proto]) + 1
-        starts[0] = 0
-        b_ends = _byte_ends(starts, stops, np.array([len(p) for p in b_parts]))
+        a_ends = _byte_ends(spans[:, 0], spans[:, 1], self.a_lengths[a])
+        # The model adds the space itself: its spans are those of the text without it. Each begins where the last ends.
+        stops = np.fromiter([p.end for p in proto], np.int64, len(b)) + 1
+        b_ends = _byte_ends(np.concatenate(([0], stops[:-1])), stops, self.b_lengths[b])
         if a_ends[-1] != len(raw) or b_ends[-1] != len(raw) or (np.diff(a_ends) <= 0).any() or (np.diff(b_ends) <= 0).any():
             raise ValueError(f"the libraries' spans don't fit the bytes of {text[:80]!r}")
-        return a, a_ends, b, b_ends
-
-    def _learn(self, units: list[str]) -> bool:
-        """Align units that are joined by single spaces; False, and nothing learnt, if their bytes differ."""
-        found = self._tokens(" ".join(units))
-        if found is None:
-            return False
-        a, a_ends, b, b_ends = found
-        unit_ends = np.cumsum([len(u.encode()) + 1 for u in units])
-        union, common = np.union1d(a_ends, b_ends), np.intersect1d(a_ends, b_ends)
-        if not np.isin(unit_ends, common).all():
+        return a, a_ends, b, b_ends, len(raw)
+
+    def _learn(self, joined: list[list[bytes]], lead: str = "a" + _BETWEEN) -> list[list[bytes]]:
+        """Align units of several texts that begin with ``lead``; returns those of texts whose bytes differ."""
+        failed, kept, sides, stops, lengths, at = [], [], [], [], [], 0
+        for units in joined:
+            found = self._tokens(lead + _BETWEEN.join([u.decode() for u in units]))
+            if found is None:
+                failed.append(units)
+                continue
+            a, a_ends, b, b_ends, n = found
+            sides.append((a, a_ends + at, b, b_ends + at))
+            size = np.array([len(u) for u in units])
+            lengths.append(size)
+            stops.append(at + len(lead) + np.cumsum(size + 1))
+            kept += units
+            at += n
+        if not kept:
+            return failed
+        a, a_ends, b, b_ends = (np.concatenate(x) for x in zip(*sides, strict=True))
+        stops = np.concatenate(stops)
+        starts = stops - np.concatenate(lengths)
+        marks = np.zeros((4, at + 1), bool)
+        marks[0, a_ends], marks[1, b_ends] = True, True
+        marks[2], marks[3] = marks[0] & marks[1], marks[0] | marks[1]
+        if not (marks[2, stops].all() and marks[2, starts].all()):
             raise ValueError("a token reaches over the end of a unit")
+        upto = np.cumsum(marks, axis=1, dtype=np.int32)  # ends of A, B, both and either up to each byte
+        common, union = np.flatnonzero(marks[2]), np.flatnonzero(marks[3])
         # Between two neighbouring ends lies the overlap of exactly one A token and one B token.
-        links = a[np.searchsorted(a_ends, union)] * self.width + b[np.searchsorted(b_ends, union)]
-        bounds = [np.concatenate(([0], np.searchsorted(x, unit_ends, "right"))) for x in (a_ends, b_ends, common)]
-        a_cuts, b_cuts = ([0, *np.searchsorted(x, common, "right").tolist()] for x in (a_ends, b_ends))
+        links = a[upto[0, union - 1]] * self.width + b[upto[1, union - 1]]
+        first, last = upto[:, starts], upto[:, stops]
+        a_cuts, b_cuts = [0, *upto[0, common].tolist()], [0, *upto[1, common].tolist()]
         a_names, b_names = list(map(str, a.tolist())), list(map(str, b.tolist()))
         written = [
-            f"{','.join(a_names[i:j])}|{','.join(b_names[k:m])}" for (i, j), (k, m) in zip(pairwise(a_cuts), pairwise(b_cuts), strict=True)
+            f"{a_names[i] if j == i + 1 else ','.join(a_names[i:j])}|{b_names[k] if m == k + 1 else ','.join(b_names[k:m])}"
+            for i, j, k, m in zip(a_cuts, a_cuts[1:], b_cuts, b_cuts[1:], strict=False)
         ]
-        self._add(
-            units, [";".join(written[i:j]) for i, j in pairwise(bounds[2].tolist())], np.stack([np.diff(x) for x in bounds]), links,
-            np.searchsorted(union, unit_ends, "right"),
-        )
-        return True
+        groups = [written[i] if j == i + 1 else ";".join(written[i:j]) for i, j in zip(first[2].tolist(), last[2].tolist(), strict=True)]
+        n = (last - first).astype(np.int64)
+        self._add(kept, groups, n[:3], _gather(links, first[3].astype(np.int64), n[3]), np.cumsum(n[3]))
+        return failed
 
-    def _add(self, units: list[str], groups: list[str], counts: np.ndarray, links: np.ndarray, link_ends: np.ndarray, bad: bool = False) -> None:
+    def _add(self, units: list[bytes], groups: list[str], counts: np.ndarray, links: np.ndarray, link_ends: np.ndarray, bad: bool = False) -> None:
         first = len(self.groups)
         self.index.update(zip(units, range(first, first + len(units)), strict=True))
         self.groups += groups
         self._new.append((np.vstack([counts, np.full(len(units), bad)]), links, link_ends))
         self.held += len(units) + sum(map(len, units)) / 100
 
-    def learn(self, wanted: set[str]) -> None:
-        """Put all units into the table."""
-        new = sorted(wanted.difference(self.index))
+    def shrink(self) -> None:
+        """Keep the units that were met in more than one slice, if these are less than half of the table, or else none."""
+        kept = np.flatnonzero(self.uses > 1)
+        if 2 * len(kept) > len(self.uses):
+            return self.clear()
+        names, n = list(self.index), np.diff(self.link_ends)[kept]
+        links, groups, counts = _gather(self.links, self.link_ends[kept], n), [self.groups[i] for i in kept.tolist()], self.counts[:, kept]
+        self.clear()
+        self._new = []
+        for i in kept.tolist():
+            self.held += len(names[i]) / 100
+        self.index = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.held += len(kept)
+        self.groups, self.counts, self.links = groups, counts, links
+        self.link_ends, self.uses = np.concatenate(([0], np.cumsum(n))), np.ones(len(kept), np.int32)
+        return None
+
+    def learn(self, new: list[bytes]) -> None:
+        """Put units that it doesn't hold into the table."""
         plain, odd = [], []
         for u in new:
-            (odd if not u or " " in u or u[0].isspace() or u[-1].isspace() or _META in u else plain).append(u)
+            t = u.decode()
+            free = not t[0].isspace() or (t[0] == " " and len(t) > 1 and not t[1].isspace())
+            (plain if free and not t[-1].isspace() and _META not in t else odd).append(u)
         self._new: list[tuple] = []
-        for i in range(0, len(plain), JOINED_UNITS):
-            if not self._learn(plain[i : i + JOINED_UNITS]):
-                odd += plain[i : i + JOINED_UNITS]
-        for u in odd:
-            if not self._learn([u]):
+        joined = [plain[i : i + JOINED_UNITS] for i in range(0, len(plain), JOINED_UNITS)]
+        for i in range(0, len(joined), JOINED_TEXTS):
+            odd += chain.from_iterable(self._learn(joined[i : i + JOINED_TEXTS]))
+        for u in odd:  # white space at an end would join that of the text around it
+            if self._learn([[u]], "a" if u[:1] in b" \t\n\r" else "a" + _BETWEEN):
                 self._add([u], [""], np.zeros((3, 1), int), np.zeros(0, np.int64), np.zeros(1, np.int64), True)
         if self._new:
             counts, links, ends = zip(*self._new, strict=True)
@@ -165,18 +205,21 @@ class Aligner:
             shift = np.cumsum([self.link_ends[-1], *map(len, links)])
             self.link_ends = np.concatenate([self.link_ends, *(e + s for e, s in zip(ends, shift, strict=False))])
             self.links = np.concatenate([self.links, *links])
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.groups) - len(self.uses), np.int32)])
 
-    def align(self, batch: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    def align(self, batch: list[bytes]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: A tokens, B tokens, groups and links as rows of an array; the groups as text; and for all texts
         the links as sorted (text, pair) with the number of times, and where each text's begin and end."""
         if self.held > TABLE_UNITS:
-            self.clear()
-        units = [[] if not t else _CUT.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in batch]
-        flat = list(chain.from_iterable(units))
-        self.learn(set(flat))
-        number = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        ends = np.cumsum([len(u) for u in units], dtype=np.int64)
-        begins = ends - [len(u) for u in units]
+            self.shrink()
+        found, bounds = words([b" " + t if t else b"" for t in batch], None, self.never)
+        coded = found.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self.learn([u for u in distinct if u not in self.index])
+        number = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
+        self.uses[number] += 1
+        number = number[coded.indices.to_numpy()]
+        begins, ends = bounds[:-1], bounds[1:]
         n_links = np.diff(self.link_ends)[number]
         totals = np.vstack([self.counts[:, number], n_links])
         upto = np.hstack([np.zeros((5, 1), np.int64), np.cumsum(totals, axis=1)])
@@ -198,17 +241,14 @@ class Aligner:
 
 @lru_cache(maxsize=4)
 def load_pieces(path: str):
-    """The sentencepiece model of a file, once per process; raises if a piece has a space after another character."""
+    """The sentencepiece model of a file, once per process."""
     from sentencepiece import SentencePieceProcessor
 
     if not os.path.exists(path):
         import public_tokenizers
 
         path = public_tokenizers.path(path)
-    model = SentencePieceProcessor(model_file=path)
-    if any(_META in model.id_to_piece(i).lstrip(_META) for i in range(model.get_piece_size())):
-        raise ValueError("the model has pieces that reach over a space")
-    return model
+    return SentencePieceProcessor(model_file=path)
 
 
 def _piece_bytes(model, i: int) -> bytes:
@@ -257,7 +297,7 @@ def align(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(a_file, b_file)
         for batch in slices(batches, size=SLICE_BYTES):
-            sums, groups, pairs, times, bounds = both.align([(t or b"").decode() for t in texts(batch)])
+            sums, groups, pairs, times, bounds = both.align([t or b"" for t in texts(batch)])
             packed = [_packed(pairs[i:j], times[i:j]) for i, j in pairwise(bounds.tolist())]
             arrays = [batch["doc_id"], *map(pa.array, sums.astype(np.int64)), pa.array(groups, pa.string()), pa.array(np.diff(bounds)), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, schema.names)

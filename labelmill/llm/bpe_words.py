@@ -20,15 +20,15 @@ import re
 import numpy as np
 import pyarrow as pa
 
-_SPACE, _BREAK, _LETTER, _DIGIT, _SIGN, _APOSTROPHE = 1, 2, 3, 4, 5, 6
-_KIND = np.zeros(256, np.uint8)
+_SPACE, _BREAK, _RETURN, _LETTER, _DIGIT, _SIGN, _APOSTROPHE = range(1, 8)
+KIND = np.zeros(256, np.uint8)
 for _b in range(33, 127):
-    _KIND[_b] = _LETTER if chr(_b).isalpha() else _DIGIT if chr(_b).isdigit() else _SIGN
-_KIND[[9, 10, 13]], _KIND[32], _KIND[39] = _BREAK, _SPACE, _APOSTROPHE
+    KIND[_b] = _LETTER if chr(_b).isalpha() else _DIGIT if chr(_b).isdigit() else _SIGN
+KIND[[9, 10]], KIND[13], KIND[32], KIND[39] = _BREAK, _RETURN, _SPACE, _APOSTROPHE
 
-# For each pair of neighbours, whether a word begins at the second.
-_STARTS = np.zeros((7, 7), bool)
-_STARTS[_LETTER:, _SPACE : _BREAK + 1] = True
+# For each pair of neighbours' kinds, whether a word begins at the second.
+_STARTS = np.zeros((8, 8), bool)
+_STARTS[_LETTER:, _SPACE : _RETURN + 1] = True
 for _a, _others in ((_LETTER, (_DIGIT, _SIGN, _APOSTROPHE)), (_DIGIT, (_LETTER, _SIGN, _APOSTROPHE)), (_SIGN, (_LETTER, _DIGIT))):
     _STARTS[_a, list(_others)] = True
 _STARTS = _STARTS.reshape(-1)
@@ -46,20 +46,25 @@ def special_strings(tokenizer) -> re.Pattern | None:
     return re.compile(b"|".join(map(re.escape, names))) if names else None
 
 
-def words(batch: list[bytes], special: re.Pattern | None) -> tuple[pa.Array, np.ndarray]:
-    """All words of the texts in order (views of the joined texts), and where each text's words begin and end."""
+def words(batch: list[bytes], special: re.Pattern | None, never: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts in order (views of the joined texts), and where each text's words begin and end.
+
+    ``never`` marks pairs of kinds (``8 * first + second``) between which no word may begin, for another tokenizer's sake.
+    """
     joined = b"".join(batch)
     ends = np.cumsum([len(t) for t in batch], dtype=np.int64)
     n = len(joined)
     starts = np.zeros(n + 1, bool)
     if n:
         raw = np.frombuffer(joined, np.uint8)
-        kind = _KIND[raw]
-        pair = kind[:-1] * np.uint8(7) + kind[1:]
+        kind = KIND[raw]
+        pair = kind[:-1] * np.uint8(8) + kind[1:]
         starts[1:n] = _STARTS[pair]
-        white = (kind[1:] == _SPACE) | (kind[1:] == _BREAK)
+        white = (kind[1:] >= _SPACE) & (kind[1:] <= _RETURN)
         starts[2:n] |= white[1:] & (raw[:-2] == 0xC3) & (raw[1:-1] >= 0x80)
-        starts[2:n] |= (kind[:-2] >= _LETTER) & (kind[1:-1] == _BREAK) & (kind[2:] >= _LETTER)
+        starts[2:n] |= (kind[:-2] >= _LETTER) & (kind[1:-1] >= _BREAK) & (kind[1:-1] <= _RETURN) & (kind[2:] >= _LETTER)
+        if never is not None:
+            starts[1:n] &= ~never[pair]
         if special is not None:
             held = batch if special.search(joined) else []
             for text, end in zip(held, ends.tolist(), strict=False):

@@ -91,15 +91,18 @@ def test_alignment_equals_brute_force(spark, frequent):
 
 def test_small_tables_and_joined_units(spark, monkeypatch):
     rows = list(enumerate(_texts(200, seed=5)))
-    monkeypatch.setattr(alignment, "TABLE_UNITS", 30)
+    monkeypatch.setattr(alignment, "TABLE_UNITS", 600)
     monkeypatch.setattr(alignment, "JOINED_UNITS", 7)
-    both = alignment.Aligner(A, B)
+    monkeypatch.setattr(alignment, "JOINED_TEXTS", 3)
+    both, kept = alignment.Aligner(A, B), 0
     for start in range(0, len(rows), 9):
         part = rows[start : start + 9]
-        sums, groups, pairs, times, bounds = both.align([t or "" for _, t in part])
+        kept += both.held > 600 and 0 < (both.uses > 1).sum() <= len(both.uses) / 2
+        sums, groups, pairs, times, bounds = both.align([(t or "").encode() for _, t in part])
         for i, want in enumerate(expected(part)):
             assert tuple(sums[:, i]) == want[1:5] and groups[i] == want[7]
             assert times[bounds[i] : bounds[i + 1]].sum() == want[4]
+    assert kept
 
 
 def test_spans_are_refined_by_bytes():
