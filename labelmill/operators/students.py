@@ -10,7 +10,6 @@ from pyspark import StorageLevel
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel,
-    GBTClassifier,
     LogisticRegression,
     LogisticRegressionModel,
     MultilayerPerceptronClassificationModel,
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from labelmill.functions.text import is_correct, multi_hot
 from labelmill.operators import features as feats
+from labelmill.operators.boosting import PATIENCE, fit_boosted
 from labelmill.operators.labels import encode_labels, filter_labels
 from labelmill.operators.metrics import cell_log_loss, classification_report
 from labelmill.operators.profile import individual_labels
@@ -37,8 +37,6 @@ BINARY_HIDDEN = (512, 256)
 MULTICLASS_HIDDEN = (64,)
 BOOSTING = {"maxIter": 500, "stepSize": 0.1, "maxDepth": 5}
 LOGREG_ITERATIONS, LOGREG_TOLERANCE = 1000, 1e-4
-PATIENCE = 10
-
 
 
 @dataclass
@@ -97,12 +95,9 @@ register("multilabel", "logreg")(_logreg("binomial"))
 
 @register("binary", "gbt")
 def _gbt(data: DataFrame, size: int, classes: int, params: dict):
-    """Boosted trees; a tenth of the rows decides when adding trees stops helping."""
-    settings = BOOSTING | {"validationTol": 1e-4} | params
-    model = GBTClassifier(
-        featuresCol="features", labelCol="y", seed=SEED, validationIndicatorCol="is_validation", **settings
-    ).fit(data)
-    return model, list(model.evaluateEachIteration(data))
+    """Boosted trees; a tenth of the rows decides when ten rounds in a row no longer help, and the best round is kept."""
+    settings = BOOSTING | params
+    return fit_boosted(data.filter("not is_validation"), data.filter("is_validation"), settings.pop("maxIter"), seed=SEED, **settings)
 
 
 def _mlp(hidden: tuple[int, ...]) -> Trainer:
