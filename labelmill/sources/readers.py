@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from labelmill.functions.replies import one_json_value
 from labelmill.functions.text import strip
 from labelmill.session import local_copy
+from labelmill.sources.csv_records import read_records
 
 _CORRUPT = "_corrupt_record"
 
@@ -55,11 +56,13 @@ def detect_separator(spark: SparkSession, path: str) -> str:
 
 
 def read_csv_any(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    """CSV or TSV with a header, in UTF-8 or Latin-1; splittable unless records span lines."""
+    """CSV or TSV with a header, in UTF-8 or Latin-1, read in splits also where records span lines."""
     separator = detect_separator(spark, path)
     encoding, multiline = probe_text(spark, path)
+    if multiline:
+        return read_records(spark, path, separator, encoding, infer)
     return spark.read.csv(
-        path, header=True, inferSchema=infer, encoding=encoding, sep=separator, multiLine=multiline, escape='"'
+        path, header=True, inferSchema=infer, encoding=encoding, sep=separator, escape='"'
     )
 
 
@@ -176,16 +179,17 @@ def load_data(spark: SparkSession, path: str, kind: str | None = None) -> tuple[
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """Training or test CSV ``text,label``: malformed lines and rows without text or label are dropped."""
     encoding, multiline = probe_text(spark, path)
-    df = spark.read.csv(
-        path, schema="text string, label string", header=True, mode="DROPMALFORMED", multiLine=multiline, escape='"', encoding=encoding
-    )
+    if multiline:
+        df = read_records(spark, path, encoding=encoding, names=["text", "label"], drop_malformed=True)
+    else:
+        df = spark.read.csv(path, schema="text string, label string", header=True, mode="DROPMALFORMED", escape='"', encoding=encoding)
     return df.na.drop(subset=["text", "label"])
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Prediction CSV; the columns text, label and predicted_label are required."""
     encoding, multiline = probe_text(spark, path)
-    df = spark.read.csv(path, header=True, multiLine=multiline, escape='"', encoding=encoding)
+    df = read_records(spark, path, encoding=encoding) if multiline else spark.read.csv(path, header=True, escape='"', encoding=encoding)
     missing = {"text", "label", "predicted_label"} - set(df.columns)
     if missing:
         raise ValueError(f"columns missing: {sorted(missing)}; found {df.columns}")
