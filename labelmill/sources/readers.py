@@ -13,6 +13,7 @@ from labelmill.functions.replies import one_json_value
 from labelmill.functions.text import strip
 from labelmill.session import local_copy
 from labelmill.sources.csv_records import read_records
+from labelmill.sources.json_lists import as_paths, lists_as_lines
 
 _CORRUPT = "_corrupt_record"
 
@@ -101,36 +102,41 @@ def _files(df: DataFrame, condition) -> list[str]:
 def read_json_any(spark: SparkSession, path: str) -> DataFrame:
     """Files that each hold a list of objects, an object of equally long lists, a single object, or JSON lines.
 
-    Each file is judged by itself. A file whose first line is a JSON value and that has more lines is JSON lines; any
-    other is one value if it parses as a whole (one task per file, which is the format's limit), and else JSON lines
-    with damaged ones. The driver holds the names of the files, as for any scan.
+    Each file is judged by itself. A file that is one list is read in splits. Of the others, a file whose first line is a
+    JSON value and that has more lines is JSON lines; any other is one object if it parses as a whole (one row, and so
+    one task per file), and else JSON lines with damaged ones. The driver holds the names of the files, as for any scan.
     """
     line = strip(F.col("value"))
     place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), line.alias("line"), place.alias("place"))
-    kinds = (
-        lines.filter(F.col("line") != "").groupBy("file")
-        .agg(F.count("*").alias("n"), F.min_by(one_json_value(F.col("line")), "place").alias("first_whole"))
-    )
-    seen = local_copy(kinds)  # a row per file
-    by_line = _files(seen, "n > 1 AND first_whole")
-    others = _files(seen, "NOT (n > 1 AND first_whole)")
-    if not by_line and not others:
+    in_lists, elements = lists_as_lines(spark, path)
+    # Only names are asked for, so no file is read.
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file")) if in_lists else None
+    rest = path if files is None else as_paths(_files(files, ~F.col("file").isin(in_lists)))
+    by_line, others = [], []
+    if rest:
+        lines = spark.read.text(rest).select(F.col("_metadata.file_path").alias("file"), line.alias("line"), place.alias("place"))
+        kinds = (
+            lines.filter(F.col("line") != "").groupBy("file")
+            .agg(F.count("*").alias("n"), F.min_by(one_json_value(F.col("line")), "place").alias("first_whole"))
+        )
+        seen = local_copy(kinds)  # a row per file
+        by_line = _files(seen, "n > 1 AND first_whole")
+        others = _files(seen, "NOT (n > 1 AND first_whole)")
+    if not by_line and not others and not in_lists:
         raise ValueError(f"no data in {path}")
-    lists, objects = [], []
+    objects = []
     if others:
-        whole = spark.read.text(others, wholetext=True).select(F.col("_metadata.file_path").alias("file"), line.alias("line"))
-        judged = local_copy(whole.select("file", one_json_value(F.col("line")).alias("ok"), F.substring("line", 1, 1).alias("opens")))
-        lists, objects = _files(judged, "ok AND opens = '['"), _files(judged, "ok AND opens = '{'")
+        whole = spark.read.text(as_paths(others), wholetext=True).select(F.col("_metadata.file_path").alias("file"), line.alias("line"))
+        judged = local_copy(whole.select("file", (one_json_value(F.col("line")) & F.col("line").startswith("{")).alias("ok")))
+        objects = _files(judged, "ok")
         by_line += _files(judged, "NOT ok")
     parts = []
-    if lists:
-        parts.append(spark.read.json(lists, multiLine=True, allowSingleQuotes=False))
     if objects:
-        df = spark.read.json(objects, multiLine=True, allowSingleQuotes=False)
+        df = spark.read.json(as_paths(objects), multiLine=True, allowSingleQuotes=False)
         parts.append(_by_column(df) if all(t.startswith("array") for _, t in df.dtypes) else df)
-    if by_line and (rows := _json_lines(spark, by_line)) is not None:
-        parts.append(rows)
+    for paths in (as_paths(by_line), [elements] if elements else []):
+        if paths and (rows := _json_lines(spark, paths)) is not None:
+            parts.append(rows)
     parts = [p for p in parts if p.columns]
     if not parts:
         raise ValueError(f"no valid JSON objects in {path}")
