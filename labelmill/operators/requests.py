@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from labelmill.operators.ledger import Ledger
+
 # Rows expected per request, smallest target per class, requests per batch.
 ROWS_PER_REQUEST = 50
 ROWS_PER_EDGE_REQUEST = 40
@@ -86,36 +88,58 @@ def one_by_one(answer: Callable) -> Callable[[pd.DataFrame], list]:
 
 
 def teacher_map(
-    requests: DataFrame, fn: Callable[[pd.DataFrame], list], parallelism: int | None = None
+    requests: DataFrame, fn: Callable[[pd.DataFrame], list], parallelism: int | None = None, ledger: str | None = None, per_call: int = 1
 ) -> DataFrame:
-    """Apply a teacher to every request, in parallel over partitions; each request is asked once.
+    """Apply a teacher to every request, in parallel over partitions.
 
     ``fn`` gets a pandas frame of requests and returns for each row a response or an exception, which marks its
     own row as ``failed`` (see ``one_by_one``). If ``fn`` itself raises, nothing is known of its rows: all of that
     call's are ``failed``, and none is asked again. Empty responses are ``failed_empty``. ``error`` says why a
-    row failed. ``parallelism`` bounds the number of concurrent calls. Write the result before using it in several
-    jobs or sorting it: each job over an unwritten plan would ask anew.
+    row failed. ``parallelism`` bounds the number of concurrent calls.
+
+    With ``ledger``, a folder that all executors reach, requests are asked ``per_call`` at a time, and each call's
+    answers are recorded before the next call. A task or job that runs again asks only for what has no record, so a
+    request is asked once, or again if its task died during the call. Two attempts at the same time would both ask, so
+    speculative execution is an error. Without a ledger, write the result before using it in several jobs or sorting
+    it: each job over an unwritten plan, and each new attempt of a task, asks anew.
     """
     if "batch" not in requests.columns:
         requests = with_batches(requests)
     if parallelism:
         requests = requests.repartition(parallelism, "seq")
+    if ledger and requests.sparkSession.sparkContext.getConf().get("spark.speculation", "false").lower() == "true":
+        raise ValueError("with a ledger, set spark.speculation to false: two attempts at a time would both ask")
 
-    def outcome(answer) -> tuple[str | None, str, str | None]:
+    def outcome(answer) -> dict:
         if isinstance(answer, Exception):
-            return None, "failed", f"{type(answer).__name__}: {answer}"
-        return (str(answer), "success", None) if answer else (None, "failed_empty", "empty response")
+            return {"response": None, "status": "failed", "error": f"{type(answer).__name__}: {answer}"}
+        return {"response": str(answer), "status": "success", "error": None} if answer else {"response": None, "status": "failed_empty", "error": "empty response"}
+
+    def asked(frame: pd.DataFrame) -> list[dict]:
+        try:
+            answers = list(fn(frame))
+            if len(answers) != len(frame):
+                raise ValueError(f"{len(answers)} responses to {len(frame)} requests")
+        except Exception as error:
+            answers = [error] * len(frame)
+        return list(map(outcome, answers))
+
+    def recorded(frame: pd.DataFrame, book: Ledger) -> list[dict]:
+        found = book.found(frame)
+        open_ = [i for i, f in enumerate(found) if f is None]
+        for start in range(0, len(open_), per_call):
+            rows = open_[start : start + per_call]
+            part = frame.iloc[rows]
+            for i, seq, prompt, answer in zip(rows, part["seq"], part["prompt"], asked(part), strict=True):
+                book.record(seq, prompt, answer)
+                found[i] = answer
+        return found
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book = Ledger(ledger) if ledger else None
         for frame in frames:
-            try:
-                answers = list(fn(frame))
-                if len(answers) != len(frame):
-                    raise ValueError(f"{len(answers)} responses to {len(frame)} requests")
-            except Exception as error:
-                answers = [error] * len(frame)
-            response, status, why = zip(*map(outcome, answers), strict=True) if answers else ((), (), ())
-            yield frame.assign(response=list(response), status=list(status), error=list(why))
+            answers = recorded(frame, book) if book else asked(frame)
+            yield frame.assign(**{c: [a[c] for a in answers] for c in ("response", "status", "error")})
 
     return requests.select("seq", "batch", "class_label", "prompt_type", "prompt").mapInPandas(call, RESULT_SCHEMA)
 

@@ -41,23 +41,27 @@ def _collect(
     log: str | None,
     parallelism: int | None,
     wave: int | None,
+    run: str | None = None,
 ) -> Generated:
     """Run a request plan, ``wave`` batches at a time; no further wave starts once every class has its target.
 
-    Each wave's responses are written before anything else, so a teacher is asked once per request, and are parsed
-    once; the running counts read the parsed samples' labels only. ``wave=None`` sends all requests at once.
+    Answers are recorded in a ledger one by one, so a lost task doesn't ask again. Each wave's responses are written
+    before anything else and are parsed once; the running counts read the parsed samples' labels only. ``wave=None``
+    sends all requests at once. With a ``run`` name, ``out`` and ``log`` are tables of batches, and the ledger lies next
+    to ``log``: a run that is started again under its name asks only for what it has no answers to, and appends once.
     """
     spark = plan.sparkSession
     log = log or scratch_path(spark, "responses")
     answered, parsed = scratch_path(spark, "answered"), scratch_path(spark, "parsed")
+    ledger = f"{log.rstrip('/')}_ledger/{run}" if run else scratch_path(spark, "ledger")
     plan = req.with_batches(plan, batch_size)
     n_batches = plan.agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]
     for start in range(0, max(n_batches, 1), wave or max(n_batches, 1)):
         part = plan.filter(F.col("batch").between(start, start + (wave or n_batches) - 1))
         this = f"{answered}/wave={start}"
-        req.teacher_map(part, fn, parallelism).write.parquet(this)
+        req.teacher_map(part, fn, parallelism, ledger).write.parquet(this)
         replies = spark.read.parquet(this)
-        log_responses(replies, log)
+        log_responses(replies, log, batch=f"{run}-{start}" if run else None)
         parse_samples(replies).write.mode("append").parquet(parsed)
         if wave:
             counts = spark.read.parquet(parsed).groupBy("class_label").agg(F.count("*").alias("n"))
@@ -68,7 +72,7 @@ def _collect(
     samples = req.apply_quota(spark.read.parquet(parsed), classes, target)
     samples = samples.select("seq", "pos", "batch", "class_label", "text", F.col("class_label").alias("label"))
     if out:
-        append_samples(samples, out)
+        append_samples(samples, out, batch=run)
     return Generated(samples, req.generation_stats(results, samples), duplicate_report(samples), log)
 
 
@@ -82,12 +86,13 @@ def generate_training(
     log: str | None = None,
     parallelism: int | None = None,
     wave: int | None = WAVE,
+    run: str | None = None,
 ) -> Generated:
     """Single-label training data for ``(class_label, prompt)`` classes."""
     usable = classes.filter(F.coalesce(F.length("prompt"), F.lit(0)) > 0)
     target = req.target_per_class(volume, max(classes.count(), 1), min_per_class)
     plan = req.plan_requests(classes, target)
-    return _collect(plan, usable, fn, target, batch_size, out, log, parallelism, wave)
+    return _collect(plan, usable, fn, target, batch_size, out, log, parallelism, wave, run)
 
 
 def generate_multilabel(classes: DataFrame, fn: Callable, seed: int = 42, **options) -> DataFrame:
@@ -141,5 +146,5 @@ def generate_edge_cases(
         return None
     prompts = edge_prompts(classes, problem, classification_type, language)
     plan = req.plan_requests(prompts, per_class, req.ROWS_PER_EDGE_REQUEST, "edge_case")
-    settings = {"log": None, "parallelism": None, "wave": WAVE} | options
+    settings = {"log": None, "parallelism": None, "wave": WAVE, "run": None} | options
     return _collect(plan, prompts, fn, per_class, max(1, batch_size // 2), out, **settings)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.operators.profile import analysis_report
+from labelmill.sources.batches import append_batch, read_batches
 
 
 def _csv(df: DataFrame, path: str, mode: str, escape: str = '"') -> None:
@@ -30,29 +31,50 @@ def save_dataset(
     return report
 
 
-def append_samples(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append accepted samples ``(text, label)``; each CSV part carries the header."""
+def append_samples(df: DataFrame, path: str, fmt: str = "parquet", batch: str | None = None) -> bool:
+    """Append accepted samples ``(text, label)``; each CSV part carries the header.
+
+    With ``batch`` the samples are published under that name once (see ``sources.batches``): a repeated append does
+    nothing and returns false. Read such a table by ``read_samples``, and append to it by batches only.
+    """
     rows = df.select("text", "label")
+    if batch is not None:
+        options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False} if fmt == "csv" else {}
+        return append_batch(rows, path, batch, fmt, **options)
     if fmt == "csv":
         _csv(rows, path, "append")
     else:
         rows.write.mode("append").parquet(path)
+    return True
 
 
-def log_responses(results: DataFrame, path: str, model: str = "teacher") -> None:
-    """Append raw responses with a timestamp, partitioned so that later reads prune by type and status."""
-    results.withColumn("logged_at", F.current_timestamp()).withColumn("model_used", F.lit(model)).write.partitionBy(
-        "prompt_type", "status"
-    ).mode("append").json(path)
+def read_samples(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Samples of the published batches."""
+    options = {"header": True, "escape": '"', "multiLine": True} if fmt == "csv" else {}
+    return read_batches(spark, path, "text string, label string", fmt, **options)
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Read a response log."""
-    schema = (
-        "seq bigint, batch bigint, class_label string, prompt string, response string, logged_at timestamp, "
-        "model_used string, error string, prompt_type string, status string"
-    )
-    return spark.read.schema(schema).json(path)
+def log_responses(results: DataFrame, path: str, model: str = "teacher", batch: str | None = None) -> bool:
+    """Append raw responses with a timestamp, partitioned so that later reads prune by type and status.
+
+    With ``batch`` they are published under that name once, as in ``append_samples``.
+    """
+    rows = results.withColumn("logged_at", F.current_timestamp()).withColumn("model_used", F.lit(model))
+    if batch is not None:
+        return append_batch(rows, path, batch, "json", ("prompt_type", "status"))
+    rows.write.partitionBy("prompt_type", "status").mode("append").json(path)
+    return True
+
+
+_RESPONSES = (
+    "seq bigint, batch bigint, class_label string, prompt string, response string, logged_at timestamp, "
+    "model_used string, error string, prompt_type string, status string"
+)
+
+
+def read_responses(spark: SparkSession, path: str, batches: bool = False) -> DataFrame:
+    """Read a response log; one written by batches with ``batches=True``."""
+    return read_batches(spark, path, _RESPONSES, "json") if batches else spark.read.schema(_RESPONSES).json(path)
 
 
 def save_features(path: str, vocab: DataFrame, stats: DataFrame | None = None, labels: DataFrame | None = None) -> None:
