@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelmill.llm.bpe_codec import _gather, pieces
-from labelmill.llm.bpe_words import KIND, special_strings, words
+from labelmill.llm.bpe_codec import pieces
+from labelmill.llm.bpe_words import KIND, gather, special_strings, words
 from labelmill.llm.common import shipped, slices, texts
 from labelmill.llm.tokens import load
 from labelmill.session import materialise
@@ -158,7 +158,7 @@ class Aligner:
         ]
         groups = [written[i] if j == i + 1 else ";".join(written[i:j]) for i, j in zip(first[2].tolist(), last[2].tolist(), strict=True)]
         n = (last - first).astype(np.int64)
-        self._add(kept, groups, n[:3], _gather(links, first[3].astype(np.int64), n[3]), np.cumsum(n[3]))
+        self._add(kept, groups, n[:3], gather(links, first[3].astype(np.int64), n[3]), np.cumsum(n[3]))
         return failed
 
     def _add(self, units: list[bytes], groups: list[str], counts: np.ndarray, links: np.ndarray, link_ends: np.ndarray, bad: bool = False) -> None:
@@ -174,7 +174,7 @@ class Aligner:
         if 2 * len(kept) > len(self.uses):
             return self.clear()
         names, n = list(self.index), np.diff(self.link_ends)[kept]
-        links, groups, counts = _gather(self.links, self.link_ends[kept], n), [self.groups[i] for i in kept.tolist()], self.counts[:, kept]
+        links, groups, counts = gather(self.links, self.link_ends[kept], n), [self.groups[i] for i in kept.tolist()], self.counts[:, kept]
         self.clear()
         self._new = []
         for i in kept.tolist():

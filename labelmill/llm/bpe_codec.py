@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from labelmill.llm.bpe_words import special_strings, words
+from labelmill.llm.bpe_words import gather, special_strings, words
 from labelmill.llm.common import shipped, slices, texts
 from labelmill.llm.tokens import load
 from labelmill.session import materialise
@@ -78,12 +78,6 @@ def frequent_words(docs: DataFrame, tokenizer_file: str, frequent: float = FREQU
     return table.sort_by([("n", "descending")]).select(["word", "ids"]).combine_chunks()
 
 
-def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The runs of ``values`` one after the other."""
-    ends = np.cumsum(lengths)
-    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)]
-
-
 def encode(docs: DataFrame, tokenizer_file: str, frequent: float = FREQUENT, sample: float = SAMPLE) -> DataFrame:
     """Token ids of every whole text, as the tokenizers library gives them: ``(doc_id, ids)``, one row per row.
 
@@ -152,7 +146,7 @@ def encode(docs: DataFrame, tokenizer_file: str, frequent: float = FREQUENT, sam
         flat = np.concatenate((pc.list_flatten(table["ids"]).to_numpy(), np.frombuffer(own.buffers()[2] or b"", width).astype(np.int32)))
         begins = np.cumsum(lengths) - lengths
         ends = np.concatenate(([0], np.cumsum(lengths[number])))
-        ids = _gather(flat, begins[number], lengths[number])
+        ids = gather(flat, begins[number], lengths[number])
         lists = pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(ids.astype(np.int32)))
         return pa.table([left["doc_id"].combine_chunks().flatten(), lists], names=["doc_id", "ids"])
 

@@ -16,10 +16,17 @@ ASCII and Latin-1 letters nothing is cut, so no answer depends on the edition of
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
+from labelmill.llm.tokens import load
+
+# Words that a worker's table may hold (each counted with its bytes / 100), and new words that are encoded as one text.
+TABLE_WORDS = 500_000
+JOINED_WORDS = 100
+
 _SPACE, _BREAK, _RETURN, _LETTER, _DIGIT, _SIGN, _APOSTROPHE = range(1, 8)
 KIND = np.zeros(256, np.uint8)
 for _b in range(33, 127):
@@ -77,3 +84,84 @@ def words(batch: list[bytes], special: re.Pattern | None, never: np.ndarray | No
     offsets = np.append(places, np.int32(n)) if n else np.zeros(1, np.int32)
     array = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(joined)])
     return array, np.concatenate(([0], np.searchsorted(places, ends)))
+
+
+def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` one after the other."""
+    ends = np.cumsum(lengths)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)]
+
+
+class WordTable:
+    """Ids of words, each encoded once while it is held. Words met in several batches outlive a full table."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.special = tokenizer, special_strings(tokenizer)
+        self.line_feed = tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.ids, self.ends, self.uses = np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, np.int32)
+        self.held = 0.0
+
+    def shrink(self) -> None:
+        """Keep the words that were met in more than one batch, if these are less than half of the table, or else none."""
+        kept, names = np.flatnonzero(self.uses > 1), list(self.index)
+        lengths = np.diff(self.ends)[kept]
+        ids = gather(self.ids, self.ends[kept], lengths)
+        few = 2 * len(kept) < len(names)
+        self.clear()
+        if few:
+            self.index = {names[i]: k for k, i in enumerate(kept.tolist())}
+            self.ids, self.ends, self.uses = ids, np.concatenate(([0], np.cumsum(lengths))), np.ones(len(kept), np.int32)
+            self.held = len(kept) + sum(map(len, self.index)) / 100
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain, odd = [], []
+        for word in new:
+            t = word.decode()
+            free = not t[0].isspace() or (t[0] == " " and len(t) > 1 and not t[1].isspace())
+            (plain if free and not t[-1].isspace() and "\n" not in t else odd).append(t)
+        # A line feed between two of the plain words is a word of its own.
+        groups = [plain[i : i + JOINED_WORDS] for i in range(0, len(plain), JOINED_WORDS)]
+        parts, lengths = [], []
+        for group, encoding in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(encoding.ids, np.int32)
+            breaks = np.flatnonzero(ids == self.line_feed)
+            if len(breaks) != len(group) - 1:
+                raise ValueError("the tokenizer doesn't keep line feeds apart")
+            parts.append(np.delete(ids, breaks))
+            lengths.append(np.diff(breaks, prepend=-1, append=len(ids)) - 1)
+        for encoding in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False):
+            parts.append(np.array(encoding.ids, np.int32))
+            lengths.append(np.array([len(encoding.ids)]))
+        first = len(self.index)
+        self.index.update({t.encode(): first + i for i, t in enumerate([*plain, *odd])})
+        self.ids = np.concatenate([self.ids, *parts])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(lengths))])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+        self.held += len(new) + sum(map(len, new)) / 100
+
+    def encode(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin and end."""
+        if self.held > TABLE_WORDS:
+            self.shrink()
+        found, bounds = words(batch, self.special)
+        coded = found.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.index]
+        if new:
+            self._learn(new)
+        place = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
+        self.uses[place] += 1
+        place = place[coded.indices.to_numpy()]
+        lengths = self.ends[place + 1] - self.ends[place]
+        upto = np.concatenate(([0], np.cumsum(lengths)))
+        return gather(self.ids, self.ends[place], lengths), upto[bounds]
+
+
+@lru_cache(maxsize=2)
+def word_table(tokenizer_file: str) -> WordTable:
+    """One table a process, so that the tasks of a worker share it."""
+    return WordTable(load(tokenizer_file))

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelmill.llm.bpe_words import word_table
 from labelmill.llm.common import shipped, slices, texts
-from labelmill.llm.tokens import Units, load
 from labelmill.session import materialise
 
 # Pieces that are packed together.
@@ -105,26 +105,29 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: Capacity = Capacity()
     longest = capacity.longest
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, end = Units(load(tokenizer_file)), np.array([end_id], "<u4").tobytes()
+        table = word_table(tokenizer_file)
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches):
-            decoded = [(t or b"").decode() for t in texts(batch)]
+            found, bounds = table.encode([t or b"" for t in texts(batch)])
+            whole = np.insert(found, bounds[1:], end_id).astype("<u4")
+            ends = bounds[1:] + np.arange(1, len(bounds))
+            raw = memoryview(whole.tobytes())
             doc, piece, starts, lengths, crcs, kept = [], [], [], [], [], []
-            for i, values in enumerate(units.encode(decoded)):
-                ids = b"".join(values) + end
-                n = len(ids) // 4
+            begin = 0
+            for i, end in enumerate(ends.tolist()):
+                n = end - begin
                 start, nth = 0, 0
                 stop = n % longest or min(longest, n)
                 while start < n:
-                    part = ids[4 * start : 4 * stop]
                     doc.append(i)
                     piece.append(nth)
                     starts.append(start)
                     lengths.append(stop - start)
-                    crcs.append(zlib.crc32(part))
+                    crcs.append(zlib.crc32(raw[4 * (begin + start) : 4 * (begin + stop)]))
                     if with_ids:
-                        kept.append(np.frombuffer(part, "<u4").astype("<i4"))
+                        kept.append(whole[begin + start : begin + stop].astype("<i4"))
                     start, stop, nth = stop, stop + longest, nth + 1
+                begin = end
             rows = np.arange(row, row + len(doc))
             row += len(doc)
             arrays = [batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64()), pa.array(rows)]
@@ -158,9 +161,9 @@ def pack(items: DataFrame, capacity: Capacity = Capacity(), rule: str = "norm",
         sequence, offset = best_fit(lengths[order], capacity, rule)
         return pa.table({"row": rows[order], "sequence_id": (key[0].as_py() << 32) + sequence, "offset": offset})
 
-    placed = (
-        shipped(rest.select("row", "length")).groupBy(F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group")).applyInArrow(place, out)
-    )
+    # A partition a group: partitions of few rows would be joined, but the work of a group follows its square.
+    dealt = shipped(rest.select("row", "length", F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group"))).repartition(groups, "group")
+    placed = dealt.groupBy("group").applyInArrow(place, out)
     single = items.filter(alone).withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("bigint")})
     return rest.join(placed, "row").select(*items.columns, "sequence_id", "offset").unionByName(single)
 

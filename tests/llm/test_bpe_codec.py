@@ -1,9 +1,7 @@
 import hashlib
 import random
 
-import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from labelmill.llm import bpe_codec, bpe_words, queries, tokens
 from tests.llm.helpers import empty, messy
@@ -38,6 +36,20 @@ def test_words_are_encoded_independently(tokenizer):
     assert len(set(plain)) < len(plain) / 2
 
 
+def test_tables_of_words_give_the_library_s_ids(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe_words, "TABLE_WORDS", 1500)
+    monkeypatch.setattr(bpe_words, "JOINED_WORDS", 9)
+    table, shrunk, batch = bpe_words.WordTable(tokenizer), 0, _texts(2000, seed=9)
+    for start in range(0, len(batch), 70):
+        part = batch[start : start + 70]
+        shrunk += table.held > 1500 and 0 < 2 * (table.uses > 1).sum() < len(table.uses)
+        ids, bounds = table.encode([t.encode() for t in part])
+        for i, text in enumerate(part):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert shrunk
+    assert [x.tolist() for x in table.encode([])] == [[], [0]] and [x.tolist() for x in table.encode([b"", b""])] == [[], [0, 0, 0]]
+
+
 def test_other_kinds_of_tokenizers_are_errors():
     with pytest.raises(ValueError, match="byte-level"):
         bpe_words.special_strings(tokens.load("word_bpe_49k.json"))
