@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,6 +46,20 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", size: int = SL
             yield batch.slice(start)
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a task gives the memory that it no longer needs back to the system, because its worker lives on."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return tidy
+
+
 def columns_of(df: DataFrame, **wanted: Column) -> DataFrame:
     """Exactly the wanted columns, so that extra columns of the input can't clash with an operator's own."""
     return df.select(*(c.alias(name) for name, c in wanted.items()))

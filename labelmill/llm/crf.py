@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelmill.llm.common import fold_crc, shipped, slices, texts
+from labelmill.llm.common import fold_crc, shipped, slices, texts, tidied
 from labelmill.llm.words import BASE, CHUNK_BYTES, NOT_LETTERS, mixed, words_of
 from labelmill.session import materialise
 
@@ -40,11 +40,15 @@ CLARITY = np.array([0.3, 0.5, 0.7, 0.9, 0.99])
 # for fitting only; the lexicon and all predictions use all documents).
 FIT_DOCS = 150
 FIT_BYTES = 65_536
-# Share of a language's longest n-grams from which one is known: at most 500,000 for each language. A word that isn't in
-# the lexicon is placed in a language that knows so much of its n-grams.
+# Share of a language's longest n-grams from which one is known, and how often it must occur at least: at most 500,000
+# for each language and half of the documents. A word is placed in a language that knows so much of its n-grams.
 KNOWN_SHARE = 2e-6
+KNOWN_TIMES = 2
 PLACED = 0.75
 
+# Bytes of text whose words are counted or placed together.
+COUNT_BYTES = 1 << 20
+
 ROUNDS = 40
 PENALTY = 1e-6
 MOST_LANGUAGES = 1000
@@ -210,7 +214,7 @@ def lexicon_counts(docs: DataFrame, languages: list[str]) -> DataFrame:
     """``(word, language, n)`` over all words of documents with ``text`` and ``language`` (a number)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=2 * CHUNK_BYTES):
+        for batch in slices(batches, size=COUNT_BYTES):
             _, hashes, _, _, bounds = words_of([t or b"" for t in texts(batch)], NOT_LETTERS)
             language = np.repeat(batch.column("language").to_numpy(), np.diff(bounds))
             for k in np.unique(language):
@@ -219,7 +223,7 @@ def lexicon_counts(docs: DataFrame, languages: list[str]) -> DataFrame:
                     [pa.array(word.view(np.int64)), pa.array(np.full(len(word), k, np.int32)), pa.array(n.astype(np.int64))], ["word", "language", "n"]
                 )
 
-    partial = shipped(docs.select("text", "language")).mapInArrow(count, "word bigint, language int, n bigint")
+    partial = shipped(docs.select("text", "language")).mapInArrow(tidied(count), "word bigint, language int, n bigint")
     return partial.groupBy("word", "language").agg(F.sum("n").alias("n"))
 
 
@@ -299,7 +303,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return shipped(docs.select("doc_id", "text")).mapInArrow(guess, schema)
+    return shipped(docs.select("doc_id", "text")).mapInArrow(tidied(guess), schema)
 
 
 def label_words(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -323,69 +327,92 @@ def label_words(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return shipped(docs.select("doc_id", "text")).mapInArrow(label, T.StructType([docs.schema["doc_id"], T.StructField("words", kind)]))
 
 
-def known_grams(docs: DataFrame, languages: list[str], share: float = KNOWN_SHARE) -> np.ndarray:
-    """The longest n-grams with ``share`` of a language's, over all its documents: sorted keys of language and bytes."""
+def _fold(docs: DataFrame) -> Column:
+    """One of two halves of the documents, by id; rows with one id are in one half."""
+    return (fold_crc("doc_id", 2) == 1).cast("int")
+
+
+def _fold_key(fold: np.ndarray, language: np.ndarray) -> np.ndarray:
+    return fold.astype(np.uint64) << np.uint64(48) | language.astype(np.uint64) << np.uint64(32)
+
+
+def known_grams(docs: DataFrame, languages: list[str], share: float = KNOWN_SHARE, least: int = KNOWN_TIMES) -> np.ndarray:
+    """The longest n-grams of each language in each half of its documents: sorted keys of half, language and bytes.
+
+    One is known if it makes up ``share`` of the half's n-grams of the language and occurs ``least`` times.
+    """
     number = F.create_map(*(F.lit(x) for i, name in enumerate(languages) for x in (name, i)))
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", number[F.col("lang")].alias("language"))
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = known.select("text", number[F.col("lang")].alias("language"), _fold(docs).alias("fold"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=2 * CHUNK_BYTES):
+        for batch in slices(batches, size=COUNT_BYTES):
             words = Words([t or b"" for t in texts(batch)])
-            language = np.repeat(batch.column("language").to_numpy(), np.diff(words.bounds))
+            group = np.repeat(_fold_key(batch.column("fold").to_numpy(), batch.column("language").to_numpy()), np.diff(words.bounds))
             gram, at = np.unique(words.longest, return_inverse=True)
-            for k in np.unique(language):
-                times = np.bincount(words.at[language == k], minlength=len(words.begins))
+            for k in np.unique(group):
+                times = np.bincount(words.at[group == k], minlength=len(words.begins))
                 n = np.bincount(at, np.repeat(times, words.sizes)).astype(np.int64)
                 some = np.flatnonzero((n > 0) & (gram > 0))
-                yield pa.RecordBatch.from_arrays([pa.array((np.uint64(k) << np.uint64(32) | gram[some].astype(np.uint64)).view(np.int64)), pa.array(n[some])], ["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array((k | gram[some].astype(np.uint64)).view(np.int64)), pa.array(n[some])], ["key", "n"])
+
+    partial = shipped(known).mapInArrow(tidied(count), "key bigint, n bigint")
+    counts = materialise(partial.groupBy("key").agg(F.sum("n").alias("n")).withColumn("group", F.shiftright("key", 32)), "grams")
+    totals = counts.groupBy("group").agg(F.greatest(F.sum("n") * share, F.lit(least)).alias("least"))
+    return np.sort(counts.join(totals, "group").filter("n >= least").select("key").toArrow()["key"].to_numpy().view(np.uint64))
 
-    partial = shipped(known).mapInArrow(count, "key bigint, n bigint")
-    counts = materialise(partial.groupBy("key").agg(F.sum("n").alias("n")).withColumn("language", F.shiftright("key", 32)), "grams")
-    totals = counts.groupBy("language").agg((F.sum("n") * share).alias("least"))
-    return np.sort(counts.join(totals, "language").filter("n >= least").select("key").toArrow()["key"].to_numpy().view(np.uint64))
 
+def _placed(model: LanguageModel, known: np.ndarray, words: Words, fold: np.ndarray) -> np.ndarray:
+    """Whether each token is made of n-grams that the other half of the documents knows in the field's label of it.
 
-def _placed(model: LanguageModel, known: np.ndarray, words: Words) -> np.ndarray:
-    """Whether each token is a word of a learnt language: in the lexicon, or made of n-grams known in the field's label of it."""
+    ``fold`` is each token's half. Words of one letter have no such n-gram and are in no language.
+    """
     labels = len(model.languages)
-    pair, at = np.unique(words.at * labels + _marginals(model, words).argmax(axis=1), return_inverse=True)
-    word, language = pair // labels, pair % labels
+    pair, at = np.unique((words.at * labels + _marginals(model, words).argmax(axis=1)) * 2 + fold, return_inverse=True)
+    word, language, half = pair // (2 * labels), pair // 2 % labels, pair % 2
     size = words.sizes[word]
     begins = np.cumsum(size) - size
     gram = words.longest[np.arange(size.sum()) + np.repeat(words.begins[word] - begins, size)]
-    key = np.repeat(language, size).astype(np.uint64) << np.uint64(32) | gram
+    key = np.repeat(_fold_key(1 - half, language), size) | gram
     place = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
     found = (known[place] == key) & (gram > 0) if len(known) else np.zeros(len(key), bool)
     covered = np.add.reduceat(found.astype(np.int64), begins)
-    in_lexicon = model.entry_of(words.distinct[word]) < len(model.entries) - 1
-    return (in_lexicon | (covered >= PLACED * np.maximum(size - LONGEST_GRAM + 1, 1)))[at]
+    return (covered >= PLACED * np.maximum(size - LONGEST_GRAM + 1, 1))[at]
 
 
 def placed_share(docs: DataFrame, model: LanguageModel, known: np.ndarray) -> DataFrame:
-    """``(doc_id, placed)``: the share of each whole text's letters in words placed in a learnt language, 0 without words.
+    """``(row, placed)``: the share of each whole text's letters in words placed in a learnt language, 0 without words.
 
-    Letters are counted as bytes, so that scraps of codes and short words that languages share by chance weigh little. Unlike the score of ``predict``, it has no least value that follows from the number of languages.
+    ``row`` is :func:`_row` of the document. A document is judged by n-grams of the other half of the documents, never
+    by its own. Letters are counted as bytes, so that scraps of codes and short words that languages share by chance
+    weigh little. Unlike the score of ``predict``, it has no least value that follows from the number of languages.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model, known))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, grams = shared.value
-        for batch in slices(batches, size=CHUNK_BYTES):
+        for batch in slices(batches, size=COUNT_BYTES):
             raw = [t or b"" for t in texts(batch)]
             words = Words(raw)
             share = np.zeros(len(raw))
             if len(words.at):
                 of = np.repeat(np.arange(len(raw)), np.diff(words.bounds))
                 letters = np.bincount(of, words.lengths, minlength=len(raw))
-                share = np.bincount(of, words.lengths * _placed(m, grams, words), minlength=len(raw)) / np.maximum(letters, 1)
+                placed = _placed(m, grams, words, batch.column("fold").to_numpy()[of])
+                share = np.bincount(of, words.lengths * placed, minlength=len(raw)) / np.maximum(letters, 1)
             for i in np.flatnonzero(share):
                 # Bytes of other characters than ASCII need not be letters.
                 if not raw[i].isascii() and not any(c.isalpha() for c in raw[i].decode()):
                     share[i] = 0.0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(share)], ["doc_id", "placed"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(share)], ["row", "placed"])
+
+    rows = docs.select(_row().alias("row"), _fold(docs).alias("fold"), "text")
+    return shipped(rows).mapInArrow(tidied(judge), "row string, placed double")
+
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("placed", T.DoubleType())])
-    return shipped(docs.select("doc_id", "text")).mapInArrow(judge, schema)
+def _row() -> Column:
+    """What tells documents apart: id and text."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
 
 
 def identify_held_out(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
@@ -399,14 +426,14 @@ def keep_identified(docs: DataFrame, least_score: float = 0.25) -> DataFrame:
     """The documents with ``least_score`` of their letters in words placed in learnt languages; columns as they are.
 
     Words count in whichever learnt language they are, so text that switches between these stays, and text in none of
-    them goes. Learns from the documents' own ``lang``. If none has one, all documents with a letter stay.
+    them goes, with or without a ``lang`` of its own: the documents of one half vouch for those of the other. Rows are
+    judged one by one, also those that share an id; null, empty and letterless texts go. If no document has a ``lang``,
+    all with a letter stay. More than ``MOST_LANGUAGES`` values of ``lang`` are an error.
     """
     model = train(docs)
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     shares = placed_share(docs, model, known_grams(docs, model.languages))
-    judged = materialise(shares.filter((F.col("placed") == 0) | (F.col("placed") < least_score)), "rejected")
-    # Rejected ids are joined away, so the texts pass as they are. A row without an id is judged by whether it has letters.
-    gone = judged.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
-    lettered = F.col("doc_id").isNotNull() | F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.filter(lettered).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialise(shares.filter(F.col("placed") < least_score).select("row").distinct(), "rejected")
+    judged = docs.withColumn("row__", _row())
+    return judged.join(gone, judged["row__"] == gone["row"], "left_anti").select(*docs.columns)

@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -72,7 +73,8 @@ def test_rejected_documents(spark):
     df = messy(spark)
     left = crf.keep_identified(df)
     assert left.columns == df.columns
-    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 2, 6, 7, 8, 10, 11, 12]
+    # Texts without letters go, and the two that no other document vouches for.
+    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 2, 6, 7, 8, 10]
     assert crf.keep_identified(empty(spark)).count() == 0
 
 
@@ -89,6 +91,19 @@ def test_junk_and_foreign_texts_go_in_any_number_of_languages(spark, sf_dir):
         assert left - {-4, -5} == {r["doc_id"] for r in known.collect()}
 
 
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_labelled_junk_goes_at_every_size(spark, size):
+    """A label of its own doesn't help a text, and a row goes alone, not with those that share its id."""
+    docs = spark.read.parquet(f"/root/testdata/sf{size}/documents.parquet").select("doc_id", "text", "lang").filter("length(text) > 100")
+    rng = random.Random(5)
+    junk = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 9))) for _ in range(120)) for _ in range(20)]
+    foreign = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."
+    first = docs.orderBy("doc_id").first()["doc_id"]
+    rows = [(first if i == 0 else -i, t, ["en", "fr", "de", "es"][i % 4]) for i, t in enumerate([*junk, foreign])]
+    left = crf.keep_identified(docs.unionByName(spark.createDataFrame(rows, docs.schema))).collect()
+    assert sorted(map(tuple, left)) == sorted(map(tuple, docs.collect()))
+
+
 def test_exchange_raises_likelihood_and_finds_blocks():
     rng = np.random.default_rng(4)
     types, classes = 24, 3
