@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelmill.llm.common import shipped, slices, texts
+from labelmill.llm.common import shipped, slices, texts, tidied
 from labelmill.llm.components import components, in_blocks
 from labelmill.llm.words import BASE, CHUNK_BYTES, FACTOR, mixed, words_of
 from labelmill.session import materialise
@@ -127,7 +127,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         docs.schema["doc_id"], field("n_shingles", T.LongType()), field("digest", T.BinaryType()),
         field("bands", T.ArrayType(T.LongType())), field("low", T.BinaryType()),
     ])
-    return shipped(docs.select("doc_id", "text")).mapInArrow(sign, schema)
+    return shipped(docs.select("doc_id", "text")).mapInArrow(tidied(sign), schema)
 
 
 def _alike(n1: np.ndarray, low1: np.ndarray, n2: np.ndarray, low2: np.ndarray) -> np.ndarray:
@@ -168,7 +168,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     wanted = nodes.select(F.col("node").alias("doc_id")).hint("shuffle_hash")
     rows = shipped(docs.select("doc_id", "text")).join(wanted, "doc_id", "left_semi")
-    return materialise(rows.mapInArrow(sets, "node bigint, set binary"), "sets")
+    return materialise(rows.mapInArrow(tidied(sets), "node bigint, set binary"), "sets")
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def _fine(full: DataFrame) -> DataFrame:
             fine = [x.tobytes() for x in _low_bytes(super_minhash(sets, FINE_PLACES))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(fine, pa.binary())], ["node", "fine"])
 
-    return shipped(full).mapInArrow(sign, "node bigint, fine binary")
+    return shipped(full).mapInArrow(tidied(sign), "node bigint, fine binary")
 
 
 def _across(members: DataFrame) -> DataFrame:

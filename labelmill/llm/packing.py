@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmill.llm.bpe_words import word_table
-from labelmill.llm.common import shipped, slices, texts
+from labelmill.llm.common import shipped, slices, texts, tidied
 from labelmill.session import materialise
 
 # Pieces that are packed together.
@@ -140,7 +140,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: Capacity = Capacity()
     long, field = T.LongType(), T.StructField
     schema = [docs.schema["doc_id"], field("piece", T.IntegerType()), field("start", long), field("length", long), field("ids_crc32", long), field("row", long)]
     schema += [field("ids", T.ArrayType(T.IntegerType()))] if with_ids else []
-    return shipped(docs.select("doc_id", "text")).mapInArrow(cut, T.StructType(schema))
+    return shipped(docs.select("doc_id", "text")).mapInArrow(tidied(cut), T.StructType(schema))
 
 
 def pack(items: DataFrame, capacity: Capacity = Capacity(), rule: str = "norm", group_pieces: int = GROUP_PIECES) -> DataFrame:
