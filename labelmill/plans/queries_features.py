@@ -275,15 +275,22 @@ def _(spark, d):
     return loaded.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("bigint").alias("n_chars"))
 
 
-@query("tsv_latin1_round_trip", "SELECT o_orderkey, o_orderstatus || chr(233) AS status, o_orderpriority AS priority FROM orders")
+@query(
+    "tsv_latin1_round_trip",
+    r"""SELECT o.*, coalesce(regexp_replace(text, '[^\x{01}-\x{ff}]', '?', 'g'), '') || chr(233) AS text
+        FROM orders o LEFT JOIN documents ON o_orderkey = doc_id""",
+)
 def _(spark, d):
+    """All columns of the orders, and the documents' texts in Latin-1, line breaks and tabs included."""
     path = scratch_path(spark, "table.csv")
-    rows = table(spark, d, "orders").select(
-        "o_orderkey", F.concat("o_orderstatus", F.lit("é")).alias("status"), F.col("o_orderpriority").alias("priority")
+    orders = table(spark, d, "orders")
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("o_orderkey"), F.regexp_replace("text", r"[^\x{01}-\x{ff}]", "?").alias("text"))
+    rows = orders.join(texts, "o_orderkey", "left").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("é")))
+    rows.select(*orders.columns, "text").write.csv(
+        path, header=True, sep="\t", encoding="ISO-8859-1", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
-    rows.write.csv(path, header=True, sep="\t", encoding="ISO-8859-1")
     loaded, _ = rd.load_data(spark, path)
-    return loaded.withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+    return loaded.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in orders.schema], "text")
 
 
 @query("json_lines_round_trip", "SELECT doc_id, text, lang FROM documents WHERE source <> 'src3'")
