@@ -52,18 +52,14 @@ def _(spark, d):
 
 @query(
     "value_counts",
-    """WITH v AS (SELECT 'l_linenumber' AS column_name, CAST(l_linenumber AS VARCHAR) AS value FROM lineitem
-         UNION ALL SELECT 'l_returnflag', l_returnflag FROM lineitem UNION ALL SELECT 'l_linestatus', l_linestatus FROM lineitem
-         UNION ALL SELECT 'l_orderkey', CAST(l_orderkey AS VARCHAR) FROM lineitem
-         UNION ALL SELECT 'l_discount', CAST(l_discount AS VARCHAR) FROM lineitem),
+    """WITH v AS (FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM lineitem) ON COLUMNS(*) INTO NAME column_name VALUE value)),
        c AS (SELECT column_name, value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL),
        k AS (SELECT column_name FROM c GROUP BY column_name HAVING count(*) BETWEEN 2 AND 50)
        SELECT column_name, value, n, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) <= 10 AS is_top
        FROM c JOIN k USING (column_name)""",
 )
 def _(spark, d):
-    columns = ["l_linenumber", "l_returnflag", "l_linestatus", "l_orderkey", "l_discount"]
-    return pf.value_counts(table(spark, d, "lineitem"), columns)
+    return pf.value_counts(table(spark, d, "lineitem"))
 
 
 @query(
