@@ -56,14 +56,13 @@ LEAST_PART = 12
 PASSPHRASE_SCORE, PASSPHRASE_WORDS = 0.55, 4
 
 _SIGN = re.compile(r":=|=>|[:=]")
-_NAME = re.compile(r"""([A-Za-z_$][\w$.\-]*)(?:["'`]|["']\])?[ \t]*$""")
 _AFTER_SIGN = re.compile(r"[ \t]*" + _SCHEME.pattern, re.IGNORECASE)
 _QUOTED = re.compile(r"""[ \t]*(?:[bruf]{0,2})(?:\"{3}((?s:.*?))\"{3}|'{3}((?s:.*?))'{3}|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`)""")
 _BARE = re.compile(r"""[ \t]*([^\s,;#"'`()\[\]{}<>]+)""")
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.|\\)[ \t]*\n?")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*$")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_NAME_CHARS = 80
+_FIRST = re.compile(r"[A-Za-z_$]")
 
 
 def base_spans(text: str) -> list[Span]:
@@ -124,10 +123,26 @@ def _path(value: str) -> bool:
     return not all(re.search(kind, value) for kind in ("[a-z]", "[A-Z]", "[0-9]"))
 
 
+def _name_before(text: str, end: int) -> str | None:
+    """The whole name that stands before a sign, perhaps in quotes or as a subscript; signs and names don't overlap, so
+    reading backwards costs no more than the text is long."""
+    while end and text[end - 1] in " \t":
+        end -= 1
+    if text[max(end - 2, 0) : end] in ('"]', "']"):
+        end -= 2
+    elif end and text[end - 1] in "\"'`":
+        end -= 1
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_$.-"):
+        start -= 1
+    first = _FIRST.search(text, start, end)
+    return text[first.start() : end] if first else None
+
+
 def assignments(text: str) -> Iterator[tuple[str, str | None, int, int, str | None]]:
     """The name-value pairs of a text: ``(name, literal, start, end, reference)``; a value is a literal or a reference."""
     for sign in _SIGN.finditer(text):
-        name = _NAME.search(text, max(0, sign.start() - _NAME_CHARS), sign.start())
+        name = _name_before(text, sign.start())
         if not name or text[sign.end() : sign.end() + 1] in ("=", ":", ">") or (sign[0] == ":" and text.startswith("//", sign.end())):
             continue
         quoted = _QUOTED.match(text, sign.end())
@@ -137,18 +152,18 @@ def assignments(text: str) -> Iterator[tuple[str, str | None, int, int, str | No
             while (plus := _PLUS.match(text, after)) and (more := _QUOTED.match(text, plus.end())):
                 value += more[more.lastindex]
                 end, after = more.end(more.lastindex), more.end()
-            yield name[1], value, start, end, None
+            yield name, value, start, end, None
         elif (scheme := _AFTER_SIGN.match(text, sign.end())) and (bare := _BARE.match(text, scheme.end())):
             if _coded(bare[1]):
-                yield name[1], bare[1], *bare.span(1), None
+                yield name, bare[1], *bare.span(1), None
         elif bare := _BARE.match(text, sign.end()):
             if bare[1].startswith("/") and bare.start(1) == sign.end() and _path(bare[1]):
                 continue
             called = text[bare.end() : bare.end() + 1] == "("
             if _IDENTIFIER.match(bare[1]):
-                yield name[1], None if called else bare[1], *bare.span(1), None if called else bare[1]
+                yield name, None if called else bare[1], *bare.span(1), None if called else bare[1]
             else:
-                yield name[1], bare[1], *bare.span(1), None
+                yield name, bare[1], *bare.span(1), None
 
 
 def literal_spans(text: str, limit: float = LIMIT) -> list[Span]:
