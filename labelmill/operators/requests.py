@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +21,9 @@ MIN_PER_CLASS = 2500
 BATCH_SIZE = 10
 LABELLING_BATCH_SIZE = 15
 
+# Bytes of prompts that a task hands to a teacher at a time, so that its memory follows this and not Arrow's batches.
+SLICE_BYTES = 1 << 20
+
 RESULT_SCHEMA = (
     "seq bigint, batch bigint, class_label string, prompt_type string, prompt string, response string, status string, "
     "error string"
@@ -92,7 +98,7 @@ def teacher_map(
 ) -> DataFrame:
     """Apply a teacher to every request, in parallel over partitions.
 
-    ``fn`` gets a pandas frame of requests and returns for each row a response or an exception, which marks its
+    ``fn`` gets a pandas frame of requests, of about ``SLICE_BYTES`` of prompts, and returns for each row a response or an exception, which marks its
     own row as ``failed`` (see ``one_by_one``). If ``fn`` itself raises, nothing is known of its rows: all of that
     call's are ``failed``, and none is asked again. Empty responses are ``failed_empty``. ``error`` says why a
     row failed. ``parallelism`` bounds the number of concurrent calls.
@@ -135,13 +141,35 @@ def teacher_map(
                 found[i] = answer
         return found
 
-    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    slice_bytes = SLICE_BYTES
+
+    def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        start = total = 0
+        for row, n in enumerate(pc.fill_null(pc.binary_length(batch["prompt"]), 0).to_pylist()):
+            if row > start and total + n > slice_bytes:
+                yield batch.slice(start, row - start)
+                start, total = row, 0
+            total += n
+        if batch.num_rows > start:
+            yield batch.slice(start)
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Ledger(ledger) if ledger else None
-        for frame in frames:
-            answers = recorded(frame, book) if book else asked(frame)
-            yield frame.assign(**{c: [a[c] for a in answers] for c in ("response", "status", "error")})
+        for batch in batches:
+            for part in sliced(batch):
+                frame = part.to_pandas()
+                answers = recorded(frame, book) if book else asked(frame)
+                outcomes = [pa.array([a[c] for a in answers], pa.string()) for c in ("response", "status", "error")]
+                yield pa.RecordBatch.from_arrays([*part.columns, *outcomes], [*part.schema.names, "response", "status", "error"])
+        # The worker lives on: what this task no longer needs goes back to the system.
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
 
-    return requests.select("seq", "batch", "class_label", "prompt_type", "prompt").mapInPandas(call, RESULT_SCHEMA)
+    sent = {"seq": "bigint", "batch": "bigint", "class_label": "string", "prompt_type": "string", "prompt": "string"}
+    return requests.select(*[F.col(c).cast(t).alias(c) for c, t in sent.items()]).mapInArrow(call, RESULT_SCHEMA)
 
 
 def apply_quota(samples: DataFrame, classes: DataFrame, target: int) -> DataFrame:

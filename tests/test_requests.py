@@ -98,6 +98,15 @@ def test_generation_stops_in_waves(spark, classes, tmp_path):
     assert spark.read.parquet(out).count() == 3 * 500
 
 
+def test_teacher_gets_slices_of_prompts(spark):
+    sizes = lambda frame: [str(len(frame))] * len(frame)
+    plan = spark.range(1, 41).coalesce(1).select(
+        F.col("id").alias("seq"), F.lit("a").alias("class_label"), F.lit("t").alias("prompt_type"), F.when(F.col("id") > 1, F.repeat(F.lit("x"), 100_000)).alias("prompt")
+    )
+    found = {r["seq"]: r["response"] for r in rs.teacher_map(plan, sizes).collect()}
+    assert len(found) == 40 and max(int(n) for n in found.values()) <= 11
+
+
 def test_generation_keeps_all_below_target(classes):
     # A reply brings 5 rows where 50 are expected, so the target is never reached and every sample counts.
     every = gen.generate_training(classes, five, volume=0, min_per_class=100)
