@@ -14,7 +14,7 @@ from labelmill.operators import requests as req
 from labelmill.operators.duplicates import duplicate_report
 from labelmill.operators.replies import parse_samples
 from labelmill.operators.synthesis import synthesise_multilabel
-from labelmill.session import listed, scratch_path
+from labelmill.session import listed, materialise, scratch_path
 from labelmill.sources.writers import append_samples, log_responses
 
 # Batches that are sent before the counts are looked at again.
@@ -45,6 +45,10 @@ def _collect(
 ) -> Generated:
     """Run a request plan, ``wave`` batches at a time; no further wave starts once every class has its target.
 
+    Waves run as one as long as none of them can be the last: a class below its target needs at least its next
+    request, so every batch up to that of the class that is asked last is sent before the counts are looked at.
+    Plan and classes are written once, so that no wave reads again what they were made from.
+
     Answers are recorded in a ledger one by one, so a lost task doesn't ask again. Each wave's responses are written
     before anything else and are parsed once; the running counts read the parsed samples' labels only. ``wave=None``
     sends all requests at once. With a ``run`` name, ``out`` and ``log`` are tables of batches, and the ledger lies next
@@ -54,12 +58,21 @@ def _collect(
     log = log or scratch_path(spark, "responses")
     answered, parsed = scratch_path(spark, "answered"), scratch_path(spark, "parsed")
     ledger = f"{log.rstrip('/')}_ledger/{run}" if run else scratch_path(spark, "ledger")
-    plan = req.with_batches(plan, batch_size)
+    plan, classes = materialise(req.with_batches(plan, batch_size), "plan"), materialise(classes, "classes")
     n_batches = plan.agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]
-    for start in range(0, max(n_batches, 1), wave or max(n_batches, 1)):
-        part = plan.filter(F.col("batch").between(start, start + (wave or n_batches) - 1))
+    step = wave or max(n_batches, 1)
+    open_classes, start = classes, 0
+    while start < max(n_batches, 1):
+        end = start + step
+        if wave:
+            # The next batch of each open class, and whether one has none left and keeps all others going.
+            left = plan.filter(F.col("batch") >= start).groupBy("class_label").agg(F.min("batch").alias("next"))
+            needed = open_classes.join(left, "class_label", "left").agg(F.max("next").alias("next"), F.count_if(F.isnull("next")).alias("spent")).first()
+            last = n_batches - 1 if needed["spent"] else needed["next"] or 0
+            end = max(end, (last // step + 1) * step)
+        part = plan.filter(F.col("batch").between(start, end - 1))
         this = f"{answered}/wave={start}"
-        req.teacher_map(part, fn, parallelism, ledger).write.parquet(this)
+        req.teacher_map(part, fn, parallelism or spark.sparkContext.defaultParallelism, ledger).write.parquet(this)
         replies = spark.read.parquet(this)
         log_responses(replies, log, batch=f"{run}-{start}" if run else None)
         parse_samples(replies).write.mode("append").parquet(parsed)
@@ -68,6 +81,7 @@ def _collect(
             open_classes = classes.join(counts.filter(F.col("n") >= target), "class_label", "left_anti")
             if open_classes.isEmpty():
                 break
+        start = end
     results = spark.read.parquet(answered).drop("wave")
     samples = req.apply_quota(spark.read.parquet(parsed), classes, target)
     samples = samples.select("seq", "pos", "batch", "class_label", "text", F.col("class_label").alias("label"))

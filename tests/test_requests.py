@@ -98,6 +98,22 @@ def test_generation_stops_in_waves(spark, classes, tmp_path):
     assert spark.read.parquet(out).count() == 3 * 500
 
 
+def test_waves_that_cannot_be_the_last_run_as_one(spark, monkeypatch):
+    sent = []
+    ask = rs.teacher_map
+    monkeypatch.setattr(rs, "teacher_map", lambda part, *rest: sent.append(part.count()) or ask(part, *rest))
+    named = spark.createDataFrame([(c, f"Write {c}") for c in "abcd"], "class_label string, prompt string")
+    options = {"volume": 0, "min_per_class": 500, "batch_size": 1, "wave": 2}
+    fifty = lambda frame: ["\n".join(f"{p} {s} {k}" for k in range(50)) for s, p in zip(frame["seq"], frame["prompt"])]
+    # Forty requests; d, the last class, is asked from the 31st on, and the others have their targets by then.
+    made = gen.generate_training(named, fifty, **options)
+    assert sent == [32, 2, 2, 2, 2] and made.samples.count() == 2000
+    # A class that has no request left and no target reached lets nothing stop.
+    sent.clear()
+    gen.generate_training(named, five, **options)
+    assert sent == [32, 8]
+
+
 def test_teacher_gets_slices_of_prompts(spark):
     sizes = lambda frame: [str(len(frame))] * len(frame)
     plan = spark.range(1, 41).coalesce(1).select(
