@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelmill.llm import brown, crf
-from tests.llm.helpers import empty, messy, words
+from labelmill.llm.words import word_hashes
+from tests.llm.helpers import empty, messy, prose, words
 
 
 def test_forward_backward_equals_enumeration():
@@ -163,3 +164,47 @@ def test_scores_of_messy_rows(spark):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
     assert brown.score_held_out(empty(spark)).count() == 0
     assert all(r["perplexity"] > 1 for r in brown.perplexity(brown.score_held_out(df)).collect())
+
+
+def test_every_training_word_has_a_class_of_its_own_choice(spark, sf_dir):
+    """Words of one suffix get classes by their neighbours, in memory or joined, and rounds raise the likelihood."""
+    rng = random.Random(3)
+    groups = [[f"{c}{i}ing" for i in range(30)] for c in "abc"]
+    lines = [" ".join(rng.choice((("at", "on", "up")[k % 3], rng.choice(groups[k % 3]))) for k in range(60)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").repartition(3)
+    by_hash = {int(word_hashes(w.encode())[0].view(np.int64)[0]): w for g in groups for w in g}
+    for share in (1e-9, 0.05):  # all words in memory, and only the frequent ones
+        model = brown.train(docs, classes=8, own_share=0.05, table_share=share)
+        found = {int(h): int(c) for h, c in zip(model.words.view(np.int64), model.class_of[: model.own], strict=True)}
+        assert len(found) == (94 if share < 0.05 else 4)
+        found |= {r["word"]: r["class"] for r in model.rare.collect()}
+        assert len(found) == 94
+        most = [Counter(found[h] for h, w in by_hash.items() if w[0] == c).most_common(1)[0] for c in "abc"]
+        assert len({c for c, _ in most}) == 3 and min(n for _, n in most) > 20  # though all end alike
+    text = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = [
+        sum(r["score"] for r in brown.score_held_out(text, rounds=rounds).collect() if not r["held_out"]) for rounds in (0, 2)
+    ]
+    assert held[1] > held[0]
+
+
+def test_rare_words_are_scored_by_their_own_classes(spark):
+    """Scores equal brute force from the model's tables when most words are joined and some are unseen."""
+    lines = [prose(80, i) + f" odd{i % 7} rare{i} rare{i + 1}" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").repartition(3)
+    model = brown.train(docs.filter("doc_id < 20"), table_share=0.01)
+    rare = {r["word"]: (r["n"], r["class"]) for r in model.rare.collect()}
+    counts = {r["word"]: r["n"] for r in brown.word_counts(docs.filter("doc_id < 20")).collect()}
+    assert len(rare) > 50 and all(counts[w] == n for w, (n, _) in rare.items())
+    got = {r["doc_id"]: r["score"] for r in brown.score(docs, model).collect()}
+    for d, line in enumerate(lines):
+        token, suffix, _, _ = brown._tokens([line.encode()])
+        type_, _, known = model.types(token, suffix)
+        total, before = 0.0, int(model.class_of[np.searchsorted(model.words, brown.END)])
+        for h, t, k in zip(token.view(np.int64).tolist(), type_, known, strict=True):
+            n, class_ = (0, 0) if k else rare.get(h, (0, int(model.class_of[t])))
+            total += model.emission[t] if k else math.log10(n + 1) - model.divisor[class_]
+            class_ = int(model.class_of[t]) if k else class_
+            total += model.transition[before, class_]
+            before = class_
+        assert math.isclose(got[d], total, rel_tol=1e-9)
