@@ -9,7 +9,7 @@ An element ends at a brace that brings the depth back to that of the list, and b
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -39,6 +39,11 @@ def as_paths(files: list[str]) -> list[str]:
     return list(map(unquote, files))
 
 
+def as_input(path: str | list[str], chosen: list[str], every: Collection[str]) -> str | list[str]:
+    """The path itself if all of its files are chosen, so that Spark lists a folder and not each file by its name."""
+    return path if len(chosen) == len(every) else as_paths(chosen)
+
+
 def _chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """The bytes between closing braces, in order, with the file and the beginning of their split."""
     chunks = spark.read.option("lineSep", "}").text(paths)
@@ -188,23 +193,28 @@ def list_elements(spark: SparkSession, paths: str | list[str], starts: dict[tupl
     return elements.select(F.translate(F.decode("value", "UTF-8"), "\r\n", "  ").alias("value"))
 
 
-def begin_with_bracket(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """Files whose first byte that is no white space is an opening bracket; the driver holds their names."""
+def first_signs(spark: SparkSession, path: str | list[str]) -> dict[str, str | None]:
+    """The first byte of each file that is no white space (null: none); the driver holds the files' names."""
     chunks = _chunks(spark, path).select("file", F.struct("block", F.monotonically_increasing_id()).alias("place"), F.ltrim(F.translate(F.decode("chunk", "ISO-8859-1"), "\t\r\n", "   ")).alias("c"))
-    first = chunks.filter("c <> ''").groupBy("file").agg(F.min_by(F.substring("c", 1, 1), "place").alias("first"))
-    return sorted(r["file"] for r in first.filter("first = '['").collect())
+    first = F.min_by(F.substring("c", 1, 1), F.when(F.col("c") != "", F.col("place")))
+    return {r["file"]: r["first"] for r in chunks.groupBy("file").agg(first.alias("first")).collect()}
+
+
+def begin_with_bracket(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Files whose first byte that is no white space is an opening bracket."""
+    return sorted(f for f, sign in first_signs(spark, path).items() if sign == "[")
 
 
-def lists_as_lines(spark: SparkSession, path: str | list[str]) -> tuple[list[str], str | None]:
+def lists_as_lines(spark: SparkSession, path: str | list[str], signs: dict[str, str | None]) -> tuple[list[str], str | None]:
     """The files that hold one list each, and the folder to which their elements were written as JSON lines (None if
     there are no such files)."""
-    some = begin_with_bracket(spark, path)
+    some = sorted(f for f, sign in signs.items() if sign == "[")
     if not some:
         return [], None
-    starts, verdicts = begun(materialise(split_reports(spark, as_paths(some)), "splits"))
+    starts, verdicts = begun(materialise(split_reports(spark, as_input(path, some, signs)), "splits"))
     lists = sorted(f for f, is_list in verdicts.items() if is_list)
     if not lists:
         return [], None
     out = scratch_path(spark, "elements")
-    list_elements(spark, as_paths(lists), {k: v for k, v in starts.items() if verdicts[k[0]]}).write.text(out)
+    list_elements(spark, as_input(path, lists, signs), {k: v for k, v in starts.items() if verdicts[k[0]]}).write.text(out)
     return lists, out

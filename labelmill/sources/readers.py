@@ -13,7 +13,7 @@ from labelmill.functions.replies import one_json_value
 from labelmill.functions.text import strip
 from labelmill.session import local_copy
 from labelmill.sources.csv_records import read_records
-from labelmill.sources.json_lists import as_paths, lists_as_lines
+from labelmill.sources.json_lists import as_input, first_signs, lists_as_lines
 
 _CORRUPT = "_corrupt_record"
 
@@ -108,33 +108,34 @@ def read_json_any(spark: SparkSession, path: str) -> DataFrame:
     """
     line = strip(F.col("value"))
     place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    in_lists, elements = lists_as_lines(spark, path)
-    # Only names are asked for, so no file is read.
-    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file")) if in_lists else None
-    rest = path if files is None else as_paths(_files(files, ~F.col("file").isin(in_lists)))
-    by_line, others = [], []
+    every = first_signs(spark, path)
+    in_lists, elements = lists_as_lines(spark, path, every)
+    listed = set(in_lists)
+    rest = [f for f, sign in every.items() if sign is not None and f not in listed]
+    by_line, objects, others = [], [], []
     if rest:
-        lines = spark.read.text(rest).select(F.col("_metadata.file_path").alias("file"), line.alias("line"), place.alias("place"))
+        lines = spark.read.text(as_input(path, rest, every)).select(F.col("_metadata.file_path").alias("file"), line.alias("line"), place.alias("place"))
         kinds = (
             lines.filter(F.col("line") != "").groupBy("file")
-            .agg(F.count("*").alias("n"), F.min_by(one_json_value(F.col("line")), "place").alias("first_whole"))
+            .agg(
+                F.count("*").alias("n"), F.min_by(one_json_value(F.col("line")), "place").alias("first_whole"),
+                F.min_by(F.col("line").startswith("{"), "place").alias("object"),
+            )
         )
-        seen = local_copy(kinds)  # a row per file
-        by_line = _files(seen, "n > 1 AND first_whole")
-        others = _files(seen, "NOT (n > 1 AND first_whole)")
-    if not by_line and not others and not in_lists:
+        for r in kinds.collect():  # a row per file; a file of one line is that line
+            (others if r["n"] > 1 and not r["first_whole"] else objects if r["n"] == 1 and r["first_whole"] and r["object"] else by_line).append(r["file"])
+    if not by_line and not objects and not others and not in_lists:
         raise ValueError(f"no data in {path}")
-    objects = []
     if others:
-        whole = spark.read.text(as_paths(others), wholetext=True).select(F.col("_metadata.file_path").alias("file"), line.alias("line"))
+        whole = spark.read.text(as_input(path, others, every), wholetext=True).select(F.col("_metadata.file_path").alias("file"), line.alias("line"))
         judged = local_copy(whole.select("file", (one_json_value(F.col("line")) & F.col("line").startswith("{")).alias("ok")))
-        objects = _files(judged, "ok")
+        objects += _files(judged, "ok")
         by_line += _files(judged, "NOT ok")
     parts = []
     if objects:
-        df = spark.read.json(as_paths(objects), multiLine=True, allowSingleQuotes=False)
+        df = spark.read.json(as_input(path, objects, every), multiLine=True, allowSingleQuotes=False)
         parts.append(_by_column(df) if all(t.startswith("array") for _, t in df.dtypes) else df)
-    for paths in (as_paths(by_line), [elements] if elements else []):
+    for paths in (as_input(path, by_line, every) if by_line else [], [elements] if elements else []):
         if paths and (rows := _json_lines(spark, paths)) is not None:
             parts.append(rows)
     parts = [p for p in parts if p.columns]

@@ -85,3 +85,30 @@ def test_no_file_is_read_whole(spark, tmp_path, small_splits, monkeypatch):
     monkeypatch.setattr(type(spark.read), "text", lambda self, *a, **k: (asked.append(k.get("wholetext")), plain(self, *a, **k))[1])
     assert rd.read_json_any(spark, str(tmp_path / "a.json")).count() == 20
     assert asked and not any(asked)
+
+
+def test_a_folder_of_one_kind_is_read_by_its_own_path(spark, tmp_path, monkeypatch):
+    """Files of one kind are not listed one by one, nor read once more as whole texts; blank ones and other kinds change nothing."""
+    folder = tmp_path / "columns"
+    folder.mkdir()
+    for i in range(6):
+        (folder / f"part {i}.json").write_text(json.dumps({"a": [i, i + 10], "b": ["x", "}"]}) + ("\n" if i % 2 else ""))
+    asked, load = [], type(spark.read).text
+
+    def noted(self, paths, *args, **kwargs):
+        asked.append((paths, kwargs.get("wholetext")))
+        return load(self, paths, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark.read), "text", noted)
+    want = sorted((i + k, b) for i in range(6) for k, b in ((0, "x"), (10, "}")))
+    assert sorted(map(tuple, rd.read_json_any(spark, str(folder)).select("a", "b").collect())) == want
+    assert all(p == str(folder) and not whole for p, whole in asked)
+    (folder / "blank.json").write_text(" \n")
+    (folder / "empty.json").write_text("")
+    assert sorted(map(tuple, rd.read_json_any(spark, str(folder)).select("a", "b").collect())) == want
+    (folder / "list.json").write_text('[{"a": 50, "b": "l"}]')
+    (folder / "lines.json").write_text('{"a": 60, "b": "m"}\n{"a": 61, "b": "n"}\n')
+    (folder / "spread.json").write_text('{"a": [70],\n "b": ["o"]}\n')
+    (folder / "broken.json").write_text('{"a": 80, "b": "p"}\n{"a": 81,\n')
+    got = sorted(map(tuple, rd.read_json_any(spark, str(folder)).select("a", "b").collect()))
+    assert got == want + [(50, "l"), (60, "m"), (61, "n"), (70, "o"), (80, "p")]
