@@ -81,6 +81,8 @@ def standardise(
         # The expression is null-preserving here, so that rows without text can still be dropped.
         out = out.withColumn("text", F.when(F.col("text").isNotNull(), clean_text(F.col("text"))))
     out = drop_empty(out, cleaned=clean)
+    if clean and (max_samples or balance_classes and task == "binary"):
+        out = materialise(out, "cleaned")  # sampling counts rows several times, and cleaning reads every character
     if balance_classes and task == "binary":
         out = balance(out, max_samples, row_id=row_id)
     return sample_n(out, max_samples, row_id=row_id) if max_samples else out
@@ -125,6 +127,7 @@ def prepare(
     table = materialise(with_row_id(loaded), "loaded")
     ready = prepare_table(table, clean, max_samples, balance_classes, activation, reply)
     if out:
+        ready.df = materialise(ready.df, "ready")  # written, reported on and returned
         save_dataset(ready.df.drop("row_id"), out, clean, fmt, ready.decision)
     return ready
 

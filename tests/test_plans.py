@@ -207,3 +207,17 @@ def test_no_round_robin_between_scan_and_plan(spark, sf_dir):
     queries = __spark_entry__.queries()
     for name in ("clean_text", "text_stats", "sample_n", "term_counts"):
         assert "RoundRobin" not in queries[name](spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_cleaning_is_done_once(spark, tmp_path):
+    """Prepared tables that are written, reported on or sampled from are not cleaned again by each of these."""
+    rows = [(i, f"some  text {i}  with \n blanks", "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id bigint, text string, label string")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    balanced = prep.prepare_table(df, clean=True, balance_classes=True).df
+    assert "regexp_replace" not in plan(balanced)
+    assert sorted(r["text"] for r in balanced.collect()) == sorted(f"some text {i} with blanks" for i in range(40))
+    df.drop("row_id").write.csv(str(tmp_path / "user.csv"), header=True, escape='"')
+    ready = prep.prepare(spark, str(tmp_path / "user.csv"), str(tmp_path / "out"), clean=True, activation="softmax").df
+    assert "regexp_replace" not in plan(ready)
+    assert sorted(r["text"] for r in ready.collect()) == sorted(r["text"] for r in balanced.collect())
