@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelmill.llm.common import shipped, slices, texts, tidied
+from labelmill.llm.common import shipped, sieve, slices, texts, tidied
 from labelmill.llm.components import components, in_blocks
 from labelmill.llm.words import BASE, CHUNK_BYTES, FACTOR, mixed, words_of
 from labelmill.session import materialise
@@ -159,7 +159,7 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, set)`` of the given documents, written once for all that follows."""
+    """``(node, set)`` of the given documents, written once for all that follows; ``docs`` may hold others."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=CHUNK_BYTES):
@@ -172,7 +172,8 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """Of pairs ``(a, b)`` of ids those whose full sets are similar enough."""
+    """Of pairs ``(a, b)`` of ids those whose full sets are similar enough; only sets of these ids are shuffled."""
+    pairs = materialise(pairs, "pairs")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +184,10 @@ def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
                 ok.append(100 * both >= LINK_PERCENT * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one, two = (full.select(F.col("node").alias(c), F.col("set").alias(s)) for c, s in (("a", "set1"), ("b", "set2")))
+    one, two = (
+        full.filter(sieve(pairs.select(c))(F.col("node"))).select(F.col("node").alias(c), F.col("set").alias(s))
+        for c, s in (("a", "set1"), ("b", "set2"))
+    )
     return shipped(pairs.join(one, "a").join(two, "b")).mapInArrow(compare, pairs.schema)
 
 
@@ -200,7 +204,10 @@ def _fine(full: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """Promising pairs of classes of one band key that are in different components so far."""
+    """Promising pairs of classes of one band key that are in different components so far.
+
+    ``members`` may be dealt to blocks already, by ``in_blocks(members, "key", "node")``, before they carry signatures.
+    """
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         node, part, n = (table[c].to_numpy() for c in ("node", "part", "n"))
@@ -221,7 +228,8 @@ def _across(members: DataFrame) -> DataFrame:
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return shipped(in_blocks(members, "key", "node")).groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    dealt = members if "block" in members.columns else in_blocks(members, "key", "node")
+    return shipped(dealt).groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -238,25 +246,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies = materialise(
         filled.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copies"
     )
+    copied = sieve(copies.select("digest"))(F.col("digest"))
+    least = filled.filter(copied).join(copies, "digest", "left").filter("first IS NULL OR first = doc_id").select(filled.columns)
     classes = materialise(
-        filled.join(copies, "digest", "left").filter("first IS NULL OR first = doc_id")
-        .select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "low"),
-        "classes",
-    )
+        filled.filter(~copied).unionByName(least).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "low"), "classes"
+    )
     keys = classes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = materialise(keys.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b < last").drop("last"), "shared")
     members = materialise(keys.join(shared, "key"), "members")
     star = members.filter("node > b").select(F.col("node").alias("a"), "b").distinct()
-    full = _full_sets(docs, members.select("node").distinct())
-    links = materialise(_confirmed(_promising(star, classes), full), "links")
+    meets = sieve(members.select("node"))
+    full = _full_sets(docs.filter(meets(F.col("doc_id"))), members.select("node").distinct())
+    links = materialise(_confirmed(_promising(star, classes.filter(meets(F.col("node")))), full), "links")
     parts = components(links)
     # Classes of one key that are still apart.
     split = members.join(parts, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("part"))
     split = materialise(split, "split")
     mixed_keys = split.groupBy("key").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).filter("p1 < p2").select("key")
     apart = materialise(split.join(mixed_keys, "key"), "apart")
-    fine = materialise(_fine(full.join(apart.select("node").distinct(), "node", "left_semi")), "fine")
-    apart = apart.join(classes.select("node", "n", "low", "bands"), "node").join(fine, "node")
+    meets = sieve(apart.select("node"))(F.col("node"))
+    fine = materialise(_fine(full.filter(meets).join(apart.select("node").distinct(), "node", "left_semi")), "fine")
+    # Dealt to blocks first: signatures are shuffled once, to where they are compared.
+    apart = in_blocks(apart, "key", "node").join(classes.filter(meets).select("node", "n", "low", "bands").join(fine, "node"), "node")
     more = materialise(_confirmed(_across(apart), full), "links")
     if not more.isEmpty():
         parts = components(links.unionByName(more))

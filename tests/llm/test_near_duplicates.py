@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelmill.llm import near_duplicates as nd
+from labelmill.llm.common import sieve
 from labelmill.llm.components import components, in_blocks
 from tests.llm.helpers import empty, grouped, messy, near_groups, prose, shingles
 
@@ -119,3 +121,20 @@ def test_blocks_bring_all_pairs_together(spark):
         for a in range(9 * (g + 1)):
             for b in range(a):
                 assert any(key[0] == g and {a, b} <= ids for key, ids in cells.items())
+
+
+def test_sieve_passes_all_keys_and_few_others(spark):
+    keys = spark.range(0, 4000, 4).select("id")
+    passes = sieve(keys)
+    got = {r["id"] for r in spark.range(4000).filter(passes(F.col("id"))).collect()}
+    assert set(range(0, 4000, 4)) <= got and len(got) < 1300
+    assert spark.range(9).filter(sieve(keys.limit(0))(F.col("id"))).count() == 0
+
+
+def test_texts_that_meet_no_other_are_not_shuffled(spark, monkeypatch):
+    rows = _near(1) + [(1000 + i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(300)]
+    seen, full_sets = [], nd._full_sets
+    monkeypatch.setattr(nd, "_full_sets", lambda docs, nodes: seen.append(docs.count()) or full_sets(docs, nodes))
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert seen[0] < 30
+    assert {r["doc_id"]: r["component_id"] for r in got} == near_groups(rows)
