@@ -49,6 +49,9 @@ PLACED = 0.75
 # Bytes of text whose words are counted or placed together.
 COUNT_BYTES = 1 << 20
 
+# Sequences whose paths are summed up together.
+MARGINAL_SEQUENCES = 512
+
 ROUNDS = 40
 PENALTY = 1e-6
 MOST_LANGUAGES = 1000
@@ -265,15 +268,20 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS, share: float = LEXICON_SHAR
 
 
 def _marginals(model: LanguageModel, words: Words) -> np.ndarray:
-    """Label probabilities of each token."""
+    """Label probabilities of each token; sequences are independent of each other and taken some at a time."""
     sequence, step = words.layout()
-    n = int(sequence.max()) + 1
     emission = model.emissions(words)
-    score = np.zeros((n, STEPS, len(model.languages)), emission.dtype)
-    score[sequence, step] = emission[words.at]
-    filled = np.zeros((n, STEPS), bool)
-    filled[sequence, step] = True
-    return forward_backward(score, filled, model.start, model.transition)[0][sequence, step]
+    found = np.empty((len(sequence), len(model.languages)))
+    for first in range(0, int(sequence.max()) + 1, MARGINAL_SEQUENCES):
+        begin, end = np.searchsorted(sequence, (first, first + MARGINAL_SEQUENCES))
+        at = sequence[begin:end] - first, step[begin:end]
+        n = int(at[0][-1]) + 1
+        score = np.zeros((n, STEPS, len(model.languages)), emission.dtype)
+        score[at] = emission[words.at[begin:end]]
+        filled = np.zeros((n, STEPS), bool)
+        filled[at] = True
+        found[begin:end] = forward_backward(score, filled, model.start, model.transition)[0][at]
+    return found
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

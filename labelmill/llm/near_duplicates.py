@@ -40,7 +40,10 @@ LEAST_AGREEING = 0.6
 # similar enough; 0.69 of 1000 places is more than four deviations below 0.75.
 FINE_PLACES = 1000
 FINE_AGREEING = 0.69
-FINE_ELEMENTS = 30_000
+FINE_ELEMENTS = 10_000
+
+# Bytes of text that are signed together: each shingle has its own order of the places meanwhile.
+SIGN_BYTES = CHUNK_BYTES // 2
 
 LINK_PERCENT = 75
 def shingle_sets(batch: list[bytes], words: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -102,7 +105,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=CHUNK_BYTES):
+        for batch in slices(batches, size=SIGN_BYTES):
             sets = shingle_sets([t or b"" for t in texts(batch)])
             bits = super_minhash(sets).view(np.uint64)
             keys = np.zeros((len(sets), BANDS), np.uint64)

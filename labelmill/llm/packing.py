@@ -30,6 +30,9 @@ from labelmill.session import materialise
 # Pieces that are packed together.
 GROUP_PIECES = 20_000
 
+# Bytes of text whose words are looked up together.
+CUT_BYTES = 1 << 20
+
 # How strongly a scarcer dimension outweighs the others.
 SCARCITY = 8
 
@@ -107,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: Capacity = Capacity()
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_table(tokenizer_file)
         row = TaskContext.get().partitionId() << 33
-        for batch in slices(batches):
+        for batch in slices(batches, size=CUT_BYTES):
             found, bounds = table.encode([t or b"" for t in texts(batch)])
             whole = np.insert(found, bounds[1:], end_id).astype("<u4")
             ends = bounds[1:] + np.arange(1, len(bounds))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from labelmill.llm.common import shipped, slices, texts
+from labelmill.llm.common import shipped, slices, texts, tidied
 
 Span = tuple[str, int, int]
 
@@ -236,7 +236,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     fields = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS]
     schema = T.StructType([docs.schema["doc_id"], *fields, T.StructField("base", T.StringType()), T.StructField("spans", T.StringType())])
-    return shipped(docs.select("doc_id", "text")).mapInArrow(scan, schema)
+    return shipped(docs.select("doc_id", "text")).mapInArrow(tidied(scan), schema)
 
 
 def redacted(text: str, mark: str = "[SECRET]") -> str:
@@ -258,4 +258,4 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             new = [t if t is None else redacted(t.decode(), mark) for t in texts(batch)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    return shipped(docs).mapInArrow(clean, docs.schema)
+    return shipped(docs).mapInArrow(tidied(clean), docs.schema)
