@@ -54,3 +54,32 @@ def test_search_reaches_the_minimum():
 
     x, history = nw.minimise(value, np.array([-1.2, 1.0]), 100, 1e-9)
     assert np.allclose(x, 1, atol=1e-3) and all(b <= a for a, b in zip(history, history[1:], strict=False))
+
+
+@pytest.mark.parametrize("often, most_rows, most_cells", [(0.0, 7, 1 << 20), (2.0, 2048, 1 << 20), (0.3, 2048, 5)])
+def test_blocks_give_the_sums_of_rows(rows, monkeypatch, often, most_rows, most_cells):
+    """Whether features are widened or multiplied cell by cell, and however many rows and cells a block has."""
+    layers = [12, 5, 3]
+    weights, sparse = nw.first_weights(layers, 1), nw.sparse_rows(rows)
+    loss, n, gradient = nw.loss_sums(sparse, layers, weights)
+    monkeypatch.setattr(nw, "OFTEN", often)
+    monkeypatch.setattr(nw, "BLOCK_ROWS", most_rows)
+    monkeypatch.setattr(nw, "BLOCK_CELLS", most_cells)
+    blocks = nw.packed(sparse)
+    sizes = blocks.selectExpr("length(ys) / 4 AS n", "length(cells) / 4 AS m").collect()
+    assert sum(r["n"] for r in sizes) == 60 and all(r["n"] <= most_rows and (r["m"] <= most_cells or r["n"] == 1) for r in sizes)
+    for kind, near in ((float, 1e-9), (np.float32, 1e-4)):
+        again = nw.loss_sums(blocks, layers, weights.astype(kind))
+        assert again[1] == n and again[0] == pytest.approx(loss, rel=near) and np.allclose(again[2], gradient, atol=1e-4)
+
+
+def test_a_search_goes_on_where_another_ended():
+    def value(x):
+        a, b = x
+        return (1 - a) ** 2 + 100 * (b - a * a) ** 2, np.array([-2 * (1 - a) - 400 * a * (b - a * a), 200 * (b - a * a)])
+
+    start, memory = np.array([-1.2, 1.0]), nw.Memory()
+    whole, history = nw.minimise(value, start, 20, 1e-9)
+    half, first = nw.minimise(value, start, 8, 1e-9, memory)
+    rest, second = nw.minimise(value, half, 12, 1e-9, memory)
+    assert np.allclose(rest, whole, rtol=1e-12) and first + second[1:] == pytest.approx(history, rel=1e-9)
