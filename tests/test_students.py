@@ -137,3 +137,18 @@ def test_error_sample_fills_up(spark):
     got = mt.error_sample(df, ["a", "b"]).orderBy("row_id").collect()
     assert sum(not r["is_correct"] for r in got) == 4 and len(got) == 20
     assert got[0]["line"] == '- Text: "' + "t" * 150 + '...", True: a, Predicted: b (Probs: a: 0.500)'
+
+
+def test_the_multilabel_query_trains_with_all_its_runs(spark, sf_dir, monkeypatch):
+    import __spark_entry__ as entry
+
+    class Seen(Exception):
+        pass
+
+    def fit(*args, **params):
+        raise Seen(params)
+
+    monkeypatch.setattr(st, "fit", fit)
+    with pytest.raises(Seen) as seen:
+        entry.queries()["student_multilabel_mlp"](spark, sf_dir)
+    assert not {"max_runs", "step", "patience", "hidden"} & set(seen.value.args[0])
